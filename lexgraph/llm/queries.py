@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding, url_filter, warc
+from . import decontaminate, line_dedup, packing, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 #: Dated entries made of the hosts that the captures show, since no table holds any: day numbers of 2024.
 _HOST = r"regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
 
@@ -54,7 +59,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op5_url_filter, op8_sharding)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_decontaminate, op5_url_filter, op8_sharding, op10_packing)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=5, max_ratio=0.1),
@@ -64,6 +73,7 @@ g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) E
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN m > page_id THEN m END AS refers_to FROM g
 """,
+    "op4_decontaminate": decontaminate.SQL,
     "op5_url_filter": r"""
 WITH caps AS (SELECT page_id, url, 1704067200 + (page_id * 7919) % 366 * 86400 + page_id % 86400 AS fetched_at,
   regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS h FROM pages),
