@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII letters and digits and every byte of a non-ASCII character make words; A-Z become a-z, all else blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -83,3 +85,36 @@ def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     for k in range(n):
         out = mix(out + np.uint64(0x9E3779B97F4A7C15)) ^ hashes[k : len(hashes) - n + 1 + k]
     return np.unique(mix(out))
+
+
+def groups(batches, keys: int):
+    """Yield the rows of each run of equal values in the first `keys` columns (longs, not null) as Arrow tables.
+
+    The input must be sorted by them; a run may span batches, and only the rows of one run are held.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(marks[start].tolist())
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
+    """Deal the rows of a group to pairs of blocks (_i <= _j, with _side), so that any two rows meet in exactly one pair.
+
+    `blocks` is a column with the group's number of blocks; a row goes to as many pairs.
+    """
+    df = df.withColumn("_block", F.pmod(F.xxhash64(F.lit(41), F.col(node)), F.col(blocks)))
+    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
+    return df.select("*", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), (F.col("_block") > F.col("_other")).alias("_side")).drop("_block", "_other")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, sharding, url_filter, warc
+from . import decontaminate, jaccard, line_dedup, packing, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_entries(pages))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), 40)
 
@@ -63,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_decontaminate, op5_url_filter, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op8_sharding, op10_packing)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=5, max_ratio=0.1),
@@ -96,5 +100,17 @@ active AS (SELECT page_id, list FROM judged WHERE added IS NOT NULL AND (removed
 lists AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists, count(*) AS n FROM active GROUP BY page_id)
 SELECT c.page_id, c.url, c.fetched_at, c.h AS host, coalesce(l.lists, '') AS lists, coalesce(l.n, 0) AS n_lists, l.n IS NOT NULL AS blocked
 FROM caps c LEFT JOIN lists l USING (page_id)
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 5 >= (x.n + y.n - c) * 4),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(m, d.doc_id)) AS class_id, coalesce(deg.n, 0) AS n_links, d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM documents d LEFT JOIN low ON low.a = d.doc_id LEFT JOIN deg ON deg.a = d.doc_id
 """,
 }
