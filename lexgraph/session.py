@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that hold for every run; sizes are left to the cluster.
@@ -21,3 +25,17 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session: they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_lexgraph_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="lexgraph-")) / "lexgraph.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(to))
+    context._lexgraph_shipped = True
