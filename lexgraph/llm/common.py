@@ -118,3 +118,44 @@ def block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     df = df.withColumn("_block", F.pmod(F.xxhash64(F.lit(41), F.col(node)), F.col(blocks)))
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
     return df.select("*", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), (F.col("_block") > F.col("_other")).alias("_side")).drop("_block", "_other")
+
+
+def aligned(batches, keys: int):
+    """Yield Arrow tables made of whole runs of equal values in the first `keys` columns; see groups()."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], axis=1)
+        if held:
+            last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(keys)]
+            here = int((marks == last).all(axis=1).argmin()) if not (marks == last).all() else batch.num_rows
+            if here:
+                held.append(batch.slice(0, here))
+                batch, marks = batch.slice(here), marks[here:]
+            if not batch.num_rows:
+                continue
+            yield pa.Table.from_batches(held)
+            held = []
+        change = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the links (a, b) lead to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (jump := new[new] != new).any():
+            new[jump] = new[new[jump]]
+        if (new == label).all():
+            return new
+        label = new

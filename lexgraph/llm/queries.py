@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup, packing, sharding, url_filter, warc
+from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,15 +59,23 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents"), 40)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=5, max_ratio=0.1),
@@ -101,6 +109,7 @@ lists AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists, count(*)
 SELECT c.page_id, c.url, c.fetched_at, c.h AS host, coalesce(l.lists, '') AS lists, coalesce(l.n, 0) AS n_lists, l.n IS NOT NULL AS blocked
 FROM caps c LEFT JOIN lists l USING (page_id)
 """,
+    "op7_pivot_index": embeddings.SQL.format(limit=0.95),
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0) x),
