@@ -100,7 +100,7 @@ def _clusters(vectors: list[tuple[np.ndarray, np.ndarray]], k: int, rounds: int
     return centroids, (x @ centroids.T).max(axis=1)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1000, languages: int = 100, per_language: int = 4, slack: float = 0.5, seed: int = 9) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1000, languages: int = 100, per_language: int = 4, slack: float = 0.25, seed: int = 9) -> Model:
     """Fit on labelled rows; those with a null text, label or id, or without a letter, teach nothing.
 
     slack times the lowest cosine of a language's sample at a size of text is the least that is accepted there.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, sharding, url_filter, warc
+from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(_read(spark, sf_dir, "pages"))
     records = warc.read_warc(manifest, with_payload=False).where("kind = 'record'")
@@ -75,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=5, max_ratio=0.1),
