@@ -209,6 +209,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, all columns, whose id has no contaminated row; rows that share an id, null too, go together."""
+    bad = contamination(docs, benchmark, id_col, **how).where("contaminated").select(F.col(id_col).alias("_lg_bad")).distinct()
+    bad = written(bad, "contaminated")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_lg_bad")), "left_anti")
+
+
 #: The contract's columns of contamination as SQL, over documents and benchmark.
 SQL = r"""
 WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS p),
