@@ -43,8 +43,9 @@ def dedup_lines(docs: DataFrame, host: str = "source", id_col: str = "doc_id", t
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
     n_left = F.when(text.isNull(), F.lit(0)).when(F.col("_drop").isNull(), n_lines).otherwise(F.size(lines))
     cleaned = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(lines, "\n"))
-    columns = [(cleaned if c == text_col else F.col(f"_in_{i}")).alias(c) for i, c in enumerate(docs.columns)]
-    return out.select(*columns, n_lines.cast("long").alias("_n_lines"), (n_lines - n_left).cast("long").alias("_n_dropped"))
+    columns = [(cleaned if c == text_col else F.col(f"_in_{i}")).alias(f"_out_{i}") for i, c in enumerate(docs.columns)]
+    counts = [n_lines.cast("long").alias("_out_lines"), (n_lines - n_left).cast("long").alias("_out_dropped")]
+    return out.select(*columns, *counts).toDF(*docs.columns, "_n_lines", "_n_dropped")
 
 
 #: The rows of dedup_lines as SQL, over the table documents.
