@@ -251,7 +251,7 @@ def snippet(c: Column | str, words: Column, window: int = 300, most: int = 600)
     """The text around the first of the words that it holds, whatever the case; else its beginning."""
     t = _text(c)
     low = F.lower(t)
-    hits = F.filter(F.transform(words, lambda w: F.struct(F.locate(F.lower(w), low).alias("at"), F.length(w).alias("n"))), lambda x: x["at"] > 0)
+    hits = F.filter(F.transform(words, lambda w: F.struct(F.position(F.lower(w), low).alias("at"), F.length(w).alias("n"))), lambda x: x["at"] > 0)
     at, n, size = F.try_element_at(hits, F.lit(1))["at"], F.try_element_at(hits, F.lit(1))["n"], F.length(t)
     start, end = F.greatest(at - 1 - window, F.lit(0)), F.least(at - 1 + n + window, size)
     dots = lambda cond: F.when(cond, F.lit("…")).otherwise(F.lit(""))
@@ -261,7 +261,7 @@ def snippet(c: Column | str, words: Column, window: int = 300, most: int = 600)
 
 def squash_repetition(c: Column | str) -> Column:
     """Each sentence once, in order of its first place; phrases of 3 to 10 characters said three times or more, once."""
-    lines = F.array_distinct(_filled(F.transform(F.split(_text(c), SENTENCE_END), strip)))
+    lines = F.array_distinct(_filled(F.transform(F.split(_text(c), SENTENCE_END), lambda x: strip(x))))
     return sub(sub(strip(F.array_join(lines, " ")), r"(?U)(\b.{3,10}?\b)(?:\s*\1){2,}", "$1"), r"(?U)\s{2,}", " ")
 
 
@@ -301,11 +301,11 @@ def is_multiple_choice(c: Column | str) -> Column:
 
 
 def question_of(c: Column | str) -> Column:
-    return F.array_join(F.transform(F.filter(_lines(c), lambda x: ~x.rlike(OPTION_LINE)), strip), " ")
+    return F.array_join(F.transform(F.filter(_lines(c), lambda x: ~x.rlike(OPTION_LINE)), lambda x: strip(x)), " ")
 
 
 def options_of(c: Column | str) -> Column:
-    return F.transform(F.filter(_lines(c), lambda x: x.rlike(OPTION_LINE)), strip)
+    return F.transform(F.filter(_lines(c), lambda x: x.rlike(OPTION_LINE)), lambda x: strip(x))
 
 
 def option_numbers(options: Column, most: int = 10) -> Column:
@@ -323,7 +323,7 @@ def strip_leads(options: Column) -> Column:
 def enrich_query(c: Column | str) -> Column:
     """A multiple-choice question with its options appended, collapsed and sorted; any other as it is."""
     t = _text(c)
-    return F.when(is_multiple_choice(t), F.concat_ws("\n", t, F.array_join(F.array_sort(F.transform(options_of(t), collapse)), "\n"))).otherwise(t)
+    return F.when(is_multiple_choice(t), F.concat_ws("\n", t, F.array_join(F.array_sort(F.transform(options_of(t), lambda x: collapse(x))), "\n"))).otherwise(t)
 
 
 def extract_answer(c: Column | str, question: Column | str) -> Column:
@@ -352,7 +352,7 @@ def _first_form(line: Column, forms: list[str]) -> Column:
 
 
 def _stripped_lines(c: Column | str) -> Column:
-    return _filled(F.transform(F.split(_text(c), "\n"), strip))
+    return _filled(F.transform(F.split(_text(c), "\n"), lambda x: strip(x)))
 
 
 def enumerated(c: Column | str) -> Column:
@@ -380,7 +380,7 @@ def bullets_three(c: Column | str, most: int = 6) -> Column:
     tidy = lambda x: sub(strip(x), "[.,; ]+$")
     items = F.transform(_stripped_lines(c), lambda x: F.struct(_any(x).alias("hit"), tidy(collapse(_first_form(x, fixed.BULLET_FORMS))).alias("item")))
     items = F.slice(F.transform(F.filter(items, lambda x: x["hit"]), lambda x: x["item"]), 1, most)
-    clauses = F.filter(F.transform(F.split(collapse(_text(c)), f"(?U){fixed.CLAUSE_SPLIT}"), strip), lambda x: F.length(x) > 3)
+    clauses = F.filter(F.transform(F.split(collapse(_text(c)), f"(?U){fixed.CLAUSE_SPLIT}"), lambda x: strip(x)), lambda x: F.length(x) > 3)
     clauses = _filled(F.transform(clauses, lambda x: sub(x, "[.,; ]+$")))
     rank = lambda x: reduce(lambda other, k: F.when(x.rlike(fixed.CLAUSE_BUCKETS[k]), F.lit(k)).otherwise(other), reversed(range(len(fixed.CLAUSE_BUCKETS))), F.lit(len(fixed.CLAUSE_BUCKETS)))
     ordered = F.array_sort(F.transform(clauses, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i"), x.alias("x"))))
@@ -402,15 +402,15 @@ def polite(c: Column) -> Column:
 
 def definition(c: Column | str, n: int = 300) -> Column:
     """Three sentences in polite form, n characters."""
-    parts = F.transform(_filled(F.split(collapse(_text(c)), r"(?U)(?<=다\.)\s+|(?<=[.!?])\s+")), polite)
+    parts = F.transform(_filled(F.split(collapse(_text(c)), r"(?U)(?<=다\.)\s+|(?<=[.!?])\s+")), lambda x: polite(x))
     return strip(F.substring(F.array_join(F.slice(parts, 1, 3), " "), 1, n))
 
 
 def examples(c: Column | str, most: int = 2) -> Column:
     """Examples after a label, or else in brackets."""
     t = _text(c)
-    labelled = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)(?:예:|예\)|예시:|예를 들어)\s*([^.。]+)"), F.lit(1)), collapse), lambda x: F.length(x) > 2)
-    bracketed = _filled(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)\((?:예:|예시:)\s*([^)]{2,80})\)"), F.lit(1)), collapse))
+    labelled = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)(?:예:|예\)|예시:|예를 들어)\s*([^.。]+)"), F.lit(1)), lambda x: collapse(x)), lambda x: F.length(x) > 2)
+    bracketed = _filled(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)\((?:예:|예시:)\s*([^)]{2,80})\)"), F.lit(1)), lambda x: collapse(x)))
     return F.slice(F.when(F.size(labelled) > 0, labelled).otherwise(bracketed), 1, most)
 
 

@@ -20,7 +20,7 @@ def pack_lines(lines: Column, limit: int = 1800) -> Column:
         )
 
     done = F.aggregate(lines, state, step, lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(F.array_join(s["held"], " ")))).otherwise(s["done"]))
-    return F.filter(F.transform(done, strip), lambda x: x != "")
+    return F.filter(F.transform(done, lambda x: strip(x)), lambda x: x != "")
 
 
 def pack_sentences(c: Column | str, limit: int = 900) -> Column:

@@ -142,7 +142,7 @@ def law_name(c: Column) -> Column:
 
 def cross_law_refs(c: Column | str, compat: bool = False) -> Column:
     """(law, article, same) of the citations that name a law; same: it is the citing law. compat drops 의m."""
-    name = r"([가-힣A-Za-z0-9()·\-\s]{2,}?)" if compat else r"「?([가-힣A-Za-z0-9()·\-\s]{2,}?)」?"
+    name = r"([가-힣A-Za-z0-9()·\-\s]{2,}?)" if compat else r"「?([가-힣A-Za-z0-9()·\-\s]+?)」?"
     pattern = rf"(?U){name}\s*제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
     all_of = lambda k: F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(k))
     found = F.arrays_zip(all_of(1).alias("law"), all_of(2).alias("n"), all_of(3).alias("m"))

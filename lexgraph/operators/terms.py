@@ -35,10 +35,10 @@ def terms_tagged(files: DataFrame, file_col: str = "file", text_col: str = "text
     """As terms_plain for texts with lines of junk before terms; definitions of ten characters or more, without page numbers at the end."""
     sections = F.split(sub(_text(text_col), r"\n\s*([0-9]{1,2}\.[0-9]{1,3})\s*\n", "\n\u0001 $1\n"), "\u0001")
     rows = files.select(F.col(file_col).alias("file"), F.posexplode(sections).alias("pos", "part"))
-    rows = rows.select("file", "pos", F.filter(F.transform(F.split("part", "\n|\f"), strip), lambda x: x != "").alias("l")).where(F.size("l") > 0)
-    numbered = F.col("l")[0].rlike(r"^[0-9]{1,2}\.[0-9]{1,3}$")
-    rows = rows.select("file", "pos", F.when(numbered, F.col("l")[0]).alias("section"), F.when(numbered, F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")).alias("l")).where(F.size("l") > 0)
-    junk = F.col("l")[0].rlike(r"^(?:정보통신단체표준.*|국문표준.*|[0-9]+)$")
+    rows = rows.select("file", "pos", F.filter(F.transform(F.split("part", "\n|\f"), lambda x: strip(x)), lambda x: x != "").alias("l")).where(F.size("l") > 0)
+    numbered = F.get("l", F.lit(0)).rlike(r"^[0-9]{1,2}\.[0-9]{1,3}$")
+    rows = rows.select("file", "pos", F.when(numbered, F.get("l", F.lit(0))).alias("section"), F.when(numbered, F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")).alias("l")).where(F.size("l") > 0)
+    junk = F.get("l", F.lit(0)).rlike(r"^(?:정보통신단체표준.*|국문표준.*|[0-9]+)$")
     rows = rows.withColumn("_skip", F.when(junk, 1).otherwise(0)).where(F.size("l") > F.col("_skip"))
     body = collapse(F.array_join(F.slice("l", F.col("_skip") + 2, F.size("l")), " "))
     body = sub(body, r"(?U)\s*(?:\(?[0-9]{1,3}\)?\s*)+$")
@@ -54,8 +54,8 @@ def terms_two_lines(files: DataFrame, file_col: str = "file", text_col: str = "t
     ids = F.regexp_extract_all(t, F.lit(header), F.lit(1))
     blocks = F.split(F.regexp_replace(t, F.lit(header), F.lit("\u0001")), "\u0001")
     rows = files.select(F.col(file_col).alias("file"), ids.alias("_ids"), F.posexplode(blocks).alias("pos", "part")).where("pos > 0")
-    rows = rows.select("file", "pos", F.element_at("_ids", F.col("pos")).alias("section"), _filled(F.transform(F.split("part", "\n"), strip)).alias("l")).where(F.size("l") > 0)
-    first, second = F.col("l")[0], F.try_element_at("l", F.lit(2))
+    rows = rows.select("file", "pos", F.element_at("_ids", F.col("pos")).alias("section"), _filled(F.transform(F.split("part", "\n"), lambda x: strip(x))).alias("l")).where(F.size("l") > 0)
+    first, second = F.get("l", F.lit(0)), F.try_element_at("l", F.lit(2))
     short = (F.length(first) < 6) | first.rlike("[(\\-–—]$") | (~F.contains(first, F.lit(")")) & (F.length(first) < 30) & (F.length(second) < 60))
     two = F.coalesce(second.isNotNull() & short, F.lit(False))
     term = strip(sub(sub(F.when(two, F.concat(first, F.lit(" "), second)).otherwise(first), HYPHEN, "-"), r"(?U)\s+", " "), " \\-–—:•·")
