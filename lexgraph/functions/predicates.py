@@ -37,10 +37,10 @@ def detect_domain(question: Column | str, options: Column | None = None) -> Colu
     return F.when(law & (~mitre | t.rlike(f"(?U){fixed.DETECT_LAW_WINS}")), "law").when(mitre, "mitre").otherwise("unknown")
 
 
-def domain_meta(c: Column | str, source: Column | str = "") -> Column:
+def domain_meta(c: Column | str, source: Column | None = None) -> Column:
     """Struct of domain (mitre, law or other) and, null where not apt, its articles, techniques and tactics (sorted)."""
     t = _text(c)
-    s = F.lower(F.concat(F.lit(source) if source == "" else _text(source), F.lit("\n"), t))
+    s = F.lower(F.concat(_text(F.lit("") if source is None else source), F.lit("\n"), t))
     ids = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?U){p}"), F.lit(0))))
     techniques, tactics = ids(fixed.TECHNIQUE), ids(fixed.TACTIC)
     articles = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(f"(?U){fixed.ARTICLE_MENTION}"), F.lit(0)), lambda a: F.replace(a, F.lit(" "), F.lit("")))))

@@ -23,12 +23,18 @@ class Index:
     corpus: DataFrame  # one row: n, avgdl
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "c") -> Index:
-        """Documents without a token count towards n and avgdl."""
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "c", only: DataFrame | None = None) -> Index:
+        """Documents without a token count towards n and avgdl.
+
+        With only (term), postings and term statistics are made for those terms alone, which is all that scoring
+        them needs but for the mean idf of okapi_idf; other tokens are dropped before they are counted.
+        """
         rows = docs.select(F.col(id_col).alias("doc_id"), TOKENIZERS[tokenizer](text_col).alias("tokens"))
         doc_stats = rows.select("doc_id", F.size("tokens").alias("dl"))
-        postings = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-        term_stats = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        tokens = rows.select("doc_id", F.explode("tokens").alias("term"))
+        tokens = tokens if only is None else tokens.join(only.select("term").distinct(), "term", "left_semi")
+        postings = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        term_stats = postings.groupBy("term").agg(F.count("*").alias("df"))
         return cls(postings, doc_stats, term_stats, doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
     def write(self, path: str) -> None:

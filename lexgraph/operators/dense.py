@@ -94,7 +94,7 @@ def fuse_saturated(dense: DataFrame, sparse: DataFrame | None, bonus: Column | N
         both, bonus = both.join(domains, ["query_id", "doc_id"], "left"), F.coalesce("bonus", F.lit(0.0))
     extra = F.when(F.col("dense").isNotNull(), bonus if bonus is not None else F.lit(0.0)).otherwise(F.lit(0.0))
     score = share * F.coalesce("dense", F.lit(0.0)) + extra + (1 - share) * F.coalesce(saturate(F.col("sparse")), F.lit(0.0))
-    return top(both.select("query_id", "doc_id", score.alias("score")), k)
+    return top(both.select("query_id", "doc_id", score.alias("score")), k, digits=9)
 
 
 def gate(hits: DataFrame, dense: DataFrame, least: float = 0.25) -> DataFrame:

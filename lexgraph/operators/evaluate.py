@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_compared, sub
 
 
-def exact_match(a: Column, b: Column, html_text: bool = False) -> Column:
-    return (normalize_compared(a, html_text) == normalize_compared(b, html_text)).cast("double")
-
-
 def common_characters(a: Column, b: Column) -> Column:
     """Characters that two texts share, each as often as in both: sums the lesser count of every distinct one."""
     many = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
@@ -19,20 +15,23 @@ def common_characters(a: Column, b: Column) -> Column:
     return F.aggregate(F.transform(distinct, lambda c: F.least(many(a, c), many(b, c))), F.lit(0), lambda s, n: s + n)
 
 
-def f1(a: Column, b: Column, html_text: bool = False) -> Column:
-    """Harmonic mean of precision and recall of the characters of two normalised texts; 0 if they share none."""
-    x, y = (sub(normalize_compared(t, html_text), r"(?U)\s+") for t in (a, b))
-    same = common_characters(x, y)
-    precision, recall = same / F.nullif(F.length(x), F.lit(0)), same / F.nullif(F.length(y), F.lit(0))
+def f1(a: Column, b: Column) -> Column:
+    """Harmonic mean of precision and recall of the characters of two normalised texts without blanks; 0 if they share none."""
+    same = common_characters(a, b)
+    precision, recall = same / F.nullif(F.length(a), F.lit(0)), same / F.nullif(F.length(b), F.lit(0))
     return F.when(same == 0, F.lit(0.0)).otherwise(F.coalesce(2 * precision * recall / (precision + recall), F.lit(0.0)))
 
 
 def scores(questions: DataFrame, predictions: DataFrame, html_text: bool = False) -> DataFrame:
     """(id, exact_match, f1) of questions (id, answers) and predictions (id, prediction): best over the answers, 0 without a prediction."""
     rows = questions.join(predictions.select("id", "prediction"), "id", "left").select("id", "prediction", F.explode_outer("answers").alias("answer"))
-    usable = F.col("prediction").isNotNull() & F.col("answer").isNotNull()
-    score = lambda fn: F.max(F.when(usable, fn(F.col("prediction"), F.col("answer"), html_text)).otherwise(F.lit(0.0)))
-    return rows.groupBy("id").agg(score(exact_match).alias("exact_match"), score(f1).alias("f1"))
+    texts = rows.select("id", F.array(*(F.when(F.col("prediction").isNotNull() & F.col("answer").isNotNull(), normalize_compared(c, html_text)) for c in ("prediction", "answer"))).alias("t"))
+    texts = texts.select("id", F.explode(F.array("t")).alias("t"))  # normalised once, ahead of the lambdas that use it
+    same = (F.col("t")[0] == F.col("t")[1]).cast("double")
+    pairs = texts.select("id", same.alias("em"), F.transform("t", lambda x: sub(x, r"(?U)\s+")).alias("c"))
+    pairs = pairs.select("id", "em", F.explode(F.array("c")).alias("c"))
+    best = lambda c: F.max(F.coalesce(c, F.lit(0.0)))
+    return pairs.groupBy("id").agg(best(F.col("em")).alias("exact_match"), best(f1(F.col("c")[0], F.col("c")[1])).alias("f1"))
 
 
 def evaluate(questions: DataFrame, predictions: DataFrame, html_text: bool = False) -> DataFrame:

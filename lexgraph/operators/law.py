@@ -140,13 +140,18 @@ def law_name(c: Column) -> Column:
     return F.replace(sub(_text(c), r"(?U)\s+"), F.lit("–"), F.lit("-"))
 
 
-def cross_law_refs(c: Column | str, compat: bool = False) -> Column:
-    """(law, article, same) of the citations that name a law; same: it is the citing law. compat drops 의m."""
-    name = r"([가-힣A-Za-z0-9()·\-\s]{2,}?)" if compat else r"「?([가-힣A-Za-z0-9()·\-\s]+?)」?"
-    pattern = rf"(?U){name}\s*제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
-    all_of = lambda k: F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(k))
-    found = F.arrays_zip(all_of(1).alias("law"), all_of(2).alias("n"), all_of(3).alias("m"))
-    rows = F.transform(found, lambda x: F.struct(strip(x["law"]).alias("law"), F.when(F.lit(compat), x["n"]).otherwise(ref_key(x["n"], x["m"])).alias("article")))
+def cross_law_refs(c: Column | str, compat: bool = False, longest: int = 80) -> Column:
+    """(law, article, same) of the citations that name a law, in up to `longest` characters; same: it is the citing law.
+
+    The name is looked for in what stands before each article number, so the time is linear in the text. compat
+    drops 의m.
+    """
+    t, number = _text(c), r"(?U)제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
+    name = r"(?U)([가-힣A-Za-z0-9()·\-\s]{2,})$" if compat else r"(?U)([가-힣A-Za-z0-9()·\-\s]+)」?\s*$"
+    before = F.transform(F.split(t, number), lambda x: strip(F.regexp_extract(F.substring(x, F.greatest(F.length(x) - longest + 1, F.lit(1)), F.lit(longest)), name, 1)))
+    found = F.arrays_zip(before.alias("law"), F.regexp_extract_all(t, F.lit(number), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(number), F.lit(2)).alias("m"))
+    found = F.filter(found, lambda x: x["n"].isNotNull() & (x["law"] != ""))
+    rows = F.transform(found, lambda x: F.struct(x["law"].alias("law"), F.when(F.lit(compat), x["n"]).otherwise(ref_key(x["n"], x["m"])).alias("article")))
     ends = "(?:이|같은)\\s*법$"
     same = lambda law: law.rlike(f"(?U)^{ends}" if compat else f"(?U)(?:^|\\s){ends}")
     rows = F.filter(rows, lambda x: same(x["law"]) | ~holds_any(x["law"], fixed.NOT_A_LAW))

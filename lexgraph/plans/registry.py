@@ -3,8 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name; whole numbers of its result become longs."""
+
+    def add(fn):
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.withColumns({f.name: F.col(f.name).cast("long") for f in df.schema.fields if f.dataType.simpleString() in ("int", "smallint", "tinyint")})
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return run
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(rows: list[tuple], name: str, columns: str) -> str:
+    """Rows as a common table expression."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+# the queries register themselves
+from . import corpus, laws, records, retrieval  # noqa: E402, F401
