@@ -102,16 +102,16 @@ def test_contexts(spark):
 
 
 def test_stand_ins(spark):
-    df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
+    df = spark.createDataFrame([("a c",), ("",), (None,)], "t string")
     vectors = [r.v for r in df.select(providers.hashed_encoder(64)(F.col("t")).alias("v")).collect()]
     assert abs(sum(x * x for x in vectors[0]) - 1) < 1e-6 and vectors[1] == [0.0] * 64
-    assert df.select(providers.prefixed(F.col("t"), "query").alias("p")).first().p == "query: a b"
-    assert [r.answer for r in providers.generated(df, "t", lambda ps: [p.upper() for p in ps], 2).collect()] == ["A B", "", ""]
+    assert df.select(providers.prefixed(F.col("t"), "query").alias("p")).first().p == "query: a c"
+    assert [r.answer for r in providers.generated(df, "t", lambda ps: [p.upper() for p in ps], 2).collect()] == ["A C", "", ""]
 
     def fails(texts):
         raise RuntimeError
 
-    assert [r.x for r in df.select(providers.translated(F.col("t"), fails).alias("x")).collect()] == ["a b", "", None]
+    assert [r.x for r in df.select(providers.translated(F.col("t"), fails).alias("x")).collect()] == ["a c", "", None]
     cands = spark.createDataFrame([(1, 1, 1, "q", "x"), (1, 2, 2, "q", "xx")], "query_id long, doc_id long, rank int, query string, text string")
     assert [r.doc_id for r in providers.reranked(cands, lambda q, t: F.length(t)).orderBy("rank").collect()] == [2, 1] and providers.reranked(cands) is cands
 
