@@ -50,7 +50,8 @@ def position_of(options: Column, value: Column) -> Column:
 
 
 def place_at(options: Column, value: Column, at: Column) -> Column:
-    """The options with the value swapped to a 1-based place; as they are if it is not among them."""
+    """The options with the value swapped to a 1-based place, the last one at most; as they are if it is not among them."""
+    at = F.least(at, F.size(options))
     here = F.array_position(options, value).cast("int")
     swapped = F.transform(options, lambda x, i: F.when(i + 1 == at, value).when(i + 1 == here, F.element_at(options, at)).otherwise(x))
     return F.when(here > 0, swapped).otherwise(options)

@@ -235,3 +235,45 @@ def supervised(rows: DataFrame, most: int = 2048, end_id: int = 2) -> DataFrame:
     ids = F.slice(F.concat("prompt_ids", answer), 1, most)
     keep = [c for c in rows.columns if c not in ("prompt_ids", "answer_ids")]
     return rows.select(*keep, ids.alias("input_ids"), masked_labels(F.col("prompt_ids"), answer, most).alias("labels"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))
+
+
+def law_choice_records(articles: DataFrame, seed: int = 5) -> DataFrame:
+    """Questions on what an article (law, article, body) does not hold: three of its items and one of another article's.
+
+    Articles with fewer than three items make none. Columns law, article, messages.
+    """
+    rows = articles.select("law", "article", "body", F.concat_ws("\u0001", "law", "article").alias("_g"), T.enumerated("body").alias("_items"))
+    items = rows.select("_g", F.explode("_items").alias("_item"))
+    pool = items.select(F.concat_ws("\u0001", "_g", "_item").alias("_k"), "_item", "_g")
+    wrong = distractors(pool, "_k", "_item", 1, group="_g", seed=seed)
+    wrong = pool.join(wrong, "_k").groupBy("_g").agg(F.min_by("others", "_k").alias("_other"))
+    own = F.slice(F.array_sort(F.transform("_items", lambda x: F.struct(F.xxhash64(F.lit(seed), x).alias("h"), x.alias("x")))), 1, 3)
+    made = rows.where(F.size("_items") >= 3).join(wrong, "_g").select("law", "article", "body", F.transform(own, lambda x: x["x"]).alias("_own"), F.element_at("_other", 1).alias("_other"))
+    question = F.concat(F.lit("[객관식] 다음 중 <"), F.col("law"), F.lit(" "), F.col("article"), F.lit(">에 포함되지 않는 항목을 고르세요."))
+    place = F.pmod(F.xxhash64(F.lit(seed), "law", "article"), F.lit(4)).cast("int") + 1
+    return made.select("law", "article", choice_record(question, F.col("_other"), F.col("_own"), place).alias("messages"))
+
+
+def term_choice_records(terms: DataFrame, seed: int = 5) -> DataFrame:
+    """Questions on which definition is a term's (term, definition): its own and three others. Columns term, messages."""
+    rows = terms.select("term", T.collapse(F.col("definition")).alias("definition")).withColumn("_k", F.concat_ws("\u0001", "term", "definition"))
+    made = rows.join(distractors(rows, "_k", "definition", 3, seed=seed), "_k").where(F.size("others") == 3)
+    question = F.concat(F.lit("[객관식] 다음 중 '"), F.col("term"), F.lit("'의 정의로 옳은 것을 고르세요."))
+    place = F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(4)).cast("int") + 1
+    return made.select("term", choice_record(question, F.col("definition"), F.col("others"), place).alias("messages"))
+
+
+def augmented_choices(terms: DataFrame, ranked: DataFrame, n_options: int = 4, hard: float = 0.7, noise: float = 0.15, seed: int = 6) -> DataFrame:
+    """Questions from terms (doc_id, term, definition) with near terms as wrong options: given a definition, which term; given a term, which definition.
+
+    ranked is (query_id, doc_id, rank) as neighbours() makes it. Right answers go to places 1 to n_options in turn;
+    definitions are cropped, and their surface is changed a little. Columns doc_id, kind, messages.
+    """
+    texts = terms.select("doc_id", "term", T.surface_noise(T.crop("definition", F.col("doc_id")), F.col("doc_id"), noise).alias("definition"))
+    pool = mix_negatives(ranked, n_options - 1, hard, seed).join(texts, "doc_id")
+    wrong = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "definition"))).alias("w"))
+    rows = texts.join(wrong, texts["doc_id"] == wrong["query_id"]).where(F.size("w") == n_options - 1).withColumn("_n", F.lit(n_options))
+    rows = balanced_position(rows, "_n", "doc_id")
+    by_term = choice_record(F.concat(F.lit("다음 정의에 해당하는 용어를 고르시오: "), F.col("definition")), F.col("term"), F.transform("w", lambda x: x["term"]), F.col("position"))
+    by_definition = choice_record(F.concat(F.lit("다음 용어의 정의로 옳은 것을 고르시오: "), F.col("term")), F.col("definition"), F.transform("w", lambda x: x["definition"]), F.col("position"))
+    return rows.select("doc_id", F.explode(F.array(F.struct(F.lit("term").alias("kind"), by_term.alias("messages")), F.struct(F.lit("definition").alias("kind"), by_definition.alias("messages")))).alias("r")).select("doc_id", "r.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, context, dense
+from ..functions.predicates import domain_meta
+from ..operators import bm25, context, dense, law, retrieve
+from .laws import articles
 from .registry import query, table
 
 _LEX = """
@@ -156,3 +158,22 @@ SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE text || chr
 def query_enrich(spark, d):
     q = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\n1 b\n2 a")))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.enrich_query(q).alias("enriched"))
+
+
+@query()
+def retrieve_routed(spark, d):
+    """Route, hybrid search, gate, diversification and context for the benchmark's items; greedy, so that no SQL states it."""
+    rows, asked = _vectors(spark, d, None)
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    chunks = docs.join(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id").withColumns({"id": F.col("doc_id").cast("string"), "extra": domain_meta("text")})
+    queries = _asked(spark, d)[0].join(asked, "query_id")
+    out = retrieve.retrieve(chunks, queries)
+    return out.select("query_id", "route", "ok", "reason", F.md5(F.col("context").cast("binary")).alias("context"))
+
+
+@query()
+def graph_query(spark, d):
+    """Lexical seeds among articles made of the documents, and what they cite, for the benchmark's items."""
+    made = articles(spark, d)
+    nodes = made.select(F.col("aid").alias("id"), "title", "text")
+    return retrieve.graph_query(nodes, law.citation_edges(made), _asked(spark, d)[0], 3, 1, 5)

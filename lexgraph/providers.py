@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from .functions.text import tokens_lower
 
@@ -24,7 +24,7 @@ class Encoder(Protocol):
 def hashed_encoder(dimension: int = 64) -> Encoder:
     """A bag of hashed tokens at unit length; a text without tokens is a zero vector."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def encode(tokens: pd.Series) -> pd.Series:
         out = np.zeros((len(tokens), dimension), np.float64)
         for row, words in zip(out, tokens, strict=True):

@@ -173,3 +173,14 @@ def vector_index(spark: SparkSession, path: str, dimension: int | None = None) -
         return rows
     checked = F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"expected {dimension} numbers, found "), F.size("embedding"))))
     return rows.withColumn("embedding", checked)
+
+
+def stopwords(spark: SparkSession, path: str | None = None, base: list[str] = fixed.STOPWORDS, most: int = 100_000) -> list[str]:
+    """The base list and the words of a file, one a line, if there is one; fails on more than `most` of them."""
+    found = set(base)
+    if path and exists(spark, path):
+        rows = spark.read.text(path).select(F.trim("value").alias("w")).where("w <> ''").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{path} has more than {most} words")
+        found |= {r.w for r in rows}
+    return sorted(found)
