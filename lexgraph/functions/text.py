@@ -66,6 +66,12 @@ def nfkc_but_circled(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def nfkc_collapsed(texts: pd.Series) -> pd.Series:
+    """NFKC without zero-width spaces, blanks of any kind as one space, trimmed; in one pass, as its result is used many times."""
+    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).replace("\u200b", "").replace("\u180e", " ").split()), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
@@ -76,7 +82,7 @@ def html_unescape(texts: pd.Series) -> pd.Series:
 
 def normalize(c: Column | str) -> Column:
     """NFKC, no zero-width space, every blank a space, runs collapsed, trimmed."""
-    return collapse(sub(F.replace(nfkc(_text(c)), F.lit("\u200b"), F.lit("")), SPACES, " "))
+    return nfkc_collapsed(_text(c))
 
 
 def normalize_lines(c: Column | str, compat: bool = False) -> Column:

@@ -113,15 +113,14 @@ def ref_key(number: Column, sub_number: Column) -> Column:
 
 
 def reference_keys(c: Column | str) -> Column:
-    """Sorted distinct keys ('5', '5의2') of the articles a text cites; ranges, also reversed ones, are spelled out."""
-    t = normalize(c)
-    single = r"(?U)(?:제\s*)?([0-9]+)\s*조(?:\s*의\s*([0-9]+))?(?:\s*제\s*[0-9]+\s*항)?"
-    ranged = r"(?U)(?:제\s*)?([0-9]+)\s*조\s*(?:부터|이상)\s*(?:제\s*)?([0-9]+)\s*조\s*(?:까지|이하)"
-    other = r"(?U)[가-힣A-Za-z0-9()]+법\s*제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
+    """Sorted distinct keys ('5', '5의2') of the articles a text cites, of whatever law; ranges, also reversed ones, are spelled out."""
+    t = normalize(c)  # has single spaces only
+    single = r"(?:제 ?)?([0-9]+) ?조(?: ?의 ?([0-9]+))?(?: ?제 ?[0-9]+ ?항)?"
+    ranged = r"(?:제 ?)?([0-9]+) ?조 ?(?:부터|이상) ?(?:제 ?)?([0-9]+) ?조 ?(?:까지|이하)"
     all_of = lambda p, k: F.regexp_extract_all(t, F.lit(p), F.lit(k))
     keys = lambda p: F.zip_with(all_of(p, 1), all_of(p, 2), ref_key)
     spans = F.zip_with(all_of(ranged, 1), all_of(ranged, 2), lambda a, b: F.transform(F.sequence(F.least(a.cast("int"), b.cast("int")), F.greatest(a.cast("int"), b.cast("int"))), lambda k: k.cast("string")))
-    return F.array_sort(F.array_distinct(F.concat(keys(single), F.flatten(spans), keys(other))))
+    return F.array_sort(F.array_distinct(F.concat(keys(single), F.flatten(spans))))
 
 
 def article_id(title: Column, prefix: Column) -> Column:
