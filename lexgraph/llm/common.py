@@ -11,6 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pool keeps what it has freed; a worker that stays idle beside others should not.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: ASCII letters and digits and every byte of a non-ASCII character make words; A-Z become a-z, all else blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The same words as a pattern for SQL, on a text whose A-Z are lower-cased.
@@ -53,7 +56,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `most` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

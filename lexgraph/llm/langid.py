@@ -160,11 +160,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.judge(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                found = [shared.value.judge(t.as_py()) for t in part.column(text_at)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     names = [f"_in_{k}" for k in range(len(keep))]
-    rows = docs.select(F.col(text_col).alias("_text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(keep, names, strict=True)))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)  # the text goes to Python once
+    rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     schema = ", ".join([*(f"{a} {rows.schema[a].dataType.simpleString()}" for a in names), "lang_pred string, score double, rejected boolean"])
     out = rows.mapInArrow(run, schema)
     return out.select(*(F.col(a).alias(c) for c, a in zip(keep, names, strict=True)), "lang_pred", "score", "rejected")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
 def load_encoder(path: str):
     """A function from text to a uint32 array of ids, from a `tokenizers` file.
 
