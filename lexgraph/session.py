@@ -27,9 +27,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch, where the session's settings state none: whole documents are long, and both sides of a
+#: pipe keep buffers of the size of its largest batch.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once a session: they need not have it on their path."""
+    """Give the Python workers this package, once a session (they need not have it on their path), in moderate batches."""
     context = spark.sparkContext
+    if not context.getConf().contains(ARROW_ROWS[0]):
+        spark.conf.set(*ARROW_ROWS)
     if getattr(context, "_lexgraph_shipped", False):
         return
     here = Path(__file__).resolve().parent
