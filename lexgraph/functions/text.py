@@ -26,6 +26,11 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(c: Column, body) -> Column:
+    """body of the value of c, which is computed once: a lambda evaluates what it takes from outside for every element."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
@@ -219,10 +224,13 @@ def chunks(c: Column | str, size: int = 900, overlap: int = 200) -> Column:
     """Spans (start, end, text) of `size` characters that overlap; the last one ends with the text. Empty: none."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
-    t = _text(c)
-    n = F.length(t)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"), F.substring(t, s + 1, F.lit(size)).alias("text")))
+
+    def spans(t: Column) -> Column:
+        n = F.length(t)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, F.length(t)).alias("end"), F.substring(t, s + 1, F.lit(size)).alias("text")))
+
+    return let(_text(c), spans)
 
 
 def chunks_trimmed(c: Column | str, size: int = 1200, overlap: int = 200) -> Column:
@@ -256,8 +264,7 @@ def shorten(c: Column | str, n: int = 180) -> Column:
 def snippet(c: Column | str, words: Column, window: int = 300, most: int = 600) -> Column:
     """The text around the first of the words that it holds, whatever the case; else its beginning."""
     t = _text(c)
-    low = F.lower(t)
-    hits = F.filter(F.transform(words, lambda w: F.struct(F.position(F.lower(w), low).alias("at"), F.length(w).alias("n"))), lambda x: x["at"] > 0)
+    hits = let(F.lower(t), lambda low: F.filter(F.transform(words, lambda w: F.struct(F.position(F.lower(w), low).alias("at"), F.length(w).alias("n"))), lambda x: x["at"] > 0))
     at, n, size = F.try_element_at(hits, F.lit(1))["at"], F.try_element_at(hits, F.lit(1))["n"], F.length(t)
     start, end = F.greatest(at - 1 - window, F.lit(0)), F.least(at - 1 + n + window, size)
     dots = lambda cond: F.when(cond, F.lit("…")).otherwise(F.lit(""))
@@ -391,7 +398,7 @@ def bullets_three(c: Column | str, most: int = 6) -> Column:
     rank = lambda x: reduce(lambda other, k: F.when(x.rlike(fixed.CLAUSE_BUCKETS[k]), F.lit(k)).otherwise(other), reversed(range(len(fixed.CLAUSE_BUCKETS))), F.lit(len(fixed.CLAUSE_BUCKETS)))
     ordered = F.array_sort(F.transform(clauses, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i"), x.alias("x"))))
     found = F.when(F.size(items) > 0, items).otherwise(F.slice(F.transform(ordered, lambda x: x["x"]), 1, most))
-    once = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    once = let(found, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: F.lower(y) == F.lower(x))))
     missing = F.greatest(F.lit(3) - F.size(once), F.lit(0))
     filler = F.transform(F.slice(F.sequence(F.lit(1), F.lit(3)), F.size(once) + 1, missing), lambda k: F.concat(F.lit(fixed.FILLER), k.cast("string")))
     return F.slice(F.when(missing > 0, F.concat(once, filler)).otherwise(once), 1, most)

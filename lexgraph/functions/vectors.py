@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, summed in order."""
@@ -68,5 +70,9 @@ def pad_to_multiple(ids: Column, multiple: int = 8, value: int = 0) -> Column:
 
 def grouped(words: Column, n: int = 40) -> Column:
     """Lines of n words each, joined by blanks."""
-    size = F.size(words)
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(n)), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def lines(w: Column) -> Column:
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+
+    return let(words, lines)
