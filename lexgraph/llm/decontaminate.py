@@ -24,7 +24,7 @@ from .common import words, written
 #: Empty positions between documents of a segment, so that no window spans two.
 GAP = 64
 INDEX = "segment string, docs array<long>, lengths array<int>, terms binary, counts binary, positions binary"
-TESTS_AT_ONCE = 32 << 20
+TESTS_AT_ONCE = 2 << 20
 
 
 def _squeeze(values: np.ndarray) -> bytes:
