@@ -1,8 +1,9 @@
 """Lexical index and BM25 scores.
 
-An index is three tables: postings (term, doc_id, tf), doc_stats (doc_id, dl) and term_stats (term, df). Scores
+An index is three tables: postings (term, doc_id, tf, dl), doc_stats (doc_id, dl) and term_stats (term, df). Scores
 are a join of the query terms with the postings on the term, so that only documents with a query term are
-touched; the one-row corpus statistics are scalar.
+touched; a posting holds its document's length, so that no join by document is needed, and the one-row corpus
+statistics are scalar.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ class Index:
         """
         rows = docs.select(F.col(id_col).alias("doc_id"), TOKENIZERS[tokenizer](text_col).alias("tokens"))
         doc_stats = rows.select("doc_id", F.size("tokens").alias("dl"))
-        tokens = rows.select("doc_id", F.explode("tokens").alias("term"))
+        tokens = rows.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         tokens = tokens if only is None else tokens.join(only.select("term").distinct(), "term", "left_semi")
-        postings = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        postings = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
         term_stats = postings.groupBy("term").agg(F.count("*").alias("df"))
         return cls(postings, doc_stats, term_stats, doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
@@ -63,10 +64,9 @@ def query_terms(queries: DataFrame, tokenizer: str = "c", repeats: bool = True,
     return terms if repeats else terms.withColumn("qtf", F.lit(1).cast("long"))
 
 
-def _scored(index: Index, terms: DataFrame, idf: Column, weight: Column, needs_length: bool = True) -> DataFrame:
+def _scored(index: Index, terms: DataFrame, idf: Column, weight: Column) -> DataFrame:
     """Sum of qtf * idf * weight per query and document; df, tf, dl, n and avgdl are at hand."""
     hits = terms.join(index.term_stats, "term").join(index.postings, "term")
-    hits = hits.join(index.doc_stats, "doc_id") if needs_length else hits
     hits = hits.crossJoin(F.broadcast(index.corpus))  # one row
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
 

@@ -57,7 +57,7 @@ def bm25_simple_topk(spark, d):
 def sparse_weight_topk(spark, d):
     _, terms = _asked(spark, d)
     index = bm25.Index.build(table(spark, d, "documents"), only=terms)
-    weights = index.postings.join(index.doc_stats, "doc_id").select("term", "doc_id", (F.col("tf") / F.col("dl")).alias("weight"))
+    weights = index.postings.select("term", "doc_id", (F.col("tf") / F.col("dl")).alias("weight"))
     idf = index.term_stats.crossJoin(F.broadcast(index.corpus)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return bm25.top(bm25.weighted(index, terms, weights, idf), 5, digits=9)
 
