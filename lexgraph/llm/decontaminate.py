@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import tidy, words, written
 
 #: Empty positions between documents of a segment, so that no window spans two.
 GAP = 64
@@ -81,7 +81,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return written(rows.mapInArrow(run, INDEX), "index")
+    return written(rows.mapInArrow(tidy(run), INDEX), "index")
 
 
 class Segment:
@@ -160,7 +160,7 @@ def _search(index: DataFrame, tests: list[tuple], slack: int, first: bool) -> Da
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(tidy(run), HITS)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

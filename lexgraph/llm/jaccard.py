@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_pairs, groups, mix, shingles, words, written
+from .common import WordHashes, block_pairs, groups, mix, shingles, tidy, words, written
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -128,7 +128,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFra
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_md5"))
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(tidy(run), SIGNED)
 
 
 def candidate_forests(classes: DataFrame, threshold: Fraction, tolerance: float) -> DataFrame:
@@ -152,7 +152,7 @@ def candidate_forests(classes: DataFrame, threshold: Fraction, tolerance: float)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[ends[:, 0]]), pa.array(nodes[ends[:, 1]])], ["a", "b"])
 
     rows = rows.select("_key", "_i", "_j", "_node", "_side", "_sig").repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_node")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(members: DataFrame, n_words: int, threshold: Fraction, tolerance: float) -> DataFrame:
@@ -201,7 +201,7 @@ def verified(members: DataFrame, n_words: int, threshold: Fraction, tolerance: f
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[root(k) for k in range(len(nodes))]]), pa.array(links)], ["node", "root", "links"])
 
     rows = members.select("_component", "_i", "_j", "_node", "_side", "_copies", "_text").repartition("_component", "_i", "_j").sortWithinPartitions("_component", "_i", "_j", "_node")
-    return rows.mapInArrow(run, "node long, root long, links long")
+    return rows.mapInArrow(tidy(run), "node long, root long, links long")
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy, written
+
 BI, TRI = 10, 13
 WIDTH = (1 << BI) + (1 << TRI)
 BINS = 24
@@ -118,9 +120,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             found = [grams(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["_lang", "_place", "_at", "_tf"])
 
-    from .common import written
-
-    sample = written(sample.select("_text", "_lang", "_place").mapInArrow(featured, "_lang string, _place double, _at array<long>, _tf array<long>").where("size(_at) > 0"), "langid-sample")
+    sample = written(sample.select("_text", "_lang", "_place").mapInArrow(tidy(featured), "_lang string, _place double, _at array<long>, _tf array<long>").where("size(_at) > 0"), "langid-sample")
     n = sample.count()
     idf = np.full(WIDTH, np.log(1 + n) + 1)
     for at, df in sample.select(F.explode("_at").alias("at")).groupBy("at").count().collect():  # WIDTH rows at most
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     text_at = keep.index(text_col) if text_col in keep else len(keep)  # the text goes to Python once
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     schema = ", ".join([*(f"{a} {rows.schema[a].dataType.simpleString()}" for a in names), "lang_pred string, score double, rejected boolean"])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*(F.col(a).alias(c) for c, a in zip(keep, names, strict=True)), "lang_pred", "score", "rejected")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -297,5 +298,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
 
     names = ["_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "redacted"]
     schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string"
-    out = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    out = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema).withColumnRenamed("_id", id_col)
     return out if with_text else out.drop("redacted")
