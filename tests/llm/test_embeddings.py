@@ -37,6 +37,17 @@ def test_recall_and_components(spark):
     assert all(got[i].component_id >= low[i] and got[i].kept == (got[i].component_id == i) for i in got)
 
 
+@pytest.mark.parametrize("cosine", [0.96, 0.98])
+def test_recall_with_a_third_of_the_rows_in_one_group(spark, cosine):
+    n, dim, rng = 3000, 64, np.random.default_rng(3)
+    x = rng.normal(size=(n, dim))
+    x[: n // 3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(n // 3, dim)) * np.sqrt((1 / cosine - 1) / dim)
+    got = {r.vec_id: r for r in e.near_vectors(spark.createDataFrame([(i, v.tolist(), 0, "x", "x") for i, v in enumerate(x)], SCHEMA)).collect()}
+    links, _ = brute(x, range(n))
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum() and links.sum() > 100_000
+
+
 def test_small_blocks_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), 0, "x", "x") for i, v in enumerate(made(300))], SCHEMA)
     once = sorted(map(tuple, e.near_vectors(df).collect()))
