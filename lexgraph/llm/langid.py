@@ -3,7 +3,7 @@
 A text is a vector of its letter bigrams and trigrams (hashed, sublinear counts times idf, unit length).
 Each language has several centroids, found by spherical k-means over a bounded sample of its labelled
 documents. A text gets the language of the centroid with the highest cosine, and is rejected if that is far
-below what the sample's own documents of that size reach.
+below what sample documents of that size reach with centroids of other documents.
 
 The sample is all that the classifier is fitted on: up to `sample_docs` whole documents of each of the
 `languages` most frequent labels, dealt by a hash.
@@ -24,6 +24,7 @@ from .common import tidy, written
 BI, TRI = 10, 13
 WIDTH = (1 << BI) + (1 << TRI)
 BINS = 24
+FILLED = 5  # documents of a size from which its usual cosine is known
 UNKNOWN = "und"
 
 
@@ -102,10 +103,26 @@ def _clusters(vectors: list[tuple[np.ndarray, np.ndarray]], k: int, rounds: int
     return centroids, (x @ centroids.T).max(axis=1)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1000, languages: int = 100, per_language: int = 4, slack: float = 0.25, seed: int = 9) -> Model:
+def usual(best: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The usual cosine at each size, from cosines and sizes of documents; zeros if no size has enough of them.
+
+    The median where enough are, else that of the nearest such size, and never less than at a smaller size. Below
+    the smallest of them it falls with the root of the size.
+    """
+    known = np.array([b for b in range(BINS) if (bins == b).sum() >= FILLED])
+    if not len(known):
+        return np.zeros(BINS)
+    medians = np.array([np.median(best[bins == b]) for b in known])
+    nearest = np.abs(np.arange(BINS)[:, None] - known).argmin(axis=1)
+    return np.maximum.accumulate(medians[nearest] * 2.0 ** (-np.maximum(0, known[0] - np.arange(BINS)) / 2))
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1000, languages: int = 100, per_language: int = 4, false_rejects: float = 0.001, seed: int = 9) -> Model:
     """Fit on labelled rows; those with a null text, label or id, or without a letter, teach nothing.
 
-    slack times the lowest cosine of a language's sample at a size of text is the least that is accepted there.
+    Accepted is what reaches a share of its size's usual cosine in the language: the share that all but
+    false_rejects of the sample reach, and half at most. A language without enough documents of any one size
+    takes, for each size, the least that another language asks for; if there is none it rejects nothing.
     """
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id")).dropna()
     known = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()
@@ -132,16 +149,26 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for at, tf in zip(rows["_at"], rows["_tf"], strict=True):
             w = (1 + np.log(tf)) * idf[at]
             vectors.append((at, w / np.sqrt((w * w).sum())))
-        centroids, best = _clusters(vectors, per_language)
+        centroids, _ = _clusters(vectors, per_language)
+        best = np.zeros(len(vectors))
+        for half in (0, 1) if len(vectors) > 1 else ():  # cosines with centroids of the other half
+            others, _ = _clusters(vectors[1 - half :: 2], per_language)
+            best[half::2] = [float((others[:, at] @ w).max()) for at, w in vectors[half::2]]
         bins = np.array([size_bin(len(at)) for at, _ in vectors])
-        floors = [float(best[bins == b].min()) * slack if (bins == b).sum() >= 5 else 0.0 for b in range(BINS)]
-        return pd.DataFrame({"lang": [key[0]] * len(centroids), "centroid": list(centroids), "floors": [floors] * len(centroids)})
+        typical = usual(best, bins)
+        shares = best / typical[bins] if typical.any() else best[:0]
+        m = len(centroids)
+        return pd.DataFrame({"lang": [key[0]] * m, "centroid": list(centroids), "usual": [typical] * m, "shares": [shares] + [shares[:0]] * (m - 1)})
 
-    found = sample.groupBy("_lang").applyInPandas(clustered, "lang string, centroid array<float>, floors array<double>").collect()  # languages * per_language rows at most
+    found = sample.groupBy("_lang").applyInPandas(clustered, "lang string, centroid array<float>, usual array<double>, shares array<double>").collect()  # languages * per_language rows and languages * sample_docs shares at most
     found.sort(key=lambda r: (r.lang, r.centroid))
     if not found:
         return Model(np.ones(WIDTH), np.zeros((0, WIDTH)), [], np.zeros((0, BINS)))
-    return Model(idf, np.array([r.centroid for r in found]), [r.lang for r in found], np.array([r.floors for r in found]))
+    typical, shares = np.array([r.usual for r in found]), np.sort([x for r in found for x in r.shares])
+    if known_sizes := typical.any(axis=1).any():
+        typical[~typical.any(axis=1)] = typical[typical.any(axis=1)].min(axis=0)
+    share = min(0.5, float(shares[int(false_rejects * len(shares))])) if known_sizes else 0.0
+    return Model(idf, np.array([r.centroid for r in found]), [r.lang for r in found], typical * share)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -29,6 +29,17 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got if r.doc_id in truth) == 0
 
 
+def test_unknown_languages_are_rejected_at_all_lengths(spark):
+    rng, data = random.Random(4), rows()
+    alphabets = ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "bdfjlpqvxyz")
+    strange = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(4, 9))) for _ in range(n)) for a in alphabets for n in (3, 10, 30, 300, 3000, 20_000)]
+    long = [" ".join(t for _, t, g, *_ in data if g == lang) for lang in STEMS]
+    asked = [(5000 + k, t, None, "x", "x") for k, t in enumerate(strange + long)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(data + asked, SCHEMA)).collect()}
+    assert [got[5000 + k].rejected for k in range(len(asked))] == [True] * len(strange) + [False] * len(long)
+    assert sum(got[r[0]].rejected for r in data) == 0
+
+
 def test_nothing_to_learn_from(spark):
     got = langid.identify(spark.createDataFrame([(1, "words", None, "", ""), (2, None, None, "", "")], SCHEMA)).collect()
     assert [(r.lang_pred, r.score, r.rejected) for r in got] == [("und", 0.0, False)] * 2
