@@ -67,7 +67,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-MAIL_SIGNS = ("at]", "at)", "at}", "AT]", "AT)", "AT}", "At]", "At)", " dot ", " DOT ", "＠", "%40", "&#64;")
+MAIL_SIGNS = ("@", "＠", "%40", "&#64;", " dot ")
+MAIL_AT = re.compile(r"[\[({<] ?at ?[\])}>]", re.IGNORECASE)
 NAME, LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}", r"[A-Za-z0-9-]{1,63}"
 MAIL = re.compile(
     rf"{NAME}(?: ?(?:[\[({{<] ?at ?[\])}}>]|＠|%40|&\#64;|@) ?{LABEL}(?: ?[\[({{<] ?dot ?[\])}}>] ?{LABEL}|\.{LABEL}| dot {LABEL}){{1,5}}| at {LABEL}(?: dot {LABEL}){{1,5}})",
@@ -85,15 +86,20 @@ FORMS = {
 }
 
 
+def may_hold_mail(text: str) -> bool:
+    """True wherever MAIL can match: each of its forms has one of these signs."""
+    low = text.lower()
+    return any(s in low for s in MAIL_SIGNS) or MAIL_AT.search(text) is not None
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) that might be personal data; spans may overlap, one span may have two kinds."""
     out = []
-    if any(s in text for s in MAIL_SIGNS):
+    if may_hold_mail(text):
         out += [("email", *m.span()) for m in MAIL.finditer(text)]
     if ":" in text:
         out += [("ip", *m.span()) for m in IP6.finditer(text) if len(m[0]) > 6]
-    if "[.]" in text or "(.)" in text or "[dot]" in text:
-        out += [("ip", *m.span()) for m in IP_LOOSE.finditer(text)]
+    out += [("ip", *m.span()) for m in IP_LOOSE.finditer(text)]
     for m in DIGITS.finditer(text):
         n = len(only_digits(m[0]))
         if 12 <= n <= 19:
@@ -156,7 +162,7 @@ def made_up(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         a, b, c, gap = pick("23456789") + d(2), d(3), d(4), pick((" ", "-", ".", " "))
         return pick((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}{gap}{b}{gap}{c}", f"0{d(2)}{gap}{d(3)}{gap}{d(4)}", f"00{d(2)}{gap}{d(3)}{gap}{d(5)}", f"1-{a}-{b}-{c}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"))
 
-    at = lambda: pick((" [at] ", "[at]", " (at) ", "(at)", "{at}", "＠", "%40", "&#64;", " at "))
+    at = lambda: pick((" [at] ", "[at]", " (at) ", "(at)", "{at}", "＠", "%40", "&#64;", " at ", " <at> ", "<at>", " [ at ] ", "( at )", "@", " @ "))
     dot = lambda: pick((" [dot] ", "[dot]", " (dot) ", "(dot)", " dot "))
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
 
@@ -165,17 +171,17 @@ def made_up(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         name = word() + pick(("", ".", "_")) + pick((word(), d(2)))
         if way == " at ":
             return f"{name} at {word()} dot {pick(('com', 'org', 'net', 'de'))}"
-        return name + way + word() + pick((dot(), ".")) + pick(("com", "org", "net", "de"))
+        return name + way + word() + (dot() if way == "@" else pick((dot(), "."))) + pick(("com", "org", "net", "de"))
 
     yes = {
         "email": (email, ("mail me: ", "contact ", "write to ", "reach us at ", "")), "phone": (phone, ("tel ", "call ", "phone: ", "fax ", "mobile ", "call me on ", "telefon ")),
         "card": (lambda: card(True), ("card ", "visa ", "paid by credit card no ", "carte ", "tarjeta ", "my amex ")),
-        "ip": (lambda: pick((":".join(hexes(4) for _ in range(8)), f"{hexes(4)}:{hexes(3)}::{hexes(2)}", f"fe80::{hexes(4)}:{hexes(4)}", "[.]".join(str(rng.randint(1, 254)) for _ in range(4)))), ("host ", "ip ", "server ", "from ")),
+        "ip": (lambda: pick((":".join(hexes(4) for _ in range(8)), f"{hexes(4)}:{hexes(3)}::{hexes(2)}", f"fe80::{hexes(4)}:{hexes(4)}", pick(("[.]", "(.)", "[dot]", " . ", " [.] ")).join(str(rng.randint(0, 255)) for _ in range(4)))), ("host ", "ip ", "server ", "from ")),
     }
     no = [
         lambda: ("", d(rng.randint(9, 19))), lambda: ("token = ", f'"{hexes(rng.randint(16, 40))}"'), lambda: ("password=", hexes(18)), lambda: ("isbn ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
         lambda: ("order ", d(rng.randint(9, 14))), lambda: ("invoice no ", f"{d(4)}-{d(4)}-{d(4)}"), lambda: ("", f"20{d(2)}-0{pick('123456789')}-1{d(1)} 1{d(1)}:{d(2)}:{d(2)}"), lambda: ("between ", f"{d(4)} - {d(4)} - {d(4)}"),
-        lambda: ("", " ".join(d(rng.randint(1, 4)) for _ in range(rng.randint(4, 8)))), lambda: ("values ", ". ".join(d(3) for _ in range(4))), lambda: ("card ", card(False)), lambda: ("", f"{word()} at {word()}. {word()} {word()}"),
+        lambda: ("", " ".join(d(rng.randint(1, 4)) for _ in range(rng.randint(4, 8)))), lambda: ("values ", ". ".join(d(3) for _ in range(4))), lambda: ("", ". ".join(str(rng.randint(1, 99)) for _ in range(4))), lambda: ("card ", card(False)), lambda: ("", f"{word()} at {word()}. {word()} {word()}"),
         lambda: ("met ", f"{word()} at {word()} dot {word()} {word()}"), lambda: ("at ", f"{d(2)}:{d(2)}:{d(2)}"), lambda: ("ratio ", f"{d(1)}:{d(2)}:{d(1)}:{d(1)}"), lambda: ("pi is ", f"3.{d(18)}"), lambda: ("", f"{d(1)},{d(3)},{d(3)},{d(3)}"),
         lambda: ("id ", hexes(8) + d(12)), lambda: ("", word() + d(11) + word()), lambda: ("doi ", f"10.{d(4)}/{d(9)}"), lambda: ("", f"x{d(16)}"), lambda: ("", f"{d(3)}-{d(2)}-{d(4)}-{d(6)}"),
     ]

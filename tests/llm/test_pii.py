@@ -39,6 +39,23 @@ def test_numbers_that_the_plain_patterns_run_together_are_added():
     assert pii.find("mail me: john.doe [at] example dot com now")[1]["email"] == [(9, 38)]
 
 
+def test_each_form_is_found_whatever_else_the_text_holds():
+    forms = ("john.doe <at> example.com", "john.doe [ at ] example.com", "john.doe@example[dot]com", "john.doe@example (dot) com", "JOHN.DOE{At}EXAMPLE.COM", "john.doe at example Dot com")
+    for kind, cue, form in [*(("email", "mail me: ", f) for f in forms), ("ip", "host ", "10 . 0 . 0 . 1"), ("ip", "host ", "10[.]0[.]0[.]1"), ("ip", "host ", "10(.)0(.)0(.)1")]:
+        text = f"so {cue}{form} now"
+        span = (text.index(form), text.index(form) + len(form))
+        assert (kind, *span) in pii.candidates(text), form
+        assert pii.find(text)[1][kind] == [span], form
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b1", " ", "[", "]", "(", ")", "<", ">", "{", "}", "at", "At", "AT", "dot", "Dot", ".", "@", "＠", "%40", "&#64;", "7", "[.]", "(.)", "[dot]"]), max_size=24))
+def test_no_match_is_kept_from_the_candidates(parts):
+    text = "".join(parts)
+    found = set(pii.candidates(text))
+    assert {("email", *m.span()) for m in pii.MAIL.finditer(text)} | {("ip", *m.span()) for m in pii.IP_LOOSE.finditer(text)} <= found
+
+
 def test_clean_text_stays():
     for text in ("order 1234567890123", 'token = "0641917ea4e9feb9cda83477b57ac2654884f485"', "the 12 345 678 901 234 of", "He was at home. dot com", "3.14159265358979", "It was 2024-01-12 10:22:33 at noon", ""):
         assert pii.find(text) == ({k: [] for k in pii.KINDS}, {k: [] for k in pii.KINDS}), text
