@@ -109,12 +109,14 @@ def mmr(candidates: DataFrame, k: int, trade: float = 0.65, start: str = "first"
 
     Starts with the candidate of rank 1, or with start='best' with the one closest to the query; then takes, k
     in all, the one with the best trade * relevance - (1 - trade) * likeness to what is taken. Ties go to the
-    lower rank. A query's candidates must fit in memory: they are a top list.
+    lower rank; a candidate without a vector is like nothing (0). A query's candidates must fit in memory: they
+    are a top list.
     """
 
     def one(key, rows):
         rows = rows.sort_values(["rank", "doc_id"]).reset_index(drop=True)
-        x, q = np.array(rows["embedding"].tolist(), np.float64), np.array(rows["query_vector"][0], np.float64)
+        q = np.array(rows["query_vector"][0], np.float64)
+        x = np.array([np.zeros(len(q)) if v is None else v for v in rows["embedding"]], np.float64)
         near = x @ q
         chosen = [0 if start == "first" else int(near.argmax())]
         worst = x @ x[chosen[0]]

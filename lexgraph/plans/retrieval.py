@@ -162,11 +162,11 @@ def query_enrich(spark, d):
 
 @query()
 def retrieve_routed(spark, d):
-    """Route, hybrid search, gate, diversification and context for the benchmark's items; greedy, so that no SQL states it."""
+    """Route, hybrid search, gate, diversification and context for the benchmark's items over all documents, those without a vector lexically; greedy, so that no SQL states it."""
     rows, asked = _vectors(spark, d, None)
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    chunks = docs.join(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id").withColumns({"id": F.col("doc_id").cast("string"), "extra": domain_meta("text")})
-    queries = _asked(spark, d)[0].join(asked, "query_id")
+    chunks = docs.join(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").withColumns({"id": F.col("doc_id").cast("string"), "extra": domain_meta("text")})
+    queries = _asked(spark, d)[0].join(asked, "query_id", "left")
     out = retrieve.retrieve(chunks, queries)
     return out.select("query_id", "route", "ok", "reason", F.md5(F.col("context").cast("binary")).alias("context"))
 

@@ -78,3 +78,19 @@ def test_choice_records(spark):
 def test_stopword_file(spark, tmp_path):
     (tmp_path / "s.txt").write_text("foo\n\n bar \n")
     assert stopwords(spark, str(tmp_path / "s.txt"), ["x"]) == ["bar", "foo", "x"] and stopwords(spark, str(tmp_path / "no"), ["x"]) == ["x"]
+
+
+def test_routed_retrieval_searches_documents_without_vectors(spark, tmp_path, monkeypatch):
+    from lexgraph.operators import retrieve as r
+    from lexgraph.plans import retrieval
+
+    docs = [(1, "alpha beta", "s"), (2, "gamma delta", "s"), (3, "alpha epsilon", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "alpha epsilon"), (9, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, whole = [], r.retrieve
+    monkeypatch.setattr(r, "retrieve", lambda chunks, queries, *a: seen.append((chunks, queries)) or whole(chunks, queries, *a))
+    got = {x.query_id: x.ok for x in retrieval.retrieve_routed(spark, str(tmp_path)).collect()}
+    assert got == {1: True, 9: False} and seen[0][0].count() == 3
+    hits, _ = r.hybrid(seen[0][0], seen[0][1].withColumn("domain", seen[0][1]["query"]))
+    assert (1, 3) in {(x.query_id, x.doc_id) for x in hits.collect()}
