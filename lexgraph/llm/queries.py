@@ -29,7 +29,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 #: Dated entries made of the hosts that the captures show, since no table holds any: day numbers of 2024.

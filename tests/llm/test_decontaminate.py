@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from lexgraph.llm import decontaminate as d
 
 DOCS = "doc_id long, text string, terms string, segment string"
@@ -12,20 +15,27 @@ def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute(docs, tests):
+def brute(docs, tests, slack=2):
     out = []
     for doc, text, *_ in docs:
-        w, hit, items = plain_words(text), set(), set()
+        w, hit, items, near = plain_words(text), set(), set(), set()
+        where = {}
+        for k, x in enumerate(w):
+            where.setdefault(x, set()).add(k)
         for item, t, *_ in tests:
             v = plain_words(t)
-            if item is None or not v:
+            if not v:
                 continue
             for x in [v[k : k + 10] for k in range(max(1, len(v) - 9))]:
                 for k in range(len(w) - len(x) + 1):
                     if w[k : k + len(x)] == x:
                         hit.update(range(k, k + len(x)))
-                        items.add(str(item))
-        out.append((doc, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+                        items.add(item)
+                starts = [{p - k + s for p in where.get(y, ()) for s in range(-slack, slack + 1)} for k, y in enumerate(x)]
+                if set.intersection(*starts):
+                    near.add(item)
+        items, near = items - {None}, near - {None}
+        out.append((doc, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out, key=repr)
 
 
@@ -41,7 +51,7 @@ def made():
 
 
 def rows(found):
-    return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()), key=repr)
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.n_near) for r in found.collect()), key=repr)
 
 
 def test_against_brute_force(spark):
@@ -50,10 +60,11 @@ def test_against_brute_force(spark):
     assert rows(got) == brute(docs, tests)
 
 
-def test_blocks_of_tests_give_the_same(spark):
+def test_without_slack_near_is_exact(spark):
     docs, tests = made()
-    got = d.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(tests, TESTS), tests_at_once=300)
-    assert rows(got) == brute(docs, tests)
+    got = d.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(tests, TESTS), slack=0)
+    assert rows(got) == brute(docs, tests, 0)
+    assert all(r.near_ids == r.item_ids and sum(x.e - x.s for x in r.hit_spans) == r.n_hit for r in got.collect())
 
 
 def test_empty_tables(spark):
@@ -63,9 +74,28 @@ def test_empty_tables(spark):
     assert [(r.doc_id, r.n_words, r.contaminated) for r in some] == [(1, 2, False)]
 
 
-def test_proximity_allows_slack_and_keeps_documents_apart():
-    seg = d.Segment(dict(zip("segment docs lengths terms counts positions".split(), d._segment([7, 8], [d.words("one two x three four"), d.words("five one")]), strict=True)))
-    window = tuple(d.words("one two three four"))
-    assert len(seg.find(window)) == 0 and seg.find(window, 1).tolist() == [0]
-    assert len(seg.find(tuple(d.words("four five")), 2)) == 0
-    assert seg.find(tuple(d.words("x three"))).tolist() == [2]
+def test_rows_are_dropped_by_their_text_not_their_id(spark):
+    passage = " ".join(f"w{k}" for k in range(10))
+    docs = [(None, f"x {passage} y", "a", "s"), (None, "clean words here", "a", "s"), (5, passage, "a", "s"), (5, "clean too", "a", "s"), (5, None, "a", "s"), (7, "", "a", "s"), (7, "clean too", "a", "s")]
+    tests = spark.createDataFrame([(None, passage, "x"), (1, "never met anywhere", "x")], TESTS)
+    left = d.drop_contaminated(spark.createDataFrame(docs, DOCS), tests)
+    assert left.columns == ["doc_id", "text", "terms", "segment"]
+    assert sorted((tuple(r) for r in left.collect()), key=repr) == sorted((r for r in docs if passage not in (r[1] or "")), key=repr)
+
+
+@given(st.lists(st.lists(st.integers(0, (1 << 35) - 1), max_size=30), max_size=20))
+def test_packed_lists_round_trip(lists):
+    flat = np.array([x for one in lists for x in one], np.int64)
+    data, ends = d.packed(flat, np.array([len(x) for x in lists], np.int64))
+    starts = [0, *ends][: len(lists)]
+    assert [np.diff(d.unpacked(data[a:b]), prepend=0).tolist() if b > a else [] for a, b in zip(starts, ends, strict=True)] == lists
+
+
+def test_documents_of_a_segment_are_kept_apart():
+    seg = d.Segment([5, 2])
+    found, counts, data, ends = d.postings([d.words("one two x three four"), d.words("five one")])
+    seg.packed = {t.decode(): (int(n), data[e0:e1]) for t, n, e0, e1 in zip(found, counts, [0, *ends[:-1]], ends, strict=True)}
+    window = "one two three four".split()
+    assert len(seg.find(window)[1]) == 0 and seg.find(window, 1)[1].tolist() == [0]
+    assert len(seg.find("four five".split(), 2)[1]) == 0
+    assert seg.find("x three".split())[0].tolist() == [2]
