@@ -13,9 +13,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Arrow's own pool keeps what it has freed; a worker that stays idle beside others should not.
-pa.set_memory_pool(pa.system_memory_pool())
-
 #: ASCII letters and digits and every byte of a non-ASCII character make words; A-Z become a-z, all else blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The same words as a pattern for SQL, on a text whose A-Z are lower-cased.
@@ -47,7 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, and its rows outlive lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexgraph_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lexgraph_path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -56,9 +61,13 @@ def words(text: str | None) -> list[bytes]:
 
 
 def tidy(run):
-    """A function of Arrow batches that gives freed memory back to the system at its end: its worker stays, idle, beside others."""
+    """A function of Arrow batches that gives freed memory back to the system at its end: its worker stays, idle, beside others.
+
+    In the worker Arrow takes memory from the system's pool, as its own keeps what it has freed.
+    """
 
     def tidied(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
         with contextlib.suppress(OSError, AttributeError):  # not every C library has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == last or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        last = state
+        last, old = state, now
         now = written(_small(_large(now)).where("a <> b").distinct(), "edges")
+        discard(old)

@@ -28,6 +28,7 @@ from .common import tidy, words, written
 #: Empty positions between documents of a segment, so that no window spans two.
 GAP = 64
 WINDOW = 10
+TASK_SEGMENTS = 4
 
 
 def packed(values: np.ndarray, lists: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -154,19 +155,15 @@ class Segment:
             if not len(found):
                 return none, none
         exact = found
-        if not slack:
-            return exact, np.unique(self.document(exact + own))
-        held, shifts = found[:0], range(-slack, slack + 1)
-        for shift in shifts:
-            start = found + shift
-            for _, offset, term in terms:
-                start = start[self._near(start + offset, term, slack)]
-                if not len(start):
-                    break
-            held = np.concatenate([held, start - shift])
-        for _, offset, term in terms[1:]:
+        for _, offset, term in terms[1:] if slack else ():
             exact = exact[self._near(exact + offset, term, 0)]
-        return exact, np.unique(self.document(held + own))
+        if len(rest := np.setdiff1d(found, exact, assume_unique=True)):
+            start = rest[:, None] + np.arange(-slack, slack + 1)
+            held = np.ones(start.shape, bool)
+            for _, offset, term in terms:
+                held &= self._near((start + offset).ravel(), term, slack).reshape(start.shape)
+            rest = rest[held.any(axis=1)]
+        return exact, np.unique(self.document(np.concatenate([exact, rest]) + own))
 
     def _near(self, at: np.ndarray, term: str, slack: int) -> np.ndarray:
         """Which of the places have the term within slack."""
@@ -200,12 +197,11 @@ def _asked(index: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The postings of the tests' terms, and (segment, win) for every segment with a window's rarest term."""
     split = wins.select("win", F.explode(F.array_distinct(F.split("win", " "))).alias("_term"))
     terms = written(split.select("_term").distinct(), "terms")  # on disk its size is known: Spark broadcasts it only if it is small
-    found = index.where("term IS NOT NULL").join(terms, F.col("term") == F.col("_term"), "left_semi")
+    found = written(index.where("term IS NOT NULL").join(terms, F.col("term") == F.col("_term"), "left_semi").select("segment", "term", "n", "positions"), "asked-postings")
     df = found.groupBy(F.col("term").alias("_t")).agg(F.sum("n").alias("_df"))
     ranked = split.join(df, F.col("_term") == F.col("_t"), "left").groupBy("win").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), F.col("_term").alias("t"))).alias("_r"))
     ranked = written(ranked.where("_r.d > 0").select("win", F.col("_r.t").alias("_rarest")), "rarest-terms")  # a window with an unknown term is nowhere
-    spots = index.where("term IS NOT NULL").select("segment", "term").join(ranked, F.col("term") == F.col("_rarest")).select("segment", "win")
-    return found.select("segment", "term", "n", "positions"), spots
+    return found, found.select("segment", "term").join(ranked, F.col("term") == F.col("_rarest")).select("segment", "win")
 
 
 HITS = "segment long, ord int, n_hit long, hit_spans array<struct<s:int,e:int>>, win string, exact boolean"
@@ -214,6 +210,8 @@ HITS = "segment long, ord int, n_hit long, hit_spans array<struct<s:int,e:int>>,
 def _search(index: DataFrame, wins: DataFrame, slack: int) -> DataFrame:
     """Per document with hits a row with their number and spans, and a row per window that it holds, exactly or with slack."""
     found, spots = _asked(index, wins)
+    segments = index.where("term IS NULL").count()
+    tasks = max(1, min(segments, index.sparkSession.sparkContext.defaultParallelism), -(-segments // TASK_SEGMENTS))
     # in a segment: its lengths, then postings, then windows
     rows = index.where("term IS NULL").select("segment", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("positions"), "lengths")
     rows = rows.unionByName(found.select("segment", F.lit(1).alias("kind"), F.col("term").alias("key"), "n", "positions"), allowMissingColumns=True)
@@ -269,7 +267,7 @@ def _search(index: DataFrame, wins: DataFrame, slack: int) -> DataFrame:
         closed()
         yield from flush()
 
-    rows = rows.repartition("segment").sortWithinPartitions("segment", "kind")
+    rows = rows.repartition(tasks, "segment").sortWithinPartitions("segment", "kind")
     return rows.mapInArrow(tidy(run), HITS)
 
 
@@ -338,13 +336,13 @@ tokens AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FR
 dfs AS (SELECT word, count(*) AS df FROM tokens GROUP BY word),
 parts AS (SELECT win, unnest(string_split(win, ' ')) AS word, unnest(range(0, n)) AS k, n FROM (SELECT DISTINCT win, n FROM wins) x),
 ranked AS (SELECT win, p.word, k, n, row_number() OVER (PARTITION BY win ORDER BY df, p.word, k) AS r FROM parts p JOIN dfs USING (word)),
-starts AS (SELECT DISTINCT rid, win, n, pos - k + shift AS at FROM ranked JOIN tokens USING (word), (SELECT unnest(range(-2, 3)) AS shift) s WHERE r = 1),
+starts AS (SELECT DISTINCT rid, win, n, pos - k + shift AS place FROM ranked JOIN tokens USING (word), (SELECT unnest(range(-2, 3)) AS shift) s WHERE r = 1),
 pruned AS (
-  SELECT DISTINCT s.rid, s.win, s.n, at FROM starts s JOIN ranked r2 ON r2.win = s.win AND r2.r = least(s.n, 2)
-  JOIN tokens t ON t.rid = s.rid AND t.word = r2.word AND abs(t.pos - at - r2.k) <= 2),
+  SELECT DISTINCT s.rid, s.win, s.n, s.place FROM starts s JOIN ranked r2 ON r2.win = s.win AND r2.r = least(s.n, 2)
+  JOIN tokens t ON t.rid = s.rid AND t.word = r2.word AND abs(t.pos - s.place - r2.k) <= 2),
 close AS (
-  SELECT p.rid, p.win FROM pruned p JOIN ranked r ON r.win = p.win JOIN tokens t ON t.rid = p.rid AND t.word = r.word AND abs(t.pos - at - r.k) <= 2
-  GROUP BY p.rid, p.win, p.n, p.at HAVING count(DISTINCT r.k) = p.n),
+  SELECT p.rid, p.win FROM pruned p JOIN ranked r ON r.win = p.win JOIN tokens t ON t.rid = p.rid AND t.word = r.word AND abs(t.pos - p.place - r.k) <= 2
+  GROUP BY p.rid, p.win, p.n, p.place HAVING count(DISTINCT r.k) = p.n),
 near AS (SELECT rid, count(DISTINCT item_id) AS n_near FROM close JOIN wins USING (win) GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM lower_docs LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near USING (rid)

@@ -1,16 +1,17 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Every vector is described by its nearest reference points (pivots), in order. Vectors that share at least
-three of their eight nearest pivots are candidates: an inverted list per triple of pivots holds them, and a
-pair is taken up in one list only, that of its three lowest shared pivots. Candidates are verified by their
-cosine in double precision. Long lists are dealt to pairs of blocks.
+Every vector is described by its nearest reference points (pivots), in order of nearness. Two vectors are
+candidates if they share at least three of their eight nearest pivots, the nearest one of each among them. So
+a vector stands in the inverted lists of the 21 triples that hold its nearest pivot and two others of the
+eight, and candidates meet in a list that holds the nearest pivots of both. A pair is taken up in one list only,
+that of its lowest further shared pivots. Candidates are verified by their cosine in double precision. Long
+lists are dealt to pairs of blocks.
 
 Pivots are picked farthest first from a hash sample, and none lies nearer to another than THIN below the limit:
 a large group of near copies holds one of them at most, so that its members agree on their nearest ones.
 
-At cosine 0.95 two vectors of 64 dimensions share three of eight pivots out of 256 in 998 of 1000 cases,
-and two unrelated ones in 1 or 2. The number of pivots grows with the cube root of the number of vectors, so
-that candidates per vector stay about as many. The tests measure recall against all pairs.
+The number of pivots grows with the cube root of the number of vectors, so that candidates per vector stay about
+as many. The tests measure recall against all pairs.
 """
 
 from __future__ import annotations
@@ -22,40 +23,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aligned, block_pairs, smallest_reachable, written
+from .common import aligned, block_pairs, smallest_reachable, tidy, written
 from .components import components
 
 NEAREST, SHARED = 8, 3
 LIST_BLOCK = 512
+WITHOUT = 512  # different vectors of a length up to which they are one list
 SAMPLED = 4  # vectors looked at for each pivot
 THIN = 0.1
 LONG_LIST = 48  # rows from which a list is verified by matrix products
 
 
 def n_pivots(n: int) -> int:
-    """256 pivots for 50,000 vectors, by the cube root for others, from 64 to 8192."""
-    return int(min(8192, max(64, 256 * (n / 50_000) ** (1 / 3))))
+    """256 pivots for 50,000 vectors, by the cube root for others, from 64 to the 65,535 that a key can tell (800 billion vectors)."""
+    return int(min(65_535, max(64, 256 * (n / 50_000) ** (1 / 3))))
 
 
-def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """_id, _vec (the components as float64 bytes; null for a vector that links with nothing) and _dim."""
+def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """_id, _vec (the components as bytes; null for a vector that links with nothing) and _dim; and the bytes' type, of the column's precision."""
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
 
     def run(batches):
         for batch in batches:
-            column, packed = batch.column(1), []
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            holes = column.flatten().is_null().to_numpy(zero_copy_only=False)
-            sizes = [0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()]
-            at = 0
-            for n in sizes:
-                v = flat[at : at + n] + 0.0
-                good = n and not holes[at : at + n].any() and np.isfinite(v).all() and v.any()
-                packed.append(v.tobytes() if good else None)
-                at += n
+            column = batch.column(1)
+            inner = column.flatten()
+            flat = inner.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # no negative zeros
+            bad = inner.is_null().to_numpy(zero_copy_only=False) | ~np.isfinite(flat)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+            good, data, width = (sums(bad) == 0) & (sums(flat != 0) > 0), flat.tobytes(), flat.itemsize
+            packed = [data[(e - n) * width : e * width] if ok else None for e, n, ok in zip(ends.tolist(), sizes.tolist(), good.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "_vec", "_dim"])
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    return rows.mapInArrow(run, "_id long, _vec binary, _dim int")
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("_v"))
+    return rows.mapInArrow(tidy(run), "_id long, _vec binary, _dim int"), kind
+
+
+def matrix(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one length as unit rows in double precision."""
+    return unit(np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -73,56 +80,87 @@ def spread(points: np.ndarray, most: int, nearest: float) -> np.ndarray:
     return points[picked]
 
 
-def pivot_lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """The postings (_key, _node) of the inverted lists, and of each node its pivots in ascending order."""
+def pivot_lists(classes: DataFrame, pivots, kind: str) -> DataFrame:
+    """Of each node the keys of its inverted lists and its pivots, nearest first.
+
+    pivots is a broadcast dict by length of vector; vectors of a length without pivots are in one list.
+    """
+    rest = np.array(list(combinations(range(1, NEAREST), SHARED - 1)))
+    triples = np.concatenate([np.zeros((len(rest), 1), np.int64), rest], axis=1)
 
     def run(batches):
         for batch in batches:
-            keys, orders, nodes = [], [], batch.column(0).to_pylist()
-            for vec, dim in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                points = pivots[dim]
+            vectors, dims = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            keys, orders = [None] * len(dims), np.full((len(dims), NEAREST), -1, np.int32)
+            for dim in np.unique(dims):
+                points, rows = pivots.value.get(int(dim)), np.flatnonzero(dims == dim)
+                if points is None:
+                    for r in rows:
+                        keys[r] = [key_of(int(dim), np.full((1, SHARED), 0xFFFF))[0]]
+                    continue
+                near = matrix([vectors[r] for r in rows], kind) @ points.T
                 m = min(NEAREST, len(points))
-                near = points @ unit(np.frombuffer(vec).reshape(1, -1))[0]
-                order = np.sort(np.argsort(-near, kind="stable")[:m])
-                orders.append(order.astype(np.int32))
-                short = (0,) * max(0, SHARED - m)
-                keys.append([key_of(dim, (*short, *t)) for t in combinations(order.tolist(), min(SHARED, m))])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(orders, pa.list_(pa.int32()))], ["_node", "_keys", "_pivots"])
+                order = np.argsort(-near, axis=1, kind="stable")[:, :m]
+                orders[rows, :m] = order
+                found = np.sort(order[:, triples[(triples < m).all(axis=1)]], axis=2)
+                for r, key in zip(rows, key_of(int(dim), found), strict=True):
+                    keys[r] = key
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(list(orders), pa.list_(pa.int32()))], ["_node", "_keys", "_pivots"])
+
+    return classes.select("_node", "_vec", "_dim").mapInArrow(tidy(run), "_node long, _keys array<long>, _pivots array<int>")
+
 
-    return classes.select("_node", "_vec", "_dim").mapInArrow(run, "_node long, _keys array<long>, _pivots array<int>")
+def key_of(dim: int, triples: np.ndarray) -> np.ndarray:
+    """A list's key: 16 bits per pivot in ascending order, and the dimension above."""
+    triples = triples.astype(np.int64)
+    return ((dim & 0x7FFF) << 48) | (triples[..., 0] << 32) | (triples[..., 1] << 16) | triples[..., 2]
 
 
-def key_of(dim, triple):
-    """A list's key: 16 bits per pivot, and the dimension above."""
-    return ((dim & 0x7FFF) << 48) | (triple[0] << 32) | (triple[1] << 16) | triple[2]
+def lowest_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of pivot orders the key (without dimension) of the one list that takes the pair up: the nearest pivots of both and the lowest others shared; negative if they share too few."""
+    shared = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a >= 0)
+    first, second = a[:, 0], b[:, 0]
+    others = np.sort(np.where(shared & (a != first[:, None]) & (a != second[:, None]), a.astype(np.int64), 1 << 20), axis=1)
+    triple = np.sort(np.stack([first, np.where(first == second, others[:, 1], second), others[:, 0]], axis=1), axis=1)
+    known = (triple < 1 << 20).all(axis=1) & (shared & (a == second[:, None])).any(axis=1)
+    return np.where(known, key_of(0, triple), -1)
 
 
-def first_close(x: np.ndarray, places: np.ndarray, last: int, sides: np.ndarray | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list's rows (of both sides, if any) at the limit or above that share no pivots up to the list's last one but its own."""
+def first_close(x: np.ndarray, orders: np.ndarray, key: int, sides: np.ndarray | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list's rows (of both sides, if any) at the limit or above that this list takes up."""
     if sides is None:
         a = b = np.arange(len(x))
     else:
         a, b = np.flatnonzero(~sides), np.flatnonzero(sides)
-    has = np.zeros((len(x), len(known := np.unique(places[(places >= 0) & (places <= last)]))), np.float32)
-    r, c = np.nonzero((places >= 0) & (places <= last))
-    has[r, np.searchsorted(known, places[r, c])] = 1
-    hit = (x[a] @ x[b].T >= limit - 1e-9) & (has[a] @ has[b].T < SHARED + 0.5)
+    hit = x[a] @ x[b].T >= limit - 1e-9
+    if orders[0, 0] >= 0:
+        triple = [key >> 32 & 0xFFFF, key >> 16 & 0xFFFF, key & 0xFFFF]
+        low = (orders >= 0) & (orders <= triple[2])
+        has = np.zeros((len(x), len(known := np.unique(orders[low]))), np.float32)
+        r, c = np.nonzero(low)
+        has[r, np.searchsorted(known, orders[r, c])] = 1
+        for p in triple:  # rows by their nearest pivots: which further pivots must be the lowest shared ones
+            for q in triple:
+                pa_, pb_ = np.flatnonzero(orders[a, 0] == p), np.flatnonzero(orders[b, 0] == q)
+                if len(pa_) and len(pb_):
+                    own = [t for t in triple if t not in (p, q)]
+                    there = (known <= max(own)) & (known != p) & (known != q)
+                    hit[np.ix_(pa_, pb_)] &= has[a[pa_]][:, there] @ has[b[pb_]][:, there].T < len(own) + 0.5
     ra, rb = np.nonzero(np.triu(hit, 1) if sides is None else hit)
     ra, rb = a[ra], b[rb]
     close = np.einsum("ij,ij->i", x[ra], x[rb]) >= limit
     return ra[close], rb[close]
 
 
-def verified(postings: DataFrame, limit: float) -> DataFrame:
+def verified(postings: DataFrame, limit: float, kind: str) -> DataFrame:
     """(node, root, links) per node and table of lists that has links."""
 
     def run(batches):
         for table in aligned(batches, 3):
             keys, i, j = (table.column(k).to_numpy() for k in range(3))
             nodes, sides, copies = table.column("_node").to_numpy(), table.column("_side").to_numpy(), table.column("_copies").to_numpy()
-            orders, vectors = table.column("_pivots").to_pylist(), table.column("_vec").to_pylist()
-            width = max(map(len, orders))
-            places = np.array([o + [-1] * (width - len(o)) for o in orders], np.int64)
+            orders = table.column("_pivots").combine_chunks().flatten().to_numpy().reshape(-1, NEAREST).astype(np.int64)
+            vectors = table.column("_vec").to_pylist()
             dims = np.array([len(v) for v in vectors])
             run_start = np.concatenate([[True], (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             group = np.cumsum(run_start) - 1
@@ -130,13 +168,16 @@ def verified(postings: DataFrame, limit: float) -> DataFrame:
             ends_a, ends_b = [], []
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                x = unit(np.frombuffer(b"".join(vectors[k] for k in rows)).reshape(len(rows), -1))
-                for g in np.unique(group[rows][long[group[rows]]]):
-                    at = np.flatnonzero(group[rows] == g)
-                    a, b = first_close(x[at], places[rows[at]], int(keys[rows[at[0]]]) & 0xFFFF, None if i[rows[at[0]]] == j[rows[at[0]]] else sides[rows[at]], limit)
-                    ends_a.append(rows[at[a]])
-                    ends_b.append(rows[at[b]])
-                rest = ~long[group[rows]]
+                x = matrix([vectors[k] for k in rows], kind)
+                own = group[rows]
+                cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+                for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                    if long[own[start]]:
+                        r = rows[start:end]
+                        a, b = first_close(x[start:end], orders[r], int(keys[r[0]]), None if i[r[0]] == j[r[0]] else sides[r], limit)
+                        ends_a.append(r[a])
+                        ends_b.append(r[b])
+                rest = ~long[own]
                 rows, x = rows[rest], x[rest]
                 own, step = group[rows], 1
                 while step < len(rows):
@@ -146,18 +187,12 @@ def verified(postings: DataFrame, limit: float) -> DataFrame:
                     b = a + step
                     ra, rb = rows[a], rows[b]
                     here = (i[ra] == j[ra]) | (sides[ra] != sides[rb])
-                    a, b, ra, rb = a[here], b[here], ra[here], rb[here]
-                    shared = (places[ra][:, :, None] == places[rb][:, None, :]).any(axis=2) & (places[ra] >= 0)
-                    nth = np.cumsum(shared, axis=1)
-                    lowest = np.zeros(len(ra), np.int64)
-                    for n in range(1, SHARED + 1):  # the key of the lowest shared pivots, as key_of has it
-                        hit = shared & (nth == n)
-                        lowest = (lowest << 16) | np.where(hit.any(axis=1), (places[ra] * hit).sum(axis=1), 0)
-                    first = (lowest == (keys[ra] & 0xFFFFFFFFFFFF)) | (nth[:, -1] < SHARED)
-                    a, b, ra, rb = a[first], b[first], ra[first], rb[first]
-                    close = np.einsum("ij,ij->i", x[a], x[b]) >= limit
-                    ends_a.append(ra[close])
-                    ends_b.append(rb[close])
+                    close = np.zeros(len(a), bool)
+                    close[here] = np.einsum("ij,ij->i", x[a[here]], x[b[here]]) >= limit
+                    ra, rb = ra[close], rb[close]
+                    first = (lowest_key(orders[ra], orders[rb]) == (keys[ra] & 0xFFFFFFFFFFFF)) | (orders[ra, 0] < 0)
+                    ends_a.append(ra[first])
+                    ends_b.append(rb[first])
                     step += 1
             if not ends_a or not len(a := np.concatenate(ends_a)):
                 continue
@@ -172,7 +207,7 @@ def verified(postings: DataFrame, limit: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(found[root[keep]]), pa.array(links[keep])], ["node", "root", "links"])
 
     rows = postings.select("_key", "_i", "_j", "_node", "_side", "_copies", "_pivots", "_vec").repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_node")
-    return rows.mapInArrow(run, "node long, root long, links long")
+    return rows.mapInArrow(tidy(run), "node long, root long, links long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.95) -> DataFrame:
@@ -181,22 +216,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n_links counts the other vectors linked directly (equal ones included), component_id is the smallest id
     reachable by links, kept says that the row has it. No pair below the limit is linked; of those at it or
     above nearly all are found. A vector that is null, empty, zero, or has a null, NaN or infinite component
-    links with nothing, and vectors of different lengths don't link. Rows that repeat an id are vectors of
+    links with nothing, and vectors of different lengths don't link. A length with up to WITHOUT different
+    vectors is one list; for every other one the driver holds its pivots (a bounded sample). Rows that repeat an id are vectors of
     their own; null ids are allowed. Labels and other columns are ignored; an empty table gives no rows.
     """
-    rows = written(_packed(vectors, id_col, vector_col), "vectors")
+    rows, kind = _packed(vectors, id_col, vector_col)
+    rows = written(rows, "vectors")
     classes = rows.where("_vec IS NOT NULL").groupBy("_vec", "_dim").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
     classes = written(classes.withColumn("_node", F.monotonically_increasing_id()), "vector-classes")
     pivots = {}
-    for dim, n in classes.groupBy("_dim").count().orderBy(F.desc("count")).limit(64).collect():  # a bounded sample of each length
+    for dim, n in classes.groupBy("_dim").count().where(F.col("count") > WITHOUT).collect():
         taken = classes.where(F.col("_dim") == dim).orderBy(F.xxhash64("_vec"), "_node").limit(SAMPLED * n_pivots(n)).select("_vec").collect()
-        pivots[dim] = spread(unit(np.stack([np.frombuffer(r[0]) for r in taken])), n_pivots(n), limit - THIN)
-    described = written(pivot_lists(classes.where(F.col("_dim").isin(list(pivots) or [0])), pivots), "pivots")
+        points = spread(matrix([bytes(r[0]) for r in taken], kind), n_pivots(n), limit - THIN)
+        if len(points) >= SHARED:
+            pivots[dim] = points
+    described = written(pivot_lists(classes, vectors.sparkSession.sparkContext.broadcast(pivots), kind), "pivots")
     postings = described.select("_node", F.explode("_keys").alias("_key"))
     lists = postings.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"), F.ceil(F.col("_n") / LIST_BLOCK).cast("long").alias("_blocks"))
     postings = postings.join(lists, F.col("_key") == F.col("_k")).select("_key", "_node", "_blocks")
     data = classes.select("_node", "_copies", "_vec").join(described.select(F.col("_node").alias("_c"), "_pivots"), F.col("_node") == F.col("_c")).drop("_node")
-    found = written(verified(block_pairs(postings.join(data, F.col("_node") == F.col("_c")), "_node", "_blocks"), limit), "vector-links")
+    found = written(verified(block_pairs(postings.join(data, F.col("_node") == F.col("_c")), "_node", "_blocks"), limit, kind), "vector-links")
     groups = components(found, "node", "root").select(F.col("node").alias("_node"), F.col("component").alias("_group"))
     links = found.groupBy(F.col("node").alias("_node")).agg(F.sum("links").alias("_far"))
     linked = classes.join(groups, "_node", "left").join(links, "_node", "left")

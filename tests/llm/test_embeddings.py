@@ -50,6 +50,7 @@ def test_recall_with_a_third_of_the_rows_in_one_group(spark, cosine):
 
 def test_small_blocks_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), 0, "x", "x") for i, v in enumerate(made(300))], SCHEMA)
+    monkeypatch.setattr(e, "WITHOUT", 50)
     once = sorted(map(tuple, e.near_vectors(df).collect()))
     monkeypatch.setattr(e, "LIST_BLOCK", 3)
     assert sorted(map(tuple, e.near_vectors(df).collect())) == once
@@ -70,3 +71,44 @@ def test_odd_vectors(spark):
 def test_few_rows(spark, rows):
     got = e.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.n_links, r.component_id) for r in got] == [(0, r[0]) for r in rows]
+
+
+def test_every_length_is_indexed(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(2, 72):
+        v = rng.normal(size=n)
+        rows += [(2 * n, v.tolist(), 0, "x", "x"), (2 * n + 1, (v + 0.01 * rng.normal(size=n)).tolist(), 0, "x", "x")]
+    got = e.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, 1, k // 2 * 2) for k in range(4, 144)]
+
+
+def test_a_pair_is_taken_up_in_one_of_its_lists():
+    rng = np.random.default_rng(8)
+    x = e.unit(np.ones((60, 4)) + 0.01 * rng.normal(size=(60, 4)))
+    orders = np.stack([rng.permutation(11)[:8] for _ in range(60)]).astype(np.int64)
+    lists = {}
+    for node, order in enumerate(orders):
+        for i in range(1, 8):
+            for j in range(i + 1, 8):
+                lists.setdefault(tuple(sorted(order[[0, i, j]].tolist())), []).append(node)
+    taken, slow = [], []
+    for triple, nodes in lists.items():
+        key, nodes = int(e.key_of(4, np.array([triple]))[0]), np.array(nodes)
+        a, b = e.first_close(x[nodes], orders[nodes], key, None, 0.9)
+        taken += [tuple(sorted(t)) for t in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True)]
+        a, b = np.triu_indices(len(nodes), 1)
+        first = e.lowest_key(orders[nodes[a]], orders[nodes[b]]) == key & 0xFFFFFFFFFFFF
+        slow += [tuple(sorted(t)) for t in zip(nodes[a[first]].tolist(), nodes[b[first]].tolist(), strict=True)]
+    want = []
+    for a in range(60):
+        for b in range(a + 1, 60):
+            shared = set(orders[a].tolist()) & set(orders[b].tolist())
+            if len(shared) >= 3 and {int(orders[a, 0]), int(orders[b, 0])} <= shared:
+                want.append((a, b))
+    assert sorted(taken) == want and sorted(slow) == want
+
+
+def test_single_precision_is_kept(spark):
+    df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.2, 0.4]), (3, [1.0, -1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.n_links) for r in e.near_vectors(df).collect()) == [(1, 1), (2, 1), (3, 0)]
