@@ -9,7 +9,7 @@ pages by broadcast if its size on disk allows it, else by a shuffle join that sp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -19,16 +19,17 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str | Column = "source", id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """Return all columns of docs with text_col cleaned, and _n_lines and _n_dropped.
 
-    A line, trimmed of blanks, is dropped where it stands on at least min_pages pages of its host and on more
-    than max_ratio of them. Every row is a page, also one that repeats another; a line counts once a page.
+    A line, trimmed of blanks, is dropped where it stands on more than max_ratio of its host's pages. Boilerplate
+    is what repeats, so a line on fewer than min_pages pages (two) never is. host is a column or an expression,
+    such as url_filter.host(F.col("url")) for pages. Every row is a page, also one that repeats another; a line counts once a page.
     Blank lines are neither counted nor dropped. A null host is the same host as an empty one. A null text
     stays null with 0 lines; an empty text is one blank line. All rows and all other columns stay; an empty
     table gives none.
     """
-    host_key = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    host_key = F.coalesce((F.col(host) if isinstance(host, str) else host).cast("string"), F.lit(""))
     digest = lambda x: F.unhex(F.md5(F.trim(x).cast("binary")))
     kept = [F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)]
     pages = docs.select(host_key.alias("_host"), F.col(text_col).alias("_text"))
@@ -39,6 +40,9 @@ def dedup_lines(docs: DataFrame, host: str = "source", id_col: str = "doc_id", t
     hot = written(hot.groupBy("_h").agg(F.collect_set("_key").alias("_drop")), "hot-lines")
     out = docs.select(host_key.alias("_host"), *kept).join(hot, F.col("_host") == F.col("_h"), "left")
     text = F.col(f"_in_{docs.columns.index(text_col)}")
+    # the page's own hot lines first, by hashing: a host's list may be long
+    out = out.withColumn("_drop", F.when(F.col("_drop").isNotNull(), F.array_intersect(F.transform(_lines(text), digest), "_drop")))
+    out = out.withColumn("_drop", F.when(F.size("_drop") > 0, F.col("_drop")))
     lines = F.filter(_lines(text), lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("_drop"), digest(x))))
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
     n_left = F.when(text.isNull(), F.lit(0)).when(F.col("_drop").isNull(), n_lines).otherwise(F.size(lines))
