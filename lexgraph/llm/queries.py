@@ -37,18 +37,20 @@ _HOST = r"regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
 
 
 def url_entries(captures: DataFrame) -> DataFrame:
-    """A made-up list history over the hosts of captures: (list, pattern, action, at), at in seconds."""
+    """A made-up list history over the hosts, and some of the pages, of captures: (list, pattern, action, at), at in seconds."""
     hosts = captures.select(F.expr(_HOST).alias("h")).where("h <> ''").distinct()
     hosts = hosts.withColumn("k", F.expr("cast(conv(substring(md5(h), 1, 4), 16, 10) AS BIGINT)"))
     day = lambda e: f"1704067200L + 86400L * ({e})"
     events = [
         ("spam", "h", "add", "k % 200", "k % 3 <> 0"), ("spam", "h", "remove", "k % 200 + 60", "k % 3 <> 0"), ("spam", "h", "add", "k % 200 + 120", "k % 3 = 1"),
         ("adult", "concat(h, '/de/')", "add", "k % 150", "true"), ("adult", "concat(h, '/de/')", "remove", "k % 150 + 30 + k % 100", "k % 2 = 0"),
+        ("mirror", "concat(h, '/fr')", "add", "k % 250", "k % 4 = 1"),
         ("malware", "regexp_extract(h, '[^.]+[.][^.]+[.][^.]+$', 0)", "add", "k % 300", "k % 5 < 2"),
     ]
     parts = [hosts.where(cond).select(F.lit(name).alias("list"), F.expr(pattern).alias("pattern"), F.lit(act).alias("action"), F.expr(day(at)).alias("at")) for name, pattern, act, at, cond in events]
-    out = parts[0]
-    for p in parts[1:]:
+    page = F.regexp_replace("url", "^https?://|[?#].*$", "")
+    out = captures.where("page_id % 10 = 3").select(F.lit("phish").alias("list"), page.alias("pattern"), F.lit("add").alias("action"), F.expr(day("page_id % 300")).alias("at"))
+    for p in parts:
         out = out.unionByName(p)
     return out.where("pattern <> ''")
 
@@ -82,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
 
 ORACLES = {
-    "op1_line_dedup": line_dedup.SQL.format(min_pages=5, max_ratio=0.1),
+    "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
     "op3_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS m FROM p)
@@ -100,13 +102,16 @@ log AS (
   UNION ALL SELECT 'spam', h, 'add', k % 200 + 120 FROM hosts WHERE k % 3 = 1
   UNION ALL SELECT 'adult', h || '/de/', 'add', k % 150 FROM hosts
   UNION ALL SELECT 'adult', h || '/de/', 'remove', k % 150 + 30 + k % 100 FROM hosts WHERE k % 2 = 0
+  UNION ALL SELECT 'mirror', h || '/fr', 'add', k % 250 FROM hosts WHERE k % 4 = 1
+  UNION ALL SELECT 'phish', regexp_replace(url, '^https?://|[?#].*$', '', 'g'), 'add', page_id % 300 FROM caps WHERE page_id % 10 = 3
   UNION ALL SELECT 'malware', regexp_extract(h, '[^.]+[.][^.]+[.][^.]+$', 0), 'add', k % 300 FROM hosts WHERE k % 5 < 2),
-entries AS (SELECT list, pattern, action, 1704067200 + 86400 * day AS at FROM log WHERE pattern <> ''),
+entries AS (SELECT list, pattern, split_part(pattern, '/', 1) AS ph, substr(pattern, length(split_part(pattern, '/', 1)) + 1) AS pp, action, 1704067200 + 86400 * day AS at_ FROM log WHERE pattern <> ''),
 judged AS (
   SELECT c.page_id, e.list,
-    max(e.at) FILTER (WHERE e.action = 'add') AS added, max(e.at) FILTER (WHERE e.action = 'remove') AS removed
-  FROM caps c JOIN entries e ON e.at <= c.fetched_at AND (c.h = e.pattern OR ends_with(c.h, '.' || e.pattern)
-    OR (contains(e.pattern, '/') AND starts_with(regexp_replace(lower(split_part(split_part(c.url, '?', 1), '#', 1)), '^https?://', ''), e.pattern)))
+    max(e.at_) FILTER (WHERE e.action = 'add') AS added, max(e.at_) FILTER (WHERE e.action = 'remove') AS removed
+  FROM (SELECT *, regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://[^/]*', '') AS path FROM caps) c
+  JOIN entries e ON e.at_ <= c.fetched_at AND (c.h = e.ph OR ends_with(c.h, '.' || e.ph))
+    AND (e.pp = '' OR c.path = e.pp OR starts_with(c.path, CASE WHEN ends_with(e.pp, '/') THEN e.pp ELSE e.pp || '/' END))
   GROUP BY c.page_id, e.list, e.pattern),
 active AS (SELECT page_id, list FROM judged WHERE added IS NOT NULL AND (removed IS NULL OR added > removed) GROUP BY page_id, list),
 lists AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists, count(*) AS n FROM active GROUP BY page_id)

@@ -26,6 +26,23 @@ def test_captures_are_judged_at_their_time(spark):
     assert {r.page_id: r.host for r in got}[3] == "sub.x.com"
 
 
+def test_pages_prefixes_and_addresses(spark):
+    log = entries(spark, ("page", "http://X.com/p/One.html#top", "add", 0), ("pre", "x.com/De", "add", 0), ("dir", "x.com/en/", "add", 0), ("q", "x.com/s?id=1", "add", 0), ("six", "http://[2001:DB8::1]:80/", "add", 0), ("four", "10.0.0.1", "add", 0), ("tld", "org", "add", 0), ("void", "/p/", "add", 0), ("root", "y.com/", "add", 0))
+    asked = {
+        "http://x.com/p/One.html": "page", "http://a.x.com//p/One.html?x=1": "page", "http://x.com/p/one.html": "", "http://x.com/p/One.html/": "page", "http://x.com/De": "pre", "http://x.com/De/x?y": "pre", "http://x.com/Der": "", "http://x.com/de/": "",
+        "http://x.com/en": "", "http://x.com/en/": "dir", "http://x.com/en/a/b": "dir", "http://x.com/s?id=1": "q", "http://x.com/s?id=12": "", "http://[2001:db8::1]/x": "six", "https://10.0.0.1:8080/": "four", "http://0.0.1/": "", "http://a.b.org": "tld", "http://m.y.com?q": "root",
+    }
+    got = u.filter_urls(spark.createDataFrame([(k, url, 5, "", "") for k, url in enumerate(asked)], CAPTURES), log).collect()
+    assert {r.url: r.lists for r in got} == asked
+
+
+def test_a_long_history_is_cut_by_periods(spark):
+    log = [("a", "x.com/p", "add" if k % 2 == 0 else "remove", 10 * k) for k in range(-50, 200)] + [("b", "x.com", "add", 300)]
+    rows = [(k, "http://x.com/p", k, "", "") for k in range(0, 1500, 7)]
+    got = u.filter_urls(spark.createDataFrame(rows, CAPTURES), entries(spark, *log)).collect()
+    assert {r.page_id: r.lists for r in got} == {k: ",".join(["a"] * (k // 10 % 2 == 0) + ["b"] * (k >= 300)) for k, *_ in rows}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], CAPTURES)
     assert u.filter_urls(none, entries(spark)).collect() == []
