@@ -118,6 +118,7 @@ lists AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists, count(*)
 SELECT c.page_id, c.url, c.fetched_at, c.h AS host, coalesce(l.lists, '') AS lists, coalesce(l.n, 0) AS n_lists, l.n IS NOT NULL AS blocked
 FROM caps c LEFT JOIN lists l USING (page_id)
 """,
+    "op8_sharding": sharding.SQL.format(seed=17, shards=40),
     "op7_pivot_index": embeddings.SQL.format(limit=0.95),
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

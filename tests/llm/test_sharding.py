@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -23,6 +24,30 @@ def test_law_slots_and_mixture(spark):
         assert sizes == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "rows", None) for i, t, *_ in rows)
 
 
+def brute(rows, n_shards, seed=17):
+    marked = []
+    for i, t, source, *_ in rows:
+        data = (t or "").encode()
+        hashed = int(hashlib.md5(f"{seed}|{'' if i is None else i}|".encode() + data).hexdigest()[:15], 16)
+        marked.append(((source is not None, source or ""), (hashed, (i is not None, i or 0), zlib.crc32(data), len(data) + 16), i))
+    totals, seen, order = Counter(m[0] for m in marked), Counter(), []
+    for source, key, i in sorted(marked, key=lambda m: m[:2]):
+        order.append(((seen[source] + 0.5) / totals[source], source, key, i))
+        seen[source] += 1
+    n, out = len(rows), []
+    for place, (_, _, key, i) in enumerate(sorted(order, key=lambda o: o[:3])):
+        shard = place * n_shards // n
+        out.append((i, key[3], key[2], shard, place - -(-shard * n // n_shards)))
+    return sorted(out, key=repr)
+
+
+def test_against_brute_force_with_many_repeated_rows(spark):
+    rows = [(i % 700 if i % 50 else None, None if i % 31 == 0 else f"text {i % 400} é", None if i % 17 == 0 else f"s{min(i % 5, 2)}", "x", "x", "x") for i in range(2000)]
+    rows += [rows[1]] * 10_000
+    got = assign_shards(spark.createDataFrame(rows, SCHEMA), 7, bucket_rows=100).collect()
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=repr) == brute(rows, 7)
+
+
 def test_order_within_a_source_is_shuffled_and_stable(spark):
     rows = [(i, f"t{i}", "s", "x", "x", "x") for i in range(800)]
     df = spark.createDataFrame(rows, SCHEMA)
