@@ -5,8 +5,8 @@ Each language has several centroids, found by spherical k-means over a bounded s
 documents. A text gets the language of the centroid with the highest cosine, and is rejected if that is far
 below what sample documents of that size reach with centroids of other documents.
 
-The sample is all that the classifier is fitted on: up to `sample_docs` whole documents of each of the
-`languages` most frequent labels, dealt by a hash.
+The sample is all that the classifier is fitted on: up to `sample_docs` different whole documents of each
+label, dealt by a hash of their texts.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def usual(best: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(medians[nearest] * 2.0 ** (-np.maximum(0, known[0] - np.arange(BINS)) / 2))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1000, languages: int = 100, per_language: int = 4, false_rejects: float = 0.001, seed: int = 9) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1000, per_language: int = 4, false_rejects: float = 0.001, seed: int = 9) -> Model:
     """Fit on labelled rows; those with a null text, label or id, or without a letter, teach nothing.
 
     Accepted is what reaches a share of its size's usual cosine in the language: the share that all but
@@ -125,12 +125,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     takes, for each size, the least that another language asks for; if there is none it rejects nothing.
     """
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id")).dropna()
-    known = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()
-    if not known:
-        return Model(np.ones(WIDTH), np.zeros((0, WIDTH)), [], np.zeros((0, BINS)))
-    share = F.create_map(*(F.lit(v) for lang, n in known for v in (lang, min(1.0, 1.2 * sample_docs / n))))
-    place = F.xxhash64(F.lit(seed), "_id").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    sample = rows.where(F.col("_lang").isin([lang for lang, _ in known])).withColumn("_place", place).where(F.col("_place") < F.element_at(share, F.col("_lang")))
+    known = rows.groupBy(F.col("_lang").alias("_l")).agg(F.least(F.lit(1.0), F.lit(1.2 * sample_docs) / F.count("*")).alias("_share"))
+    known = written(known, "labels")  # on disk its size is known: Spark broadcasts it only if it is small
+    place = F.xxhash64(F.lit(seed), "_text").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    sample = rows.withColumn("_place", place).join(known, (F.col("_lang") == F.col("_l")) & (F.col("_place") < F.col("_share")))
+    sample = sample.dropDuplicates(["_lang", "_place"])  # a text that is repeated is one
 
     def featured(batches):
         for batch in batches:
@@ -160,7 +159,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         m = len(centroids)
         return pd.DataFrame({"lang": [key[0]] * m, "centroid": list(centroids), "usual": [typical] * m, "shares": [shares] + [shares[:0]] * (m - 1)})
 
-    found = sample.groupBy("_lang").applyInPandas(clustered, "lang string, centroid array<float>, usual array<double>, shares array<double>").collect()  # languages * per_language rows and languages * sample_docs shares at most
+    found = sample.groupBy("_lang").applyInPandas(clustered, "lang string, centroid array<float>, usual array<double>, shares array<double>").collect()  # of each label per_language rows and sample_docs shares at most
     found.sort(key=lambda r: (r.lang, r.centroid))
     if not found:
         return Model(np.ones(WIDTH), np.zeros((0, WIDTH)), [], np.zeros((0, BINS)))
@@ -183,7 +182,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     no language is known (nothing is rejected then).
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most languages * per_language centroids of WIDTH numbers
+    shared = spark.sparkContext.broadcast(model)  # per_language centroids of WIDTH numbers a label
 
     def run(batches):
         for batch in batches:

@@ -40,6 +40,26 @@ def test_unknown_languages_are_rejected_at_all_lengths(spark):
     assert sum(got[r[0]].rejected for r in data) == 0
 
 
+def test_every_label_is_learned(spark):
+    rng, data = random.Random(6), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for lang in range(120):
+        stems = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(8)]
+        data += [(100 * lang + k, " ".join("".join(rng.choice(stems) for _ in range(2)) for _ in range(40)), f"l{lang}", "x", "x") for k in range(8)]
+    data += [(20_000, data[0][1], "l0", "x", "x")] * 3000  # one document, often
+    got = langid.identify(spark.createDataFrame(data, SCHEMA)).collect()
+    truth = {r[0]: r[2] for r in data}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got) > 0.98 and len({r.lang_pred for r in got}) == 120
+
+
+def test_unlearned_words_of_the_same_letters_are_rejected(spark):
+    rng, data = random.Random(7), rows()
+    other = "pel gri fum dax oll ivy bst uqu ept"
+    strange = [(9000 + k, " ".join("".join(rng.choice(other.split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(30, 300))), None, "x", "x") for k in range(100)]
+    got = [r for r in langid.identify(spark.createDataFrame(data + strange, SCHEMA)).collect() if r.doc_id >= 9000]
+    assert len(got) == 100 and sum(r.rejected for r in got) >= 95
+
+
 def test_nothing_to_learn_from(spark):
     got = langid.identify(spark.createDataFrame([(1, "words", None, "", ""), (2, None, None, "", "")], SCHEMA)).collect()
     assert [(r.lang_pred, r.score, r.rejected) for r in got] == [("und", 0.0, False)] * 2
