@@ -138,12 +138,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
 
     A null or empty text is the end id alone. Null and repeated ids are kept, every row being its own document;
     other columns are ignored, and an empty table gives no rows. Documents are dealt to buckets of about
-    bucket_docs by a hash of their content; each bucket leaves one sequence that is far from full at most.
+    bucket_docs by a hash of their ids, tokens and places in the table as it is read, so that repeated rows are
+    spread; each bucket leaves one sequence that is far from full at most.
     sequence_id is the bucket shifted by 32 bits plus a running number.
     """
     n = max(1, -(-docs.count() // bucket_docs))
     rows = tokenised(docs, tokenizer, window, end_id, id_col, text_col, with_ids)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_n", "_crcs"), F.lit(n)))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_n", "_crcs", F.monotonically_increasing_id()), F.lit(n)))
     schema = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", input_ids array<int>" if with_ids else "")
 
     def deal(key, rows):
