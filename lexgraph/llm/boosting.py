@@ -37,6 +37,9 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: fl
     model = Boosted(float(np.log(share / (1 - share))), depth)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, cuts + 1)[:-1], method="lower")) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], axis=1)
+    width = cuts + 1  # bins of a feature at most; all features' histograms are made at once
+    flat = binned + np.arange(x.shape[1]) * width
+    usable = np.arange(width - 1) < np.array([len(e) for e in edges])[:, None]
     score = np.full(len(x), model.base)
     for _ in range(rounds):
         p = sigmoid(score)
@@ -52,14 +55,13 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: fl
             value[node] = rate * g / (h + ridge)
             best = (1e-6, -1, 0)
             if node < 2**depth - 1:
-                for f in range(x.shape[1]):
-                    n = len(edges[f]) + 1
-                    left_g = np.cumsum(np.bincount(binned[rows, f], grad[rows], n))[:-1]
-                    left_h = np.cumsum(np.bincount(binned[rows, f], hess[rows], n))[:-1]
-                    gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
-                    gain[(left_h < least / 4) | (h - left_h < least / 4)] = 0
-                    if len(gain) and gain.max() > best[0]:
-                        best = (float(gain.max()), f, int(gain.argmax()))
+                own = flat[rows].ravel()
+                left = lambda v: np.cumsum(np.bincount(own, np.repeat(v, x.shape[1]), width * x.shape[1]).reshape(-1, width), axis=1)[:, :-1]  # noqa: B023, E731
+                left_g, left_h = left(grad[rows]), left(hess[rows])
+                gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
+                gain[~usable | (left_h < least / 4) | (h - left_h < least / 4)] = 0
+                f, c = np.unravel_index(gain.argmax(), gain.shape)
+                best = max(best, (float(gain[f, c]), int(f), int(c)))
             if best[1] >= 0:
                 feature[node], cut[node] = best[1], edges[best[1]][best[2]]
                 at[rows] = 2 * node + 1 + (binned[rows, best[1]] > best[2])

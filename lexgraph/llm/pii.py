@@ -1,17 +1,22 @@
-"""Personal data by candidates and gradient boosting.
+"""Personal data and secrets by candidates and gradient boosting.
 
 Generators with high recall propose spans that may overlap. Each is described by its format (digits,
 separators, grouping, checksums) and its context (neighbouring characters, words before it); boosted trees
 score it, a sigmoid fitted on held-out rows calibrates the score, and per kind the lowest threshold that
-keeps the wanted precision on held-out rows selects what is redacted. The trees are fitted on sentences made
-up here from templates, positive and negative, with a fixed seed.
+keeps the wanted precision on held-out rows selects what is redacted. A candidate that cannot be of its kind (a
+card number fails its checksum, an address has a part over 255) is not asked. The trees are fitted on
+sentences made up here from templates, positive and negative, with a fixed seed.
 
-Spans of the plain base patterns always stay; what the trees add never overlaps one of them.
+Spans of the plain base patterns always stay; what the trees add never overlaps one of them. Secrets (tokens,
+keys, passwords) are a kind of their own beside the four of the base patterns.
 """
 
 from __future__ import annotations
 
+import bisect
+import contextlib
 import hashlib
+import ipaddress
 import random
 import re
 from functools import lru_cache
@@ -25,6 +30,7 @@ from . import boosting
 from .common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
+ALL = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -92,6 +98,28 @@ def may_hold_mail(text: str) -> bool:
     return any(s in low for s in MAIL_SIGNS) or MAIL_AT.search(text) is not None
 
 
+#: Values long enough for keys, and values of any length after the name of a secret.
+KEYLIKE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}(?![A-Za-z0-9_+/=-])")
+SECRET_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|auth|private|client)[_ -]?(?:key|secret|token))"
+NAMED = re.compile(rf"(?i){SECRET_NAMES}[\"']?[ \t]{{0,3}}(?:[:=]|:=|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,512}})")
+KEY_PREFIX = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_|sk-|sk_live_|xox[abps]-|eyJ[A-Za-z0-9_-]+$|glpat-|AIza")
+
+
+def fits(kind: str, s: str) -> bool:
+    """Whether a span has the format that its kind must have."""
+    if kind == "card":
+        return 13 <= len(d := only_digits(s)) <= 19 and luhn(d)
+    if kind == "phone":
+        return 9 <= len(only_digits(s)) <= 15 and s.count("(") == s.count(")")
+    if kind == "email":
+        return re.search("[A-Za-z]{2,}$", s) is not None
+    if kind == "secret":
+        return any(c.isalpha() for c in s) and (any("0" <= c <= "9" for c in s) or len(set(s)) > 5)
+    with contextlib.suppress(ValueError):
+        return ipaddress.ip_address(s if ":" in s else ".".join(str(int(p)) for p in re.findall("[0-9]+", s))) is not None
+    return False
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) that might be personal data; spans may overlap, one span may have two kinds."""
     out = []
@@ -102,7 +130,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out += [("ip", *m.span()) for m in IP_LOOSE.finditer(text)]
     for m in DIGITS.finditer(text):
         n = len(only_digits(m[0]))
-        if 12 <= n <= 19:
+        if 13 <= n <= 19:
             out.append(("card", *m.span()))
         if 9 <= n <= 15:
             out.append(("phone", *m.span()))
@@ -112,7 +140,31 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for m in LONG.finditer(text):
         for kind, form in FORMS.items():
             out += [(kind, m.start() + f.start(1), m.start() + f.end(1)) for f in form.finditer(m[0])]
-    return list(dict.fromkeys(out))
+    out += [("secret", *m.span(1)) for m in NAMED.finditer(text)]
+    out += [("secret", *m.span()) for m in KEYLIKE.finditer(text)]
+    return [c for c in dict.fromkeys(out) if fits(c[0], text[c[1] : c[2]])]
+
+
+class Spans:
+    """Spans that don't overlap, by place."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):  # base spans may overlap; as one they cover the same
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meet(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
+
+    def add(self, s: int, e: int) -> None:
+        k = bisect.bisect_left(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
 
 
 #: Words before a span that speak for or against a kind (fixed values of this operator).
@@ -121,10 +173,24 @@ FOR = {
     "ip": ("ip", "host", "server", "address", "addr", "ping", "client", "login", "from"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "karte", "carte", "tarjeta", "pay"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "cell", "whatsapp", "sms", "telefon", "dial", "text"),
+    "secret": ("token", "secret", "pass", "pwd", "key", "auth", "bearer", "credential"),
 }
+#: Top-level domains that addresses written in words end in.
+DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "nl", "ch", "at", "pl", "jp", "kr")
 AGAINST = ("isbn", "issn", "order", "invoice", "version", "serial", "sku", "ref", "ticket", "token", "password", "key", "hash", "id", "page", "fig", "table", "date", "pi", "doi", "batch", "upc", "ean")
 
 
+def keylike(s: str, before: str) -> tuple[float, ...]:
+    """How much a value looks like a key: its alphabet, disorder and what stands before it."""
+    upper, lower, digit = (sum(map(test, s)) for test in (str.isupper, str.islower, str.isdigit))
+    counts = np.array([s.count(c) for c in set(s)]) / len(s)
+    turns = sum((a.isdigit() != b.isdigit()) + (a.isupper() != b.isupper()) for a, b in zip(s, s[1:], strict=False))
+    return (
+        upper / len(s), lower / len(s), digit / len(s), float(-(counts * np.log2(counts)).sum()), turns / len(s), float(all(c in "0123456789abcdefABCDEF" for c in s)),
+        float(bool(re.search(rf"(?i){SECRET_NAMES}[\"']?\s*(?:[:=]|:=|=>)\s*[\"']?$", before))), float(bool(re.search(r"(?i)bearer\s+$", before))), float(bool(KEY_PREFIX.match(s))),
+    )
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     s, before, after = text[start:end], text[max(0, start - 32) : start].lower(), text[end : end + 2]
     digits = only_digits(s)
@@ -134,7 +200,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     words = re.findall(r"[a-z]+", before)
     last, first = text[start - 1 : start], after[:1]
     return [
-        *(float(kind == k) for k in KINDS), len(s), len(digits), letters, len(groups), max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
+        *(float(kind == k) for k in ALL), len(s), len(digits), letters, len(groups), max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
         len(set(groups)), len(separators), len(set(separators)), float(s.startswith("+")), float("(" in s), float("." in separators), float("-" in separators), float(" " in separators), float("/" in separators),
         float(bool(re.search(r"[0-9)][ .-]{0,2}$", before))), float(bool(re.match(r"[ .-]{0,2}[0-9(]", text[end : end + 4]))), float(bool(re.search(r"[+][0-9]{1,3}[ .-]?$", before))),
         float(bool(re.fullmatch(r"(?:[+]?[0-9]{1,3}[ .-]?)?[(]?[0-9]{2,4}[)]?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}", s))), float(bool(re.fullmatch(r"[0-9]{13,19}|[0-9]{4}(?:[^0-9][0-9]{4}){3}|[0-9]{4}[^0-9][0-9]{6}[^0-9][0-9]{5}", s))),
@@ -142,6 +208,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(last.isalnum()), float(first.isalnum()), float(last in "\"'=_#/:"), float(first in "\"'_/:-" and first != ""), float(any(w.startswith(FOR[kind]) for w in words[-4:])), float(any(w in AGAINST or w.startswith(("isbn", "order", "invoice", "version", "token", "pass")) for w in words[-3:])),
         float(any(x in s.lower() for x in ("[at]", "(at)", "{at}", "<at>", "%40", "&#64;", "＠", "[ at ]", "( at )"))), float(" dot " in s.lower() or "dot]" in s.lower() or "dot)" in s.lower()), float(" at " in s.lower()),
         s.count(":"), float("::" in s), max((len(x) for x in re.findall(r"[A-Za-z]+$", s)), default=0), float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}.*", digits))), float(s.count("(") != s.count(")")),
+        float(s.lower().endswith(DOMAINS)), *(keylike(s, text[max(0, start - 40) : start]) if kind == "secret" else (0.0,) * 9),
     ]
 
 
@@ -160,7 +227,7 @@ def made_up(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
 
     def phone() -> str:
         a, b, c, gap = pick("23456789") + d(2), d(3), d(4), pick((" ", "-", ".", " "))
-        return pick((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}{gap}{b}{gap}{c}", f"0{d(2)}{gap}{d(3)}{gap}{d(4)}", f"00{d(2)}{gap}{d(3)}{gap}{d(5)}", f"1-{a}-{b}-{c}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"))
+        return pick((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}{gap}{b}{gap}{c}", f"0{d(2)}{gap}{d(3)}{gap}{d(4)}", f"00{d(2)}{gap}{d(3)}{gap}{d(5)}", f"1-{a}-{b}-{c}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"(0{d(2)}) {d(4)} {d(3)} {d(2)}", f"(0{d(3)}) {d(6)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(3)}/{d(7)}", f"0{d(2)}-{d(8)}", f"0{d(4)} {d(3)} {d(3)}"))
 
     at = lambda: pick((" [at] ", "[at]", " (at) ", "(at)", "{at}", "＠", "%40", "&#64;", " at ", " <at> ", "<at>", " [ at ] ", "( at )", "@", " @ "))
     dot = lambda: pick((" [dot] ", "[dot]", " (dot) ", "(dot)", " dot "))
@@ -168,18 +235,31 @@ def made_up(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
 
     def email() -> str:
         way = at()
-        name = word() + pick(("", ".", "_")) + pick((word(), d(2)))
+        name = word() + pick(("", "." + word(), "_" + word(), d(2)))
         if way == " at ":
-            return f"{name} at {word()} dot {pick(('com', 'org', 'net', 'de'))}"
+            return f"{name} at {word()} dot {pick(DOMAINS)}"
         return name + way + word() + (dot() if way == "@" else pick((dot(), "."))) + pick(("com", "org", "net", "de"))
 
+    mixed = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+
+    def secret() -> tuple[str, str]:
+        if rng.random() < 0.25:
+            return pick(("", "key ", "uses ")), pick(("AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "sk-" + mixed(40), "xoxb-" + d(11) + "-" + mixed(24), "eyJ" + mixed(60), "AIza" + mixed(35)))
+        name = pick(("token", "password", "Password", "passwd", "pwd", "secret", "api_key", "API_KEY", "apikey", "access_token", "auth_token", "client_secret", "private key"))
+        cue = pick((f'{name} = "', f'{name}="', f"{name}='", f"{name}: ", f"{name} = ", f"{name}=", f'"{name}": "', "Authorization: Bearer ", f"{name}:"))
+        return cue, hexes(pick((16, 20, 32, 40, 64))) if rng.random() < 0.4 else mixed(rng.randint(16, 64)) if "earer" in cue or rng.random() < 0.6 else word() + pick("!#$_") + d(rng.randint(2, 5))
+
     yes = {
+        "secret": (None, ()),
         "email": (email, ("mail me: ", "contact ", "write to ", "reach us at ", "")), "phone": (phone, ("tel ", "call ", "phone: ", "fax ", "mobile ", "call me on ", "telefon ")),
         "card": (lambda: card(True), ("card ", "visa ", "paid by credit card no ", "carte ", "tarjeta ", "my amex ")),
         "ip": (lambda: pick((":".join(hexes(4) for _ in range(8)), f"{hexes(4)}:{hexes(3)}::{hexes(2)}", f"fe80::{hexes(4)}:{hexes(4)}", pick(("[.]", "(.)", "[dot]", " . ", " [.] ")).join(str(rng.randint(0, 255)) for _ in range(4)))), ("host ", "ip ", "server ", "from ")),
     }
     no = [
-        lambda: ("", d(rng.randint(9, 19))), lambda: ("token = ", f'"{hexes(rng.randint(16, 40))}"'), lambda: ("password=", hexes(18)), lambda: ("isbn ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
+        lambda: ("", d(rng.randint(9, 19))), lambda: (pick(("commit ", "sha1 ", "sha256:", "md5 ", "etag: ", "digest = ", "rev ", "checksum: ", "")), hexes(pick((16, 32, 40, 64)))), lambda: (pick(("", "id ", "uuid: ")), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"),
+        lambda: ("", "-".join(word() for _ in range(rng.randint(3, 6)))), lambda: ("", "_".join(word() for _ in range(rng.randint(3, 6)))), lambda: ("", "/".join(word() for _ in range(rng.randint(3, 6)))), lambda: ("", word() + word() + word() + word()), lambda: (pick(("https://", "www.")), f"{word()}.com/{word()}/{d(6)}/{word()}-{word()}"),
+        lambda: (pick(("a token of ", "the password was ", "your secret ", "the key to ", "token: ", "password: see ")), word() + pick((" ", ", ")) + word()), lambda: ("", pick("=-_*+") * rng.randint(16, 40)), lambda: ("", "".join(word().capitalize() for _ in range(4))), lambda: ("", f"{word()}_{d(8)}_{word()}{d(3)}"), lambda: ("", (word() + " ") * 2 + f"{word()}{d(4)}-{word()}{d(4)}-{d(2)}"),
+        lambda: ("isbn ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
         lambda: ("order ", d(rng.randint(9, 14))), lambda: ("invoice no ", f"{d(4)}-{d(4)}-{d(4)}"), lambda: ("", f"20{d(2)}-0{pick('123456789')}-1{d(1)} 1{d(1)}:{d(2)}:{d(2)}"), lambda: ("between ", f"{d(4)} - {d(4)} - {d(4)}"),
         lambda: ("", " ".join(d(rng.randint(1, 4)) for _ in range(rng.randint(4, 8)))), lambda: ("values ", ". ".join(d(3) for _ in range(4))), lambda: ("", ". ".join(str(rng.randint(1, 99)) for _ in range(4))), lambda: ("card ", card(False)), lambda: ("", f"{word()} at {word()}. {word()} {word()}"),
         lambda: ("met ", f"{word()} at {word()} dot {word()} {word()}"), lambda: ("at ", f"{d(2)}:{d(2)}:{d(2)}"), lambda: ("ratio ", f"{d(1)}:{d(2)}:{d(1)}:{d(1)}"), lambda: ("pi is ", f"3.{d(18)}"), lambda: ("", f"{d(1)},{d(3)},{d(3)},{d(3)}"),
@@ -190,9 +270,10 @@ def made_up(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         beside = ("", "")
         lead, tail = " ".join(word() for _ in range(rng.randint(0, 6))) + pick((" ", ". ", ", ", "\n")), pick((" ", ". ", ", ", "\n")) + " ".join(word() for _ in range(rng.randint(0, 6)))
         if rng.random() < 0.5:
-            kind = pick(KINDS)
+            kind = pick(ALL)
             make, cues = yes[kind]
-            cue, body = pick(cues) if rng.random() < 0.6 else "", make()
+            cue, body = secret() if kind == "secret" else (pick(cues) if rng.random() < 0.6 else "", make())
+            tail = cue[-1] + tail if cue[-1:] in ("'", '"') else tail
             if kind in ("card", "phone") and rng.random() < 0.5:  # next to another number
                 other = pick((lambda: card(True), phone, lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: d(rng.randint(1, 6)), lambda: f"10.{d(2)}.{d(2)}.{d(1)}"))()
                 beside = pick(((other + " ", ""), ("", " " + other)))
@@ -201,9 +282,9 @@ def made_up(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         else:
             kind, (cue, body) = "", pick(no)()
         text, start = lead + cue + beside[0] + body + beside[1] + tail, len(lead + cue + beside[0])
-        taken = [x for spans in base_spans(text).values() for x in spans]
+        taken = Spans(x for spans in base_spans(text).values() for x in spans)
         for k, s, e in candidates(text):
-            if any(s < b and a < e for a, b in taken):
+            if taken.meet(s, e):
                 continue  # never asked
             exact = k == kind and abs(s - start) <= 1 and abs(e - start - len(body)) <= 1
             inside = start - 1 <= s and e <= start + len(body) + 1
@@ -228,7 +309,7 @@ def model(n: int = 16_000, precision: float = 0.98, seed: int = 7) -> tuple[boos
         slope, shift = np.array([slope, shift]) + np.linalg.solve(h, g)
     p = boosting.sigmoid(slope * raw + shift)
     kinds, limits = np.array([r[1] for r in rows])[out], {}
-    for k in KINDS:
+    for k in ALL:
         own = kinds == k
         order = np.argsort(-p[own], kind="stable")
         good = np.cumsum(y[out][own][order]) / np.arange(1, own.sum() + 1)
@@ -238,41 +319,52 @@ def model(n: int = 16_000, precision: float = 0.98, seed: int = 7) -> tuple[boos
 
 
 def find(text: str, fitted=None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Base spans and added spans of a text, by kind, each in order of start; those of a kind don't overlap."""
+    """Base spans and added spans of a text, by kind, each in order of start; added ones overlap no other."""
     return find_all([text], fitted)[0]
 
 
-def find_all(texts: list[str], fitted=None) -> list[tuple[dict, dict]]:
-    trees, slope, shift, limits = fitted or model()
-    found, asked = [], []
+def find_all(texts: list[str], fitted=None, at_once: int = 50_000) -> list[tuple[dict, dict]]:
+    """find() of each text; up to about at_once candidates are scored together."""
+    fitted = fitted or model()
+    found, asked, taken = [], [], {}
     for n, text in enumerate(texts):
         base = base_spans(text)
-        taken = sorted(s for spans in base.values() for s in spans)
-        found.append((base, {k: [] for k in KINDS}))
+        found.append((base, {k: [] for k in ALL}))
+        taken[n] = Spans(s for spans in base.values() for s in spans)
         for kind, s, e in candidates(text):
-            if not any(s < b and a < e for a, b in taken):
+            if not taken[n].meet(s, e):
                 asked.append((n, kind, s, e))
-    if asked:
-        p = boosting.sigmoid(slope * trees.raw(np.array([features(texts[n], k, s, e) for n, k, s, e in asked])) + shift)
-        sure = [i for i, a in enumerate(asked) if p[i] >= limits[a[1]]]
-        for i in sorted(sure, key=lambda i: (asked[i][2] - asked[i][3], -p[i])):  # of overlapping ones the longest
-            n, kind, s, e = asked[i]
-            if not any(s < b and a < e for spans in found[n][1].values() for a, b in spans):
-                found[n][1][kind].append((s, e))
-        for _, added in found:
-            for spans in added.values():
-                spans.sort()
+        if len(asked) >= at_once or n == len(texts) - 1:
+            _select(texts, asked, taken, found, fitted, at_once)
+            asked, taken = [], {}
     return found
 
 
-def listed(spans: dict[str, list[tuple[int, int]]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k])
+def _select(texts: list[str], asked: list[tuple], taken: dict, found: list[tuple], fitted, at_once: int) -> None:
+    """Add the candidates that are sure enough, of overlapping ones the longest, then the surest."""
+    trees, slope, shift, limits = fitted
+    sure = []
+    for k in range(0, len(asked), at_once):
+        part = asked[k : k + at_once]
+        p = boosting.sigmoid(slope * trees.raw(np.array([features(texts[n], kind, s, e) for n, kind, s, e in part])) + shift)
+        sure += [(s - e, -float(v), n, kind, s, e) for (n, kind, s, e), v in zip(part, p, strict=True) if v >= limits[kind]]
+    for *_, n, kind, s, e in sorted(sure):
+        if not taken[n].meet(s, e):
+            taken[n].add(s, e)
+            found[n][1][kind].append((s, e))
+    for _, added in found:
+        for spans in added.values():
+            spans.sort()
+
+
+def listed(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...] = KINDS) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k in kinds for s, e in spans[k])
 
 
 def redacted(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
     """The text with each span, or run of overlapping ones, as its first kind in brackets."""
     out, at = [], 0
-    for s, e, k in sorted((s, e, k) for k in KINDS for s, e in spans[k]):
+    for s, e, k in sorted((s, e, k) for k in ALL for s, e in spans[k]):
         if s >= at:
             out += [text[at:s], f"[{k.upper()}]"]
         at = max(at, e)
@@ -280,11 +372,12 @@ def redacted(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Return a row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and, if asked, redacted.
+    """Return a row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, secrets, n_found and, if asked, redacted.
 
-    The counts and the digest are those of the base spans; spans lists all, by kind and start, in code points.
-    A null text is an empty one, and its redacted text null. Null and repeated ids stay, a row each; other
-    columns are ignored.
+    The counts and the digest are those of the base spans; spans lists all of the four kinds, by kind and start,
+    in code points, and secrets the spans of secrets likewise. n_added counts the spans of the four kinds beyond
+    the base ones, n_found all spans. A null text is an empty one, and its redacted text null. Null and repeated
+    ids stay, a row each; other columns are ignored.
     """
     fitted = model()
 
@@ -293,16 +386,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [t.as_py() for t in part.column(1)]
-                columns: list[list] = [[] for _ in range(8)]
+                columns: list[list] = [[] for _ in names[1:]]
                 for text, (base, added) in zip(texts, find_all([t or "" for t in texts], fitted), strict=True):
-                    both = {k: sorted(base[k] + added[k]) for k in KINDS}
-                    values = [*(len(base[k]) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(both), sum(map(len, added.values())), redacted(text, both) if with_text and text is not None else None]
+                    both = {k: sorted(base.get(k, []) + added[k]) for k in ALL}
+                    values = [*(len(base[k]) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(both), sum(len(added[k]) for k in KINDS), listed(both, ("secret",)), sum(map(len, both.values())), redacted(text, both) if with_text and text is not None else None]
                     for c, v in zip(columns, values, strict=True):
                         c.append(v)
-                types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.string()]
+                types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    names = ["_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "redacted"]
-    schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string"
+    names = ["_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "secrets", "n_found", "redacted"]
+    schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string, n_found long, redacted string"
     out = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema).withColumnRenamed("_id", id_col)
     return out if with_text else out.drop("redacted")
