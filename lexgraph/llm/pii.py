@@ -101,6 +101,7 @@ def may_hold_mail(text: str) -> bool:
 #: Values long enough for keys, and values of any length after the name of a secret.
 KEYLIKE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}(?![A-Za-z0-9_+/=-])")
 SECRET_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|auth|private|client)[_ -]?(?:key|secret|token))"
+SECRET_SIGNS = ("pass", "pwd", "secret", "token", "key")  # one is in every name
 NAMED = re.compile(rf"(?i){SECRET_NAMES}[\"']?[ \t]{{0,3}}(?:[:=]|:=|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,512}})")
 KEY_PREFIX = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_|sk-|sk_live_|xox[abps]-|eyJ[A-Za-z0-9_-]+$|glpat-|AIza")
 
@@ -140,7 +141,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for m in LONG.finditer(text):
         for kind, form in FORMS.items():
             out += [(kind, m.start() + f.start(1), m.start() + f.end(1)) for f in form.finditer(m[0])]
-    out += [("secret", *m.span(1)) for m in NAMED.finditer(text)]
+    low = text.lower()
+    if any(name in low for name in SECRET_SIGNS):
+        out += [("secret", *m.span(1)) for m in NAMED.finditer(text)]
     out += [("secret", *m.span()) for m in KEYLIKE.finditer(text)]
     return [c for c in dict.fromkeys(out) if fits(c[0], text[c[1] : c[2]])]
 
