@@ -31,6 +31,12 @@ def let(c: Column, body) -> Column:
     return F.element_at(F.transform(F.array(c), body), 1)
 
 
+def bucket(n: int | Column, *parts: Column | str) -> Column:
+    """A number from 0 to n - 1 that the parts decide: the first 15 hex digits of the MD5 of their texts, joined by bars."""
+    joined = F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    return F.pmod(F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(n) if isinstance(n, int) else n.cast("long")).cast("int")
+
+
 def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
@@ -119,7 +125,12 @@ def clean_catalogue(c: Column | str) -> Column:
     t = _text(c)
     pairs = [(r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}"), ("（", "）"), ("［", "］"), ("｛", "｝")]
     inner = "|".join(rf"{a}[^{a}{b}\n]*[:：][^{a}{b}\n]*{b}" for a, b in pairs)
-    depth = F.length(sub(t, r"[^(\[{（［｛]"))  # no more passes than opening brackets can be needed
+    # a pass takes the innermost pairs of each line away, so no more are needed than a line has opening brackets in a row of depth
+    level = lambda line: F.aggregate(  # noqa: E731  the greatest depth of open brackets
+        F.split(sub(line, r"[^()\[\]{}（）［］｛｝]"), ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
+        lambda s, x: F.struct(F.greatest(F.lit(0), s["d"] + F.when(x.rlike(r"[(\[{（［｛]"), 1).when(x == "", 0).otherwise(-1)).alias("d"), F.greatest(s["m"], s["d"] + F.when(x.rlike(r"[(\[{（［｛]"), 1).otherwise(0)).alias("m")), lambda s: s["m"],
+    )
+    depth = F.coalesce(F.array_max(F.transform(F.split(t, "\n"), level)), F.lit(0))
     t = F.when(depth > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), t, lambda acc, _: sub(acc, inner))).otherwise(t)
     return collapse(sub(t, r"[^가-힣a-zA-Z0-9\s.,;:!?\"'()\[\]{}_/\-]"))
 
@@ -435,8 +446,8 @@ def contrast(c: Column | str) -> Column:
 def crop(c: Column | str, key: Column, n: int = 180) -> Column:
     """One or two sentences from the head, the middle or the tail, chosen by a hash of the key."""
     parts = sentences(collapse(_text(c)), law=True)
-    size, mode, k = F.size(parts), F.pmod(F.xxhash64(key, F.lit("mode")), F.lit(3)), F.pmod(F.xxhash64(key, F.lit("many")), F.lit(2)).cast("int") + 1
-    start = F.pmod(F.xxhash64(key, F.lit("start")), F.greatest(size - 2, F.lit(1)).cast("long")).cast("int") + 2
+    size, mode, k = F.size(parts), bucket(3, key, "mode"), bucket(2, key, "many") + 1
+    start = bucket(F.greatest(size - 2, F.lit(1)), key, "start") + 2
     head, tail = F.slice(parts, F.lit(1), k), F.slice(parts, F.greatest(size - k + 1, F.lit(1)), k)
     middle = F.when(size <= 2, parts).otherwise(F.slice(parts, start, k))
     return F.when(size == 0, F.lit("")).otherwise(shorten(F.array_join(F.when(mode == 0, head).when(mode == 1, middle).otherwise(tail), " "), n))
@@ -444,8 +455,8 @@ def crop(c: Column | str, key: Column, n: int = 180) -> Column:
 
 def expand(c: Column | str, term: Column, key: Column) -> Column:
     """The text between a prefix that names the term and a suffix, both chosen by a hash of the key."""
-    pick = lambda options, salt: F.element_at(F.array(*options), F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(options))).cast("int") + 1)
-    prefix = pick([F.concat(F.lit(a), term, F.lit(b)) for a, b in fixed.EXPAND_PREFIXES], "prefix")
+    pick = lambda options, salt: F.element_at(F.array(*options), bucket(len(options), key, salt) + 1)
+    prefix = pick([F.replace(F.lit(form), F.lit("{term}"), term) for form in fixed.EXPAND_PREFIXES], "prefix")
     return shorten(F.concat(prefix, shorten(c, 220), pick([F.lit(s) for s in fixed.EXPAND_SUFFIXES], "suffix")), 240)
 
 
@@ -454,8 +465,8 @@ def surface_noise(c: Column | str, key: Column, share: float = 0.15) -> Column:
     words = F.split(_text(c), " ")
 
     def one(w: Column, i: Column) -> Column:
-        hit = F.pmod(F.xxhash64(key, i), F.lit(10_000)) < int(share * 10_000)
-        swaps = reduce(lambda other, kv: F.when(w == kv[0], F.element_at(F.array(*map(F.lit, kv[1])), F.pmod(F.xxhash64(i, key), F.lit(len(kv[1]))).cast("int") + 1)).otherwise(other), fixed.NOISE.items(), w)
+        hit = bucket(10_000, key, i, "hit") < int(share * 10_000)
+        swaps = reduce(lambda other, kv: F.when(w == kv[0], F.element_at(F.array(*map(F.lit, kv[1])), bucket(len(kv[1]), key, i, "which") + 1)).otherwise(other), fixed.NOISE.items(), w)
         return F.when(hit, swaps).otherwise(w)
 
     return F.array_join(F.transform(words, one), " ")

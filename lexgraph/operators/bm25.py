@@ -3,7 +3,8 @@
 An index is three tables: postings (term, doc_id, tf, dl), doc_stats (doc_id, dl) and term_stats (term, df). Scores
 are a join of the query terms with the postings on the term, so that only documents with a query term are
 touched; a posting holds its document's length, so that no join by document is needed, and the one-row corpus
-statistics are scalar.
+statistics are scalar. Building writes the postings to the shared folder, so that texts are tokenised once however
+many scores read them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKENIZERS
+from ..storage import written
 
 
 @dataclass
@@ -31,12 +33,22 @@ class Index:
         them needs but for the mean idf of okapi_idf; other tokens are dropped before they are counted.
         """
         rows = docs.select(F.col(id_col).alias("doc_id"), TOKENIZERS[tokenizer](text_col).alias("tokens"))
-        doc_stats = rows.select("doc_id", F.size("tokens").alias("dl"))
-        tokens = rows.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        tokens = tokens if only is None else tokens.join(only.select("term").distinct(), "term", "left_semi")
-        postings = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
-        term_stats = postings.groupBy("term").agg(F.count("*").alias("df"))
-        return cls(postings, doc_stats, term_stats, doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        # a document's first token, or a null for one without any, brings its length along
+        tokens = rows.select("doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("_at", "term"))
+        first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+        if only is not None:
+            asked = written(only.select(F.col("term").alias("_t")).distinct(), "asked-terms")  # on disk its size is known: it is broadcast only if small
+            tokens = tokens.join(asked, F.col("term") == F.col("_t"), "left").where(F.col("_t").isNotNull() | first)
+        else:
+            tokens = tokens.withColumn("_t", F.col("term"))
+        kept = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.max(first).alias("first"), F.max(F.col("_t").isNotNull()).alias("asked"))
+        kept = written(kept, "postings")
+        doc_stats = kept.where("first").select("doc_id", "dl")
+        postings = kept.where("term IS NOT NULL AND asked").select("term", "doc_id", "tf", "dl")
+        term_stats = written(postings.groupBy("term").agg(F.count("*").alias("df")), "term-stats")
+        n, avgdl = doc_stats.agg(F.count("*"), F.avg("dl")).first()
+        corpus = docs.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(avgdl).cast("double").alias("avgdl"))
+        return cls(postings, doc_stats, term_stats, corpus)
 
     def write(self, path: str) -> None:
         """As Parquet tables below path; postings sorted by term, so that a query reads few row groups."""
@@ -66,7 +78,8 @@ def query_terms(queries: DataFrame, tokenizer: str = "c", repeats: bool = True,
 
 def _scored(index: Index, terms: DataFrame, idf: Column, weight: Column) -> DataFrame:
     """Sum of qtf * idf * weight per query and document; df, tf, dl, n and avgdl are at hand."""
-    hits = terms.join(index.term_stats, "term").join(index.postings, "term")
+    asked = written(terms.join(index.term_stats, "term"), "asked")  # broadcast to the postings if its size allows
+    hits = index.postings.join(asked, "term")
     hits = hits.crossJoin(F.broadcast(index.corpus))  # one row
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
 
@@ -133,14 +146,18 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     tf = rows.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = written(tf, "term-counts")
     n, df = docs.agg(F.count("*").alias("n")), tf.groupBy("term").agg(F.count("*").alias("df"))
     w = tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    w = written(w, "weights")
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def neighbours(weights: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """The k most similar other documents of each document named in queries (doc_id), by cosine over shared terms."""
+    weights = written(weights, "unit-weights")
     asked = weights.join(queries.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
+    asked = written(asked, "asked-weights")
     scores = asked.join(weights, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     return top(scores, k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.predicates import holds_any, relation
 from ..functions.text import _text, normalize, normalize_lines, strip, sub
+from ..storage import written
 
 HEAD = r"제\s*[0-9]+\s*조(?:\s*의\s*[0-9]+)?"
 CHAPTER, SECTION = r"(?U)^\s*(제\s*[0-9]+\s*장)\s*(.+)?\s*$", r"(?U)^\s*(제\s*[0-9]+\s*절)\s*(.+)?\s*$"
@@ -139,15 +140,23 @@ def law_name(c: Column) -> Column:
     return F.replace(sub(_text(c), r"(?U)\s+"), F.lit("–"), F.lit("-"))
 
 
-def cross_law_refs(c: Column | str, compat: bool = False, longest: int = 80) -> Column:
-    """(law, article, same) of the citations that name a law, in up to `longest` characters; same: it is the citing law.
+def cross_law_refs(c: Column | str, compat: bool = False) -> Column:
+    """(law, article, same) of the citations that name a law; same: it is the citing law.
 
-    The name is looked for in what stands before each article number, so the time is linear in the text. compat
-    drops 의m.
+    The name is what stands before an article number, back to the last character that no name has, so the time is
+    linear in the text. compat drops 의m.
     """
     t, number = _text(c), r"(?U)제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
-    name = r"(?U)([가-힣A-Za-z0-9()·\-\s]{2,})$" if compat else r"(?U)([가-힣A-Za-z0-9()·\-\s]+)」?\s*$"
-    before = F.transform(F.split(t, number), lambda x: strip(F.regexp_extract(F.substring(x, F.greatest(F.length(x) - longest + 1, F.lit(1)), F.lit(longest)), name, 1)))
+    # split at what no name has; the part after the last such place is the name
+    other = r"(?U)[^가-힣A-Za-z0-9()·\-\s]"
+
+    def name(x: Column) -> Column:
+        if not compat:
+            x = F.regexp_replace(x, r"(?U)」?\s*$", "")
+        last = strip(F.element_at(F.split(x, other), -1))
+        return F.when(F.length(last) >= 2, last).otherwise("") if compat else last
+
+    before = F.transform(F.split(t, number), name)
     found = F.arrays_zip(before.alias("law"), F.regexp_extract_all(t, F.lit(number), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(number), F.lit(2)).alias("m"))
     found = F.filter(found, lambda x: x["n"].isNotNull() & (x["law"] != ""))
     rows = F.transform(found, lambda x: F.struct(x["law"].alias("law"), F.when(F.lit(compat), x["n"]).otherwise(ref_key(x["n"], x["m"])).alias("article")))
@@ -171,7 +180,9 @@ def citation_edges(articles: DataFrame, compat: bool = False) -> DataFrame:
     """
     nodes = articles.select(F.col("aid").alias("dst"), F.col("law").alias("dst_law"), article_key(F.col("title")).alias("akey"), F.col("ord").alias("dst_ord") if "ord" in articles.columns else F.lit(0).alias("dst_ord"))
     laws = articles.select(F.col("law").alias("dst_law")).distinct().withColumn("name", law_name(F.col("dst_law")))
-    cites = articles.select(F.col("aid").alias("src"), F.col("law").alias("src_law"), relation("text").alias("relation"), F.explode(cross_law_refs("text", compat)).alias("r"))
+    read = articles.select("aid", "law", relation("text").alias("relation"), cross_law_refs("text", compat).alias("named"), reference_keys("text").alias("numbers"))
+    read = written(read, "citations")  # the texts are searched once
+    cites = read.select(F.col("aid").alias("src"), F.col("law").alias("src_law"), "relation", F.explode("named").alias("r"))
     cites = cites.select("src", "src_law", "relation", F.col("r.law").alias("cited"), F.col("r.same").alias("same"), node_key(F.col("r.article"), compat).alias("akey"))
     cites = cites.distinct()
     own = cites.where("same").withColumn("dst_law", F.col("src_law")).select("src", "relation", "akey", "dst_law")
@@ -186,7 +197,7 @@ def citation_edges(articles: DataFrame, compat: bool = False) -> DataFrame:
     explicit = own.union(named).join(nodes, ["akey", "dst_law"]).select("src", "dst", "relation")
 
     counted = nodes.withColumn("n", F.count("*").over(Window.partitionBy("akey")))
-    simple = articles.select(F.col("aid").alias("src"), F.col("law").alias("src_law"), relation("text").alias("relation"), F.explode(reference_keys("text")).alias("r"))
+    simple = read.select(F.col("aid").alias("src"), F.col("law").alias("src_law"), "relation", F.explode("numbers").alias("r"))
     simple = simple.select("src", "src_law", "relation", node_key(F.col("r"), compat).alias("akey")).join(counted, "akey")
     simple = simple.where((F.col("n") == 1) | (F.col("dst_law") == F.col("src_law"))).select("src", "dst", "relation")
     return explicit.union(simple).where("src <> dst").distinct()
@@ -202,13 +213,17 @@ def citation_edges_by_id(articles: DataFrame, compat: bool = False) -> DataFrame
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
-    """(query_id, id, hop): nodes within `hops` of the seeds (query_id, id), edges taken both ways; a node has its least hop."""
+    """(query_id, id, hop): nodes within `hops` of the seeds (query_id, id), edges taken both ways; a node has its least hop.
+
+    Edges and each hop's front are written, so that a hop reads its predecessor instead of computing it again.
+    """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    seen = seeds.select("query_id", "id", F.lit(0).alias("hop")).distinct()
+    both = written(both, "edges")
+    seen = written(seeds.select("query_id", "id", F.lit(0).alias("hop")).distinct(), "front")
     front = seen
     for hop in range(1, hops + 1):
         front = front.join(both, front["id"] == both["a"]).select("query_id", F.col("b").alias("id")).distinct()
-        front = front.join(seen, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        front = written(front.join(seen, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(hop)), "front")
         seen = seen.unionByName(front)
     return seen
 

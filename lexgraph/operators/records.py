@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.predicates import clause_flags, is_broken, is_negative
-from ..functions.vectors import place_at
+from ..functions.vectors import place_at, split_size
+from ..storage import written
 
 
 def messages(*turns: tuple[str, Column]) -> Column:
@@ -127,39 +128,76 @@ def term_records(terms: DataFrame, form: str, system: str) -> DataFrame:
 
 
 def pick(options: list[str], key: Column, salt: str = "pick") -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(options))).cast("int") + 1)
+    return F.element_at(F.array(*map(F.lit, options)), T.bucket(len(options), key, salt) + 1)
 
 
 def define_records(terms: DataFrame, n: int = 1) -> DataFrame:
     """n instruction records a term, each with a template of its own."""
     rows = terms.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return rows.select(F.concat(pick(fixed.DEFINE_TEMPLATES, F.struct("term", "_n")), F.col("term")).alias("instruction"), F.lit("").alias("input"), F.col("definition").alias("output"))
+    return rows.select(F.concat(pick(fixed.DEFINE_TEMPLATES, F.concat_ws("|", "term", "_n")), F.col("term")).alias("instruction"), F.lit("").alias("input"), F.col("definition").alias("output"))
 
 
 def distractors(rows: DataFrame, key: str, value: str, n: int = 3, group: str | None = None, seed: int = 5) -> DataFrame:
-    """(key, others): up to n distinct values of other rows, none equal to the row's own nor, with group, of its group.
+    """(key, others): n distinct values of other rows, none equal to the row's own nor, with group, of its group.
 
-    Values are placed on a ring by a hash; a row takes the next ones after its own place. A bucket of the ring
-    holds about 64 values, so no row meets them all.
+    The distinct values are numbered around a ring in the order of a hash, those of a group apart; a row takes the
+    next ones after its own place, and as many more steps as its own value or group's values take away. A row has
+    fewer than n only where there are fewer to have. Rows with a null value get values too; null values are none.
     """
-    values = rows.select(F.col(value).alias("_v"), *([F.col(group).alias("_g")] if group else [])).distinct()
-    total = values.count()
-    buckets = max(1, total // 64)
-    place = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(buckets))
-    values = values.withColumn("_b", place(F.col("_v")))
-    asked = rows.select(F.col(key).alias("_key"), F.col(value).alias("_own"), *([F.col(group).alias("_own_g")] if group else [])).distinct()
-    asked = asked.withColumn("_b", place(F.struct("_key")))
-    near = asked.join(values, "_b").where(F.col("_own") != F.col("_v"))
-    near = near.where(F.col("_own_g") != F.col("_g")) if group else near
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed), "_key", "_v"), "_v"))).where(F.col("_k") <= n)
-    lists = ranked.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_l"))
+    hashed = lambda *parts: F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+    values = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("_v"), (F.col(group).cast("string") if group else F.lit("")).alias("_g"))
+    values = values.groupBy("_v").agg(F.collect_set("_g").alias("_gs")) if not group else values.groupBy("_v", "_g").count().groupBy("_v").agg(F.array_sort(F.collect_set("_g")).alias("_gs"))
+    values = written(values.withColumn("_h", hashed(F.col("_v"))).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("long")), "values")
+    counts = values.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows at most
+    counts = counts.select(F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ring = values.join(F.broadcast(counts), F.col("_b") == F.col("_bb"))
+    ring = written(ring.withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_v")) - 1).select("_at", "_v", "_gs"), "ring")
+    total = ring.count()
+    if not total:
+        return rows.select(key).distinct().limit(0).withColumn("others", F.array().cast("array<string>"))
+    asked = rows.select(F.col(key).alias("_key"), F.col(value).cast("string").alias("_own"), (F.col(group).cast("string") if group else F.lit("")).alias("_own_g")).dropDuplicates(["_key"])
+    asked = written(asked.withColumn("_from", T.bucket(1 << 30, F.lit(str(seed)), F.col("_key")) % F.lit(total)).withColumn("_have", F.lit(0)), "asked")
+    found, start, steps = None, 0, 2 * (n + 2)
+    while start < total:  # those that still lack some take twice as many steps
+        reach = F.explode(F.sequence(F.lit(start), F.lit(min(total, start + steps) - 1)))
+        near = asked.withColumn("_step", reach).withColumn("_place", F.pmod(F.col("_from") + F.col("_step"), F.lit(total)))
+        near = near.join(ring, F.col("_place") == F.col("_at")).where(~F.col("_v").eqNullSafe(F.col("_own")))
+        if group:
+            near = near.where((F.size("_gs") > 1) | ~F.array_contains("_gs", F.coalesce("_own_g", F.lit(""))))
+        near = near.withColumn("_k", F.col("_have") + F.row_number().over(Window.partitionBy("_key").orderBy("_step"))).where(F.col("_k") <= n).select("_key", "_k", "_v")
+        near = written(near, "others")
+        found = near if found is None else found.unionByName(near)
+        have = near.groupBy(F.col("_key").alias("_kk")).agg(F.count("*").alias("_new"))
+        asked = asked.join(have, F.col("_key") == F.col("_kk"), "left").withColumn("_have", F.col("_have") + F.coalesce("_new", F.lit(0))).drop("_kk", "_new").where(F.col("_have") < n)
+        asked = written(asked, "asked")
+        if asked.isEmpty():
+            break
+        start, steps = start + steps, 2 * steps
+    lists = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_l"))
     return lists.select(F.col("_key").alias(key), F.transform("_l", lambda x: x["_v"]).alias("others"))
 
 
 def balanced_position(df: DataFrame, n_options: str, order: str) -> DataFrame:
-    """Adds position: within rows of as many options, places 1 to n in turn by `order`."""
-    w = Window.partitionBy(n_options).orderBy(order)
-    return df.withColumn("position", F.pmod(F.row_number().over(w) - 1, F.col(n_options)).cast("int") + 1)
+    """Adds position: within rows of as many options, places 1 to n in turn by `order`.
+
+    `order` is cut into ranges at sampled values, and running sums of their counts give the places, so that no task
+    sorts all rows of a number of options.
+    """
+    rows = df.withColumn("_n", F.col(n_options))
+    kind = df.schema[order].dataType.simpleString()
+    if kind in ("int", "bigint", "smallint", "tinyint"):
+        cuts = [] if df.isEmpty() else sorted(set(df.agg(F.percentile_approx(order, [k / 256 for k in range(1, 256)], 10_000)).first()[0] or []))
+        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    else:
+        part = F.lit(0)
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy("_n", "_part").agg(F.count("*").alias("_c"))  # 256 rows at most for each number of options
+    earlier = Window.partitionBy("_n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_n").alias("_nn"), F.col("_part").alias("_pp"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.join(counts, F.col("_n").eqNullSafe(F.col("_nn")) & (F.col("_part") == F.col("_pp")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_n", "_part").orderBy(order)) - 1
+    return rows.withColumn("position", F.pmod(place, F.col(n_options)).cast("int") + 1).drop("_n", "_part", "_nn", "_pp", "_before")
 
 
 def choice_record(question: Column, right: Column, wrong: Column, position: Column, system: str = fixed.SYSTEM_MARK) -> Column:
@@ -173,7 +211,7 @@ def mix_negatives(ranked: DataFrame, n: int, hard: float = 0.7, seed: int = 6) -
     """(query_id, doc_id, rank): of each query's ranked neighbours the share `hard` of n from the top, the rest dealt from three times as many below."""
     n_hard = max(1, int(n * hard))
     pool = ranked.where(F.col("rank") <= n_hard + (n - n_hard) * 3)
-    soft = Window.partitionBy("query_id", F.col("rank") <= n_hard).orderBy(F.xxhash64(F.lit(seed), "query_id", "doc_id"))
+    soft = Window.partitionBy("query_id", F.col("rank") <= n_hard).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "query_id", "doc_id").cast("binary")), "doc_id")
     pool = pool.withColumn("_k", F.row_number().over(soft))
     return pool.where((F.col("rank") <= n_hard) | (F.col("_k") <= n - n_hard)).select("query_id", "doc_id", "rank")
 
@@ -184,7 +222,7 @@ def rationale(df: DataFrame, keep_others: bool = False) -> DataFrame:
     choices = T.parse_choices(instruction)
     number = F.when(output.rlike("^[1-9][0-9]?$"), output.cast("int"))
     chosen = F.element_at(F.filter(choices, lambda x: x["number"].cast("int") == number), -1)["text"]
-    said = lambda parts: F.concat(F.lit(parts[0]), number.cast("string"), F.lit(parts[1]), F.coalesce(T.strip(chosen), F.lit("")))
+    said = lambda form: F.replace(F.replace(F.lit(form), F.lit("{number}"), number.cast("string")), F.lit("{text}"), F.coalesce(T.strip(chosen), F.lit("")))
     explained = F.concat(F.when(is_negative(instruction), said(fixed.EXPLAIN_NEGATIVE)).otherwise(said(fixed.EXPLAIN_NORMAL)), F.lit("\n정답: "), number.cast("string"))
     apt = choices.isNotNull() & number.isNotNull()
     rows = df if keep_others else df.where(apt)
@@ -192,17 +230,17 @@ def rationale(df: DataFrame, keep_others: bool = False) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
-    """Adds part: 'train' for the share of rows first in the order of a hash of the key, 'val' for the rest.
+    """Adds part: 'train' for the share of rows first in the order of the MD5 of seed and key, 'val' for the rest.
 
     With one row, all is train. The cut is found by counts per hash bucket, so that no task sorts all rows.
     """
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_b", F.shiftright("_h", 48))
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("long"))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows at most
     counts = counts.select(F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
     rows = rows.join(F.broadcast(counts), F.col("_b") == F.col("_bb"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    size = F.when(F.col("_all") <= 1, F.col("_all")).otherwise(F.greatest(F.lit(1), F.bround(F.col("_all") * F.lit(share)).cast("long")))
+    size = F.when(F.col("_all") <= 1, F.col("_all")).otherwise(split_size(F.col("_all"), share))
     return rows.withColumn("part", F.when(place <= size, "train").otherwise("val")).drop("_h", "_b", "_bb", "_before", "_all")
 
 
@@ -216,9 +254,12 @@ def attack_rows(objects: DataFrame) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row, by order, of each key. Pre-aggregates, so that a key with very many rows costs one a task."""
+    """The first row, by order, of each key. Pre-aggregates, so that a key with very many rows costs one a task.
+
+    Keys are grouped by their SHA-256, so that long ones are not shuffled beside the rows that hold them.
+    """
     columns = df.columns
-    firsts = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
+    firsts = df.groupBy(F.sha2(key.cast("binary"), 256).alias("_key")).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
     return firsts.select(*(F.col(f"_row.`{c}`").alias(c) for c in columns))
 
 
@@ -250,7 +291,7 @@ def law_choice_records(articles: DataFrame, seed: int = 5) -> DataFrame:
     own = F.slice(F.array_sort(F.transform("_items", lambda x: F.struct(F.xxhash64(F.lit(seed), x).alias("h"), x.alias("x")))), 1, 3)
     made = rows.where(F.size("_items") >= 3).join(wrong, "_g").select("law", "article", "body", F.transform(own, lambda x: x["x"]).alias("_own"), F.element_at("_other", 1).alias("_other"))
     question = F.concat(F.lit("[객관식] 다음 중 <"), F.col("law"), F.lit(" "), F.col("article"), F.lit(">에 포함되지 않는 항목을 고르세요."))
-    place = F.pmod(F.xxhash64(F.lit(seed), "law", "article"), F.lit(4)).cast("int") + 1
+    place = T.bucket(4, F.lit(str(seed)), F.col("law"), F.col("article")) + 1
     return made.select("law", "article", choice_record(question, F.col("_other"), F.col("_own"), place).alias("messages"))
 
 
@@ -259,21 +300,40 @@ def term_choice_records(terms: DataFrame, seed: int = 5) -> DataFrame:
     rows = terms.select("term", T.collapse(F.col("definition")).alias("definition")).withColumn("_k", F.concat_ws("\u0001", "term", "definition"))
     made = rows.join(distractors(rows, "_k", "definition", 3, seed=seed), "_k").where(F.size("others") == 3)
     question = F.concat(F.lit("[객관식] 다음 중 '"), F.col("term"), F.lit("'의 정의로 옳은 것을 고르세요."))
-    place = F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(4)).cast("int") + 1
+    place = T.bucket(4, F.lit(str(seed)), F.col("_k")) + 1
     return made.select("term", choice_record(question, F.col("definition"), F.col("others"), place).alias("messages"))
 
 
 def augmented_choices(terms: DataFrame, ranked: DataFrame, n_options: int = 4, hard: float = 0.7, noise: float = 0.15, seed: int = 6) -> DataFrame:
-    """Questions from terms (doc_id, term, definition) with near terms as wrong options: given a definition, which term; given a term, which definition.
-
-    ranked is (query_id, doc_id, rank) as neighbours() makes it. Right answers go to places 1 to n_options in turn;
-    definitions are cropped, and their surface is changed a little. Columns doc_id, kind, messages.
+    """Questions from terms (doc_id, term, definition) with near terms as options, of four kinds.
+
+    Given a definition, which term is meant ('term') or is not ('term_negative'); given a term, which definition is
+    its own ('definition') or is not ('definition_negative'). In the negative ones the nearest other term's option
+    is the answer. ranked is (query_id, doc_id, rank) as neighbours() makes it; of a term's nearest
+    max(10, 6 * n_options) mix_negatives makes the pool, equal options are passed over, and what is missing comes
+    from other rows by distractors(), so that only in a table with too few different values a term has no question.
+    Answers go to places 1 to n_options in turn; definitions are cropped, and their surface is changed a little.
+    Columns doc_id, kind, messages.
     """
-    texts = terms.select("doc_id", "term", T.surface_noise(T.crop("definition", F.col("doc_id")), F.col("doc_id"), noise).alias("definition"))
-    pool = mix_negatives(ranked, n_options - 1, hard, seed).join(texts, "doc_id")
-    wrong = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "definition"))).alias("w"))
-    rows = texts.join(wrong, texts["doc_id"] == wrong["query_id"]).where(F.size("w") == n_options - 1).withColumn("_n", F.lit(n_options))
+    n, width = n_options - 1, max(10, 6 * n_options)
+    texts = terms.select("doc_id", "term", T.surface_noise(T.crop("definition", F.col("doc_id")), F.col("doc_id"), noise).alias("definition"), F.col("definition").alias("_whole")).where("term <> '' AND definition <> ''")
+    texts = written(texts, "augmented-texts")
+    pool = mix_negatives(ranked.where(F.col("rank") <= width), width, hard, seed).join(texts.select("doc_id", "term", "definition"), "doc_id")
+    pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "definition"))).alias("_near"))
+    rows = texts.join(pool, F.col("doc_id") == F.col("query_id"), "left").drop("query_id")
+    spare = {c: distractors(texts, "doc_id", c, n, seed=seed).select(F.col("doc_id").alias(f"_{c}_id"), F.col("others").alias(f"_{c}_spare")) for c in ("term", "definition")}
+    for c, others in spare.items():
+        rows = rows.join(others, F.col("doc_id") == F.col(f"_{c}_id"), "left").drop(f"_{c}_id")
+        near = F.transform(F.coalesce("_near", F.array().cast("array<struct<rank:int,term:string,definition:string>>")), lambda x: x[c])  # noqa: B023
+        options = F.array_distinct(F.concat(near, F.coalesce(f"_{c}_spare", F.array().cast("array<string>"))))
+        rows = rows.withColumn(f"_{c}_wrong", F.slice(F.filter(options, lambda x: x != F.col(c)), 1, n))  # noqa: B023
+    rows = rows.where((F.size("_term_wrong") == n) & (F.size("_definition_wrong") == n)).withColumn("_n", F.lit(n_options))
     rows = balanced_position(rows, "_n", "doc_id")
-    by_term = choice_record(F.concat(F.lit("다음 정의에 해당하는 용어를 고르시오: "), F.col("definition")), F.col("term"), F.transform("w", lambda x: x["term"]), F.col("position"))
-    by_definition = choice_record(F.concat(F.lit("다음 용어의 정의로 옳은 것을 고르시오: "), F.col("term")), F.col("definition"), F.transform("w", lambda x: x["definition"]), F.col("position"))
-    return rows.select("doc_id", F.explode(F.array(F.struct(F.lit("term").alias("kind"), by_term.alias("messages")), F.struct(F.lit("definition").alias("kind"), by_definition.alias("messages")))).alias("r")).select("doc_id", "r.*")
+    place, term, body = F.col("position"), F.col("term"), F.col("definition")
+    kinds = {}
+    for c, given, asks in (("term", body, fixed.ASK_TERM), ("definition", term, fixed.ASK_DEFINITION)):
+        wrong = F.col(f"_{c}_wrong")
+        kinds[c] = (F.concat(F.lit(asks[0]), given), F.col(c), wrong)
+        kinds[f"{c}_negative"] = (F.concat(F.lit(asks[1]), given), F.get(wrong, F.lit(0)), F.concat(F.array(F.col(c)), F.slice(wrong, 2, n)))
+    made = [F.struct(F.lit(kind).alias("kind"), choice_record(question, right, wrong, place).alias("messages")) for kind, (question, right, wrong) in kinds.items()]
+    return rows.select("doc_id", F.explode(F.array(*made)).alias("r")).select("doc_id", "r.*")

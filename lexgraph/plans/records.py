@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -48,12 +49,13 @@ def messages_build(spark, d):
 
 
 @query(f"""
-SELECT conv_id, count(*) AS n, md5({_sql(fixed.SYSTEM_CONVERT)} || '|' || coalesce(trim(max(text) FILTER (WHERE turn = 0), chr(32) || chr(10)), '') || '|' || coalesce(trim(max(text) FILTER (WHERE turn = 1), chr(32) || chr(10)), '')) AS messages
-FROM conversations GROUP BY conv_id""")
+SELECT conv_id, turn, md5({_sql(fixed.SYSTEM_CONVERT)} || '|' || trim(text, chr(32) || chr(10)) || '|' || coalesce(trim(reply, chr(32) || chr(10)), '')) AS messages
+FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS reply FROM conversations) t""")
 def schema_convert(spark, d):
-    """The first two turns of a conversation as an instruction record, turned into messages."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("instruction"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("output"))
-    return records.convert(rows).select("conv_id", "n", F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "|").cast("binary")).alias("messages"))
+    """Every turn of a conversation and the one after it as an instruction record, turned into messages."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("instruction"), F.lead("text").over(w).alias("output"))
+    return records.convert(rows).select("conv_id", "turn", F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "|").cast("binary")).alias("messages"))
 
 
 @query("SELECT doc_id, CAST(n_chars % 3 + 3 AS BIGINT) AS n_options, CAST((row_number() OVER (PARTITION BY n_chars % 3 ORDER BY doc_id) - 1) % (n_chars % 3 + 3) + 1 AS BIGINT) AS position FROM documents")
@@ -73,28 +75,32 @@ def token_block_pack(spark, d):
     return out.select("batch", "block", F.size("input_ids").alias("n"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.md5(F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").cast("binary")).alias("ids"))
 
 
-@query("SELECT doc_id, least(len(p), 5) + CASE WHEN len(p) > 5 THEN least(len(p) - 5, 15) ELSE 0 END AS n, least(len(p), 5) AS masked, (8 - least(len(p), 20) % 8) % 8 AS padding FROM (SELECT doc_id, regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+') AS p FROM documents) t")
+@query("""
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+'), lambda x: length(x)) AS w FROM documents),
+l AS (SELECT doc_id, list_concat(list_transform(w[1:5], lambda x: -100), w[6:])[1:2048] AS l FROM w)
+SELECT doc_id, len(l) AS n, least(len(l), len(list_filter(l, lambda x: x = -100))) AS masked, (8 - len(l) % 8) % 8 AS padding, md5(array_to_string(l, ',')) AS labels FROM l""")
 def label_mask(spark, d):
+    """The first five word lengths stand for a prompt's ids, the rest for its answer's, cut at the operator's length."""
     w = F.transform(T.tokens_lower("text"), lambda x: F.length(x))
     rows = table(spark, d, "documents").select("doc_id", F.slice(w, 1, 5).alias("p"), F.slice(w, 6, 100_000_000).alias("a"))
-    labels = V.masked_labels(F.col("p"), F.col("a"), 20)
-    return rows.select("doc_id", F.size(labels).alias("n"), F.size(F.filter(labels, lambda x: x == -100)).alias("masked"), (F.size(V.pad_to_multiple(labels)) - F.size(labels)).alias("padding"))
+    labels = V.masked_labels(F.col("p"), F.col("a"))
+    return rows.select("doc_id", F.size(labels).alias("n"), F.size(F.filter(labels, lambda x: x == -100)).alias("masked"), (F.size(V.pad_to_multiple(labels)) - F.size(labels)).alias("padding"), F.md5(F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").cast("binary")).alias("labels"))
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '[''\"《》<>〈〉()‘’]', ' ', 'g')), '[!#$%&*+,./:;=?@\\\\^_`{{|}}~\\[\\]-]', '', 'g'), '\\s+', ' ', 'g'), chr(32) || chr(10))"
 
 
 @query("""
-WITH t AS (SELECT doc_id AS id, """ + _NORMAL.format("substring(text, 1, 300)") + " AS a, " + _NORMAL.format("substring(text, 31, 300)") + """ AS b FROM documents),
+WITH t AS (SELECT doc_id AS id, """ + _NORMAL.format("text") + " AS a, " + _NORMAL.format("reverse(text) || doc_id") + """ AS b FROM documents),
 c AS (SELECT id, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y, a = b AS em FROM t),
 m AS (SELECT id, ch, count(*) AS n FROM (SELECT id, unnest(string_split(x, '')) AS ch FROM c) z WHERE ch <> '' GROUP BY ALL),
 k AS (SELECT id, ch, count(*) AS n FROM (SELECT id, unnest(string_split(y, '')) AS ch FROM c) z WHERE ch <> '' GROUP BY ALL),
 s AS (SELECT id, sum(least(m.n, k.n)) AS same FROM m JOIN k USING (id, ch) GROUP BY id)
 SELECT c.id, CAST(em AS DOUBLE) AS exact_match, CASE WHEN coalesce(same, 0) = 0 THEN 0.0 ELSE round(2.0 * same / (length(x) + length(y)), 6) END AS f1 FROM c LEFT JOIN s USING (id)""")
 def squad_f1(spark, d):
-    """A text's characters 31 to 330 stand for the prediction of the first 300."""
+    """A text reversed, and its id, stands for the right answer of which the text is the prediction."""
     docs = table(spark, d, "documents")
-    rows = evaluate.scores(docs.select(F.col("doc_id").alias("id"), F.array(F.substring("text", 31, 300)).alias("answers")), docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("prediction")))
+    rows = evaluate.scores(docs.select(F.col("doc_id").alias("id"), F.array(F.concat(F.reverse("text"), "doc_id")).alias("answers")), docs.select(F.col("doc_id").alias("id"), F.col("text").alias("prediction")))
     return rows.select("id", "exact_match", F.round("f1", 6).alias("f1"))
 
 
@@ -140,30 +146,51 @@ def mitre_rows(spark, d):
 RATIONALE = [("옳지 않은 것은?\n선택지:\n1 가\n2 나", "2"), ("맞는 것은?\n선택지:\n1 가\n2 나", " 1 "), ("맞는 것은?\n선택지:\n1 가\n나", "1"), ("Q", "1"), ("맞는 것은?\n선택지:\n1 가\n2 나", "둘")]
 
 
-@query("WITH " + values([(RATIONALE[0][0], fixed.EXPLAIN_NEGATIVE[0] + "2" + fixed.EXPLAIN_NEGATIVE[1] + "나\n정답: 2"), (RATIONALE[1][0], fixed.EXPLAIN_NORMAL[0] + "1" + fixed.EXPLAIN_NORMAL[1] + "가\n정답: 1")], "t", "instruction, output") + " SELECT instruction, output FROM t")
+@query("WITH " + values([(RATIONALE[0][0], fixed.EXPLAIN_NEGATIVE.replace("{number}", "2").replace("{text}", "나") + "\n정답: 2"), (RATIONALE[1][0], fixed.EXPLAIN_NORMAL.replace("{number}", "1").replace("{text}", "가") + "\n정답: 1")], "t", "instruction, output") + " SELECT instruction, output FROM t")
 def mcq_rationale(spark, d):
     return records.rationale(literal(spark, RATIONALE, "instruction string, output string"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+s(doc_id, k, block, held, n) AS (
+  SELECT doc_id, 1, 0, l[1], length(l[1]) + 1 FROM l WHERE len(l) > 0
+  UNION ALL
+  SELECT doc_id, k + 1, block + full_::INT, CASE WHEN full_ THEN x ELSE held || ' ' || x END, CASE WHEN full_ THEN length(x) ELSE n + length(x) + 1 END
+  FROM (SELECT s.*, l.l[k + 1] AS x, n + length(l.l[k + 1]) + 1 > 1800 AS full_ FROM s JOIN l USING (doc_id) WHERE k < len(l.l)) t)
+SELECT doc_id, block, arg_max(held, k) AS text FROM s GROUP BY doc_id, block""")
 def line_pack_1800(spark, d):
-    """Greedy, so that no SQL states it; the tests hold a plain version."""
     packed = blocks.pack_lines(T._stripped_lines("text"))
     return table(spark, d, "documents").select("doc_id", F.posexplode(packed).alias("block", "text"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (SELECT doc_id, trim(text, chr(32) || chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM t WHERE length(t) > 900),
+s(doc_id, k, part, held) AS (
+  SELECT doc_id, 1, 0, trim(l[1]) FROM l
+  UNION ALL
+  SELECT doc_id, k + 1, part + full_::INT, CASE WHEN full_ THEN x ELSE trim(held || ' ' || x, chr(32) || chr(10)) END
+  FROM (SELECT s.*, l.l[k + 1] AS x, length(held) + length(l.l[k + 1]) + 1 > 900 AND held <> '' AS full_ FROM s JOIN l USING (doc_id) WHERE k < len(l.l)) t)
+SELECT doc_id, part, trim(arg_max(held, k), chr(32) || chr(10)) AS text FROM s GROUP BY doc_id, part
+UNION ALL SELECT doc_id, 0, t FROM t WHERE t <> '' AND length(t) <= 900""")
 def sentence_pack_900(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(blocks.pack_sentences("text")).alias("part", "text"))
 
 
-@query()
+@query("""
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= greatest(1, round_even(count(*) OVER () * 0.9, 0)) THEN 'train' ELSE 'val' END AS part FROM documents""")
 def train_val_split(spark, d):
-    """By a hash that SQL lacks; the tests check counts and that it repeats."""
     return records.split(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query()
+@query("""
+WITH v AS (SELECT v, row_number() OVER (ORDER BY md5('5|' || v), v) - 1 AS at_, count(*) OVER () AS n FROM (SELECT DISTINCT md5(text) AS v FROM documents) x),
+a AS (SELECT doc_id, md5(text) AS own, (CAST('0x' || substr(md5('5|' || doc_id), 1, 15) AS BIGINT) % 1073741824) % (SELECT max(n) FROM v) AS start FROM documents),
+s AS (SELECT doc_id, own, step, (start + step) % (SELECT max(n) FROM v) AS place FROM a, (SELECT unnest(range(0, 4)) AS step) z),
+k AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k FROM s JOIN v ON v.at_ = s.place WHERE v <> own)
+SELECT doc_id, count(*) AS n, list(v ORDER BY k) AS others FROM k WHERE k <= 3 GROUP BY doc_id""")
 def mcq_distractors(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
-    return records.distractors(docs, "doc_id", "head").select("doc_id", F.size("others").alias("n"), "others")
+    """Digests of whole texts stand for options."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return records.distractors(docs, "doc_id", "digest").select("doc_id", F.size("others").alias("n"), "others")
