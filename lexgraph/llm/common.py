@@ -4,57 +4,23 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, new_path, shared_dir, written
+
+__all__ = ["discard", "new_path", "shared_dir", "written"]
+
 #: ASCII letters and digits and every byte of a non-ASCII character make words; A-Z become a-z, all else blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The same words as a pattern for SQL, on a text whose A-Z are lower-cased.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not hasattr(spark, "_lexgraph_dir"):
-        spark._lexgraph_dir = "file://" + tempfile.mkdtemp(prefix="lexgraph-")
-    return spark._lexgraph_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets; it goes when the session ends."""
-    path = f"{shared_dir(spark)}/lexgraph-{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and its rows outlive lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lexgraph_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a written table that nothing will read again."""
-    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lexgraph_path)
-    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def words(text: str | None) -> list[bytes]:
     """Lower-case words of a text as UTF-8, by WORD_BYTES; lone surrogates are replaced, null has none."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
