@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.predicates import domain_meta
+from ..storage import written
 from .records import exact_dedup
 
 
@@ -18,6 +19,20 @@ def text_chunks(files: DataFrame, file_col: str = "file", text_col: str = "text"
     return rows.select(F.concat_ws(":::", "_f", "_k").alias("id"), T.clean("_c.text").alias("text"), F.col("_f").alias("source"), F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), extra.alias("extra"))
 
 
+def numbered(rows: DataFrame, order: list[str], out: str = "uid") -> DataFrame:
+    """Adds a number from 0 on over all rows, in the given order; ties are numbered in any order.
+
+    Rows are sorted into ranges, and running sums of the ranges' counts give the numbers, so no task sorts all rows.
+    """
+    spark = rows.sparkSession
+    parts = written(rows.repartitionByRange(spark.sparkContext.defaultParallelism * 4, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    counts = parts.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.select(F.col("_range").alias("_r"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out_rows = parts.join(F.broadcast(counts), F.col("_range") == F.col("_r"))  # four rows a core
+    return out_rows.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first")).drop("_range", "_at", "_r", "_first", "_before")
+
+
 def first_filled(df: DataFrame, names: list[str]) -> Column:
     """The first of the named columns, of those there are, that is not empty; '' without any."""
     return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in names if c in df.columns), F.lit(""))

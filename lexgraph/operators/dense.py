@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import saturate
+from ..storage import written
 from .bm25 import top
 
 #: Query vectors that are sent to the tasks together.
@@ -62,6 +63,52 @@ def _best(block: list, k: int):
     return run
 
 
+def mmr_whole(docs: DataFrame, queries: DataFrame, k: int, trade: float = 0.5, id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
+    """Maximal marginal relevance over all documents: (query_id, doc_id, pick), k picks a query.
+
+    The first pick is the document closest to the query; each further one has the best trade * relevance -
+    (1 - trade) * likeness to what is taken. A pick is one scan of the documents: a task keeps its best document of
+    each query, so no table of queries by documents is made. queries (query_id, query_vector) is a stated set, whose
+    picks go to the tasks with it. Ties go to the lower id; null vectors and those of another length are passed over.
+    """
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL"), "vectors")
+    taken = {r[0]: [(None, r[1])] for r in queries.select(F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>")).dropna().toLocalIterator()}
+    for _ in range(k):
+        best = rows.mapInArrow(_next_pick(taken, trade), "query_id long, doc_id long, score double, v array<double>")
+        best = best.groupBy("query_id").agg(F.min_by(F.struct("doc_id", "v"), F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b"))
+        for r in best.collect():  # a row for each query
+            taken[r.query_id].append((r.b.doc_id, r.b.v))
+    out = [(q, doc, n) for q, picks in taken.items() for n, (doc, _) in enumerate(picks) if n]
+    return docs.sparkSession.createDataFrame(out, "query_id long, doc_id long, pick int")
+
+
+def _next_pick(taken: dict[int, list], trade: float):
+    asked = {q: ([d for d, _ in picks[1:]], np.array([v for _, v in picks], np.float64)) for q, picks in taken.items()}
+
+    def run(batches):
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            sizes = np.array(pa.compute.list_value_length(batch.column(1)))
+            ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            matrices = {n: (here := np.flatnonzero(sizes == n), flat[(starts[here][:, None] + np.arange(n)).ravel()].reshape(len(here), n)) for n in np.unique(sizes)}
+            for q, (done, vectors) in asked.items():
+                if vectors.shape[1] not in matrices:
+                    continue
+                here, x = matrices[vectors.shape[1]]
+                near = x @ vectors.T
+                score = near[:, 0] if not done else trade * near[:, 0] - (1 - trade) * near[:, 1:].max(axis=1)
+                score = np.where(np.isin(ids[here], done), -np.inf, np.round(score, 9))
+                at = np.lexsort((ids[here], -score))[0]
+                found = (float(score[at]), -int(ids[here[at]]), x[at])
+                if np.isfinite(found[0]) and (q not in best or found[:2] > best[q][:2]):
+                    best[q] = found
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best)), pa.array([-b[1] for b in best.values()]), pa.array([b[0] for b in best.values()]), pa.array([b[2] for b in best.values()], pa.list_(pa.float64()))], ["query_id", "doc_id", "score", "v"])
+
+    return run
+
+
 def min_max(hits: DataFrame, score: str = "score") -> DataFrame:
     """Scores of each query's hits on the scale from 0 to 1; all 0 where they are equal."""
     w = Window.partitionBy("query_id")

@@ -229,6 +229,14 @@ def rationale(df: DataFrame, keep_others: bool = False) -> DataFrame:
     return rows.withColumn("output", F.when(apt, explained).otherwise(F.col("output")))
 
 
+def conversion_counts(df: DataFrame) -> DataFrame:
+    """One row on a table of records of any form: total, with_messages, from_instruction, empty (neither) and with_input."""
+    has = lambda c: (T.strip(T._text(c)) != "") if c in df.columns else F.lit(False)
+    messages = F.coalesce(F.size("messages") > 0, F.lit(False)) if "messages" in df.columns else F.lit(False)
+    made = ~messages & (has("instruction") | has("input") | has("output"))
+    return df.agg(F.count("*").alias("total"), F.count_if(messages).alias("with_messages"), F.count_if(made).alias("from_instruction"), F.count_if(~messages & ~made).alias("empty"), F.count_if(has("input")).alias("with_input"))
+
+
 def split(df: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """Adds part: 'train' for the share of rows first in the order of the MD5 of seed and key, 'val' for the rest.
 

@@ -73,6 +73,58 @@ def translated(texts: Column, translate: Callable[[list[str]], list[str]] | None
     return run(texts)
 
 
+def two_stage(df: DataFrame, question: str, generate: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
+    """Adds rationale and answer: a generator explains a multiple-choice question, then is asked for the number alone.
+
+    The answer is the first allowed number in the second output, else in the first, else '0'.
+    """
+    from .functions.text import option_numbers, options_of
+
+    columns = df.columns
+    rows = generated(df.withColumn("_ask", F.concat(question, F.lit("\n\n풀이:"))), "_ask", generate, batch, "rationale")
+    rows = generated(rows.withColumn("_ask", F.concat(question, F.lit("\n\n풀이: "), F.coalesce("rationale", F.lit("")), F.lit("\n\n정답 번호:"))), "_ask", generate, batch, "_said")
+    allowed = option_numbers(options_of(question))
+    number = lambda c: F.get(F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([1-9][0-9]?)"), F.lit(1)), lambda x: F.array_contains(allowed, x)), F.lit(0))
+    return rows.select(*columns, "rationale", F.coalesce(number("_said"), number("rationale"), F.lit("0")).alias("answer"))
+
+
+def constrained_first(scores: Column, allowed: Column) -> Column:
+    """Of a map from token to score the allowed token with the best one (the lower token at equal ones); null if none is allowed."""
+    kept = F.filter(F.map_entries(scores), lambda e: F.array_contains(allowed, e["key"]))
+    best = F.array_sort(F.transform(kept, lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k"))))
+    return F.get(best, F.lit(0))["k"]
+
+
+def korean_tokens(tokens: Column) -> Column:
+    """The tokens a Korean-only output may use: Hangul, digits, blanks and common punctuation, no other letter."""
+    return F.filter(tokens, lambda t: ~t.rlike(r"(?U)[\p{L}&&[^가-힣ㄱ-ㅎㅏ-ㅣ]]"))
+
+
+def until_number(c: Column) -> Column:
+    """A generated text up to the end of its first number; as it is without one."""
+    found = F.regexp_extract(F.coalesce(c, F.lit("")), "(?s)^(.*?[0-9]+)", 1)
+    return F.when(found == "", F.coalesce(c, F.lit(""))).otherwise(found)
+
+
+def best_option(options: Column, mean: bool = True) -> Column:
+    """Of options (option, logprobs) the one whose continuation has the best log-probability, per token or in sum; the first at equal ones."""
+    total = lambda x: F.aggregate(x["logprobs"], F.lit(0.0), lambda s, v: s + v)
+    score = lambda x: total(x) / F.greatest(F.size(x["logprobs"]), F.lit(1)) if mean else total(x)
+    ranked = F.array_sort(F.transform(options, lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x["option"].alias("o"))))
+    return F.get(ranked, F.lit(0))["o"]
+
+
+def budgeted(ids: Column, window: int, answer: int) -> Column:
+    """The last ids of an input that leave room for an answer of `answer` tokens in a window; at least one."""
+    n = max(1, window - answer)
+    return F.slice(ids, F.greatest(F.size(ids) - n + 1, F.lit(1)), F.lit(n))
+
+
+def latest_run(names: Column) -> Column:
+    """Of names of runs the one with the highest number at its end (checkpoint-200 before checkpoint-90), then by name."""
+    return F.array_max(F.transform(names, lambda x: F.struct(F.coalesce(F.regexp_extract(x, "([0-9]+)$", 1).try_cast("long"), F.lit(-1)).alias("n"), x.alias("x"))))["x"]
+
+
 def reranked(candidates: DataFrame, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Candidates (query_id, doc_id, rank, query, text) in the order of a score of query and text; as they are without one."""
     from pyspark.sql import Window

@@ -7,10 +7,20 @@ from pyspark.sql import SparkSession
 from .functions import text
 from .sources.readers import docx_text
 
+#: Functions that are SQL expressions of one text, as SQL functions of a session.
+SQL_FUNCTIONS = {
+    "lex_collapse": r"trim(regexp_replace(coalesce(t, ''), '(?U)\\s+', ' '))",
+    "lex_words": "regexp_extract_all(lower(coalesce(t, '')), '[가-힣A-Za-z0-9]+', 0)",
+    "lex_words_kept_case": "regexp_extract_all(coalesce(t, ''), '[0-9A-Za-z가-힣]+', 0)",
+    "lex_is_number_answer": r"coalesce(t, '') rlike '(?U)^\\s*[1-9][0-9]?\\s*$'",
+}
+
 
 def register(spark: SparkSession) -> list[str]:
-    """Register the Arrow functions that SQL lacks as lex_*; returns their names."""
-    found = {"lex_nfkc": text.nfkc, "lex_nfkc_but_circled": text.nfkc_but_circled, "lex_html_unescape": text.html_unescape, "lex_docx_text": docx_text}
+    """Register lex_* functions for SQL, the Arrow ones that SQL lacks and some that are SQL; returns their names."""
+    found = {"lex_nfkc": text.nfkc, "lex_nfkc_but_circled": text.nfkc_but_circled, "lex_normalize": text.nfkc_collapsed, "lex_html_unescape": text.html_unescape, "lex_docx_text": docx_text}
     for name, fn in found.items():
         spark.udf.register(name, fn)
-    return sorted(found)
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURN {body}")
+    return sorted([*found, *SQL_FUNCTIONS])

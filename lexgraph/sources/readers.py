@@ -7,6 +7,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,6 +167,29 @@ def squad(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("q.id", F.coalesce(F.transform("q.answers", lambda a: a["text"]), F.array("q.answer.text")).alias("answers"))
 
 
+def csr_matrix(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, row, col, value) of sparse matrices in .npz files: the arrays of the compressed rows, or a dense array `matrix`.
+
+    A file without them has no rows. Nothing pickled is read.
+    """
+    def entries(parts):
+        for files in parts:
+            for name, data in zip(files["file"], files["content"], strict=True):
+                with np.load(io.BytesIO(data), allow_pickle=False) as found:
+                    if {"data", "indices", "indptr"} <= set(found.files):
+                        rows = np.repeat(np.arange(len(found["indptr"]) - 1), np.diff(found["indptr"]))
+                        cols, values = found["indices"], found["data"]
+                    elif "matrix" in found.files and found["matrix"].ndim == 2:
+                        rows, cols = np.nonzero(found["matrix"])
+                        values = found["matrix"][rows, cols]
+                    else:
+                        continue
+                yield pd.DataFrame({"file": name, "row": rows.astype(np.int64), "col": cols.astype(np.int64), "value": values.astype(np.float64)})
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(paths).select(_name("path").alias("file"), "content")
+    return raw.mapInPandas(entries, "file string, row long, col long, value double")
+
+
 def vector_index(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
     """A written index; fails if a vector has another length than stated."""
     rows = spark.read.parquet(path)
