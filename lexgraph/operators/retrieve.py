@@ -95,7 +95,7 @@ def once_per_query(queries: DataFrame, search: Callable[[DataFrame], DataFrame],
 
 def graph_seeds(nodes: DataFrame, queries: DataFrame, k: int = 3, tokenizer: str = "a", encoder=None) -> DataFrame:
     """(query_id, id, rank): the best nodes (id, title, text) of each query, lexically, or by vectors if an encoder is given."""
-    rows = nodes.select("id", F.concat_ws("\n", "title", "text").alias("text"), F.xxhash64("id").alias("doc_id"))
+    rows = nodes.select("id", F.concat_ws("\n", "title", "text").alias("text"), F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 15), 16, 10).cast("long").alias("doc_id"))
     if encoder is None:
         hits = bm25.top(bm25.okapi(bm25.Index.build(rows, tokenizer=tokenizer), bm25.query_terms(queries, tokenizer)), k)
     else:

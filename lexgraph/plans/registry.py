@@ -46,4 +46,4 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
 
 
 # the queries register themselves
-from . import corpus, exchange, families, laws, records, retrieval  # noqa: E402, F401
+from . import answers, corpus, exchange, families, laws, records, retrieval  # noqa: E402, F401

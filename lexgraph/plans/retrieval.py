@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.predicates import domain_meta
-from ..operators import bm25, context, dense, law, retrieve
-from .laws import articles
+from ..operators import bm25, context, dense, retrieve
 from .registry import query, table
 
 _LEX = """
@@ -119,15 +118,6 @@ def fusion_saturation(spark, d):
     return dense.fuse_saturated(vectors, lexical, F.when(F.col("doc_id") % 3 == 0, 0.05).otherwise(0.0))
 
 
-@query()
-def mmr_candidates(spark, d):
-    """Five diverse ones of each query's fifty; greedy, so that no SQL states it."""
-    rows, asked = _vectors(spark, d)
-    hits = dense.search(rows, asked, 50, id_col="vec_id")
-    candidates = hits.join(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(asked, "query_id")
-    return dense.mmr(candidates, 5)
-
-
 @query(_LEX + """scored AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
   FROM q JOIN df USING (term) JOIN p USING (term) JOIN s USING (doc_id), c GROUP BY query_id, doc_id), """ + _TOP + """,
 lines AS (SELECT query_id, rank, '[' || rank || '] (' || source || ':0-' || length(text) || ')' || chr(10) || text AS l FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3 AND score > 0)
@@ -169,11 +159,3 @@ def retrieve_routed(spark, d):
     queries = _asked(spark, d)[0].join(asked, "query_id", "left")
     out = retrieve.retrieve(chunks, queries)
     return out.select("query_id", "route", "ok", "reason", F.md5(F.col("context").cast("binary")).alias("context"))
-
-
-@query()
-def graph_query(spark, d):
-    """Lexical seeds among articles made of the documents, and what they cite, for the benchmark's items."""
-    made = articles(spark, d)
-    nodes = made.select(F.col("aid").alias("id"), "title", "text")
-    return retrieve.graph_query(nodes, law.citation_edges(made), _asked(spark, d)[0], 3, 1, 5)
