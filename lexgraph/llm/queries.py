@@ -28,6 +28,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of op3 with every fiftieth record's compressed bytes damaged: what comes back, and that gaps are logged."""
+    manifest = warc.read_warc(warc.damaged(warc.write_warc(_read(spark, sf_dir, "pages")), lambda page: page is not None and page % 50 == 7), with_payload=False)
+    gaps = manifest.where("kind = 'gap' AND `end` > start").select("kind", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("payload_digest")).distinct()
+    return manifest.where("kind = 'record'").select("kind", "page_id", "payload_digest").unionByName(gaps)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
@@ -82,7 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_warc, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
@@ -91,6 +98,9 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS m FROM p)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN m > page_id THEN m END AS refers_to FROM g
+""",
+    "warc_salvage": """
+SELECT 'record' AS kind, page_id, sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id % 50 <> 7 UNION ALL SELECT DISTINCT 'gap', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM pages WHERE page_id % 50 = 7
 """,
     "op4_decontaminate": decontaminate.SQL,
     "op5_url_filter": r"""

@@ -15,9 +15,11 @@ from __future__ import annotations
 import base64
 import contextlib
 import hashlib
+import io
 import re
 import uuid
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -424,6 +426,32 @@ def salvage(f, size: int, keep: int = KEEP):
         yield "gap", lost, size, *inner, why, None
 
 
+def damaged(manifest: DataFrame, hurt: Callable[[int | None], bool]) -> DataFrame:
+    """Copies of written archives, and their manifest, in which the middle byte of every record whose page `hurt` names is inverted.
+
+    For trying out salvage: each record is a member of its own, and a file is read whole.
+    """
+    path = new_path(manifest.sparkSession, "warc-damaged")
+
+    def run(batches):
+        system, folder = pafs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                source, at = pafs.FileSystem.from_uri(file)
+                with source.open_input_file(at) as f:
+                    data = bytearray(f.read())
+                for kind, start, end, _, _, head, _ in salvage(io.BytesIO(bytes(data)), len(data), -1):
+                    if kind == "record" and hurt(int(head["x-page-id"]) if "x-page-id" in head else None):
+                        data[(start + end) // 2] ^= 0xFF
+                name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                with system.open_output_stream(name, compression=None) as out:
+                    out.write(bytes(data))
+                yield pa.RecordBatch.from_arrays([pa.array([root(path, folder) + name]), pa.array([len(data)], pa.int64())], ["file", "bytes"])
+
+    return written(manifest.select("file").mapInArrow(run, "file string, bytes long"), "warc-damaged-manifest")
+
+
 SCHEMA = "file string, kind string, start long, end long, inner_start long, inner_end long, reason string, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
