@@ -45,6 +45,25 @@ def test_distractors_are_others(spark):
     assert len(got) == 500 and all(len(set(r.others)) == 3 and f"v{r.k % 40}" not in r.others for r in got)
 
 
+def test_distractors_are_found_where_few_fit(spark):
+    rows = [(k, f"v{k}", "big") for k in range(300)] + [(300, "v300", "small"), (301, "v301", "small"), (302, None, "small"), (303, "v0", "other")]
+    got = {r.k: r.others for r in records.distractors(spark.createDataFrame(rows, "k int, v string, g string"), "k", "v", 2, group="g").collect()}
+    assert set(got) == set(range(304))
+    for k in range(1, 300):
+        assert len(got[k]) == 2 and set(got[k]) <= {"v300", "v301", "v0"}  # v0 is also of another group
+    assert all(len(got[k]) == 2 and not set(got[k]) & {"v300", "v301"} for k in (300, 301, 302))
+    assert records.distractors(spark.createDataFrame([(1, None)], "k int, v string"), "k", "v").collect() == []
+
+
+def test_places_go_round_whatever_the_partitions(spark):
+    rows = [(k, 3 + k % 2) for k in range(2000)]
+    got = {r.k: r.position for r in records.balanced_position(spark.createDataFrame(rows, "k int, n int").repartition(7), "n", "k").collect()}
+    seen = {3: 0, 4: 0}
+    for k, n in rows:
+        assert got[k] == seen[n] % n + 1
+        seen[n] += 1
+
+
 def test_split_counts(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     one, two = ({r.k: r.part for r in records.split(x, "k").collect()} for x in (df, df.repartition(7)))

@@ -106,3 +106,11 @@ def test_stream(spark, tmp_path):
 
 def test_registered_functions(spark):
     assert "lex_nfkc" in register(spark) and spark.sql("SELECT lex_nfkc('Ａ')").first()[0] == "A"
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    from lexgraph.session import spread
+
+    one, many = spark.range(100).coalesce(1), spark.range(100).repartition(50)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many).rdd.getNumPartitions() == 50
+    assert spread(one).count() == 100

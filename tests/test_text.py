@@ -51,6 +51,21 @@ def test_null_is_empty(spark):
         assert rows[0] == rows[1], fn.__name__
 
 
+def test_brackets_without_end_take_few_passes(spark):
+    import time
+
+    text = "(" * 3 + "x (a: b) " * 20_000
+    start = time.perf_counter()
+    got = spark.createDataFrame([(text,)], "t string").select(T.clean_catalogue("t")).first()[0]
+    assert got == "(((" + " ".join(["x"] * 20_000) and time.perf_counter() - start < 60
+
+
+def test_law_names_of_any_length(spark):
+    name = "가나다라 " * 60 + "에 관한 법"
+    row = spark.createDataFrame([(f"앞 문장이다. {name} 제3조의2 및 「짧은 법」 제5조",)], "t string").select(law.cross_law_refs("t").alias("r")).first().r
+    assert [(r.law, r.article) for r in row] == [(name.replace(" ", ""), "3의2"), ("짧은법", "5")]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0], ["전자", "금융", "거래"], ["전자", "금융", "법"])], "a array<double>, b array<double>, x array<string>, y array<string>")
     row = df.select(V.dot(F.col("a"), F.col("b")).alias("d"), V.unit(F.col("b")).alias("u"), V.token_overlap(F.col("x"), F.col("y")).alias("o"), V.place_at(F.col("x"), F.lit("거래"), F.lit(1)).alias("p"), V.saturate(F.lit(-10.0)).alias("s"), V.masked_labels(F.array(F.lit(1), F.lit(2)), F.array(F.lit(7))).alias("m"), V.pad_to_multiple(F.array(F.lit(1)), 4).alias("pad")).first()
