@@ -402,3 +402,25 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string, n_found long, redacted string"
     out = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema).withColumnRenamed("_id", id_col)
     return out if with_text else out.drop("redacted")
+
+
+def _matches(kind: str, number: int, pattern: str, test: str) -> str:
+    return f"""SELECT rid, {number} AS o, '{kind}' AS kind, m[i] AS s, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM docs) x) y WHERE {test}"""
+
+
+_DIGITS = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(reverse({_DIGITS})[k] AS INTEGER) ELSE CAST(reverse({_DIGITS})[k] AS INTEGER) * 2 - CASE WHEN reverse({_DIGITS})[k] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+#: The base columns of redact over the table documents, as SQL: places follow from the lengths of matches and of what lies between.
+SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), found AS (
+""" + "\nUNION ALL ".join([
+    _matches("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    _matches("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(m[i], '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT) <= 255, false)))"),
+    _matches("card", 2, r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    _matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+]) + """),
+spans AS (SELECT rid, count(*) FILTER (WHERE o = 0) AS n_email, count(*) FILTER (WHERE o = 1) AS n_ip, count(*) FILTER (WHERE o = 2) AS n_card, count(*) FILTER (WHERE o = 3) AS n_phone,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(s) AS BIGINT), ',' ORDER BY o, start) AS spans FROM found GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM docs LEFT JOIN spans USING (rid)
+"""

@@ -22,6 +22,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that plain patterns decide."""
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(_read(spark, sf_dir, "pages"))
     records = warc.read_warc(manifest, with_payload=False).where("kind = 'record'")
@@ -89,7 +94,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
@@ -99,6 +104,7 @@ g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) E
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN m > page_id THEN m END AS refers_to FROM g
 """,
+    "pii_base": pii.SQL,
     "warc_salvage": """
 SELECT 'record' AS kind, page_id, sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id % 50 <> 7 UNION ALL SELECT DISTINCT 'gap', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM pages WHERE page_id % 50 = 7
 """,
