@@ -49,7 +49,7 @@ def test_stages(spark, tmp_path):
 
     want = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
     assert sorted(kept["language_id"], key=repr) == sorted(want, key=repr)
-    want = [(*r[:4], len(r[1]), *r[5:7]) for r in deduped(kept["language_id"], 0.1, 5)]
+    want = [(*r[:4], len(r[1]), *r[5:7]) for r in deduped(kept["language_id"], 0.1, 2)]
     assert sorted(kept["line_dedup"], key=repr) == sorted(want, key=repr) and all("menu" not in r[1] for r in want)
     found = kept["jaccard_join"]
     groups = {low for _, low, _, _ in classes([r for r in kept["line_dedup"] if grams(r[1])])}
