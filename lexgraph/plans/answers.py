@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.predicates import domain_meta
 from ..operators import bm25, context, dense, law, records, retrieve
 from ..providers import reranked
 from .laws import _EDGES, articles
@@ -211,3 +212,33 @@ def mixed_negatives(spark, d):
 
     rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("query_id"), "doc_id")
     return records.mix_negatives(rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))), 10)
+
+
+_ZEROS = "list_transform(range(0, 64), lambda x: 0.0::DOUBLE)"
+_DOMAIN = "CASE WHEN regexp_matches(lower({t}), 'attack.mitre.org|enterprise-attack|ics-attack|mobile-attack|mitre att&ck|mitre attack|mitre-attack|att&ck|technique') OR regexp_matches({t}, '\\bTA?[0-9]{{4}}') THEN 'mitre' WHEN regexp_matches({t}, '법|시행령|시행규칙|대통령령|총리령|부령') THEN 'law' ELSE 'other' END"
+
+
+@query(r"""
+WITH d AS (SELECT d.doc_id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS e, regexp_extract_all(coalesce(d.text, ''), '[^\s]+') AS w, """ + _DOMAIN.format(t="d.text") + r""" AS domain FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+qs AS (SELECT b.item_id AS query_id, b.text AS query, CAST(e.embedding AS DOUBLE[]) AS qe, CASE WHEN regexp_matches(b.text, '(?i)\b(?:TA[0-9]{4}|T[0-9]{4}(?:\.[0-9]{3})?|ATT&CK)\b') THEN 'mitre' WHEN regexp_matches(b.text, '법|시행령|시행규칙|제\s?[0-9]+\s?조|대통령령|총리령|부령') THEN 'law' ELSE 'auto' END AS route FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) x GROUP BY ALL), dl AS (SELECT doc_id, len(w) AS dl FROM d), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(query, '[^\s]+')) AS term FROM qs) x GROUP BY ALL),
+ls AS (SELECT query_id, doc_id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM qt JOIN idf USING (term) JOIN p USING (term) JOIN dl USING (doc_id), st GROUP BY query_id, doc_id),
+lex AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
+den AS (SELECT query_id, doc_id, round(list_dot_product(qe, e), 6) AS score, route, domain FROM qs, d WHERE qe IS NOT NULL AND e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qe, e), 6) DESC, doc_id) <= 50),
+f AS (SELECT query_id, doc_id, round(0.7 * coalesce(den.score, 0) + CASE WHEN den.score IS NOT NULL AND route IN ('law', 'mitre') AND route = domain THEN 0.05 ELSE 0 END + 0.3 * coalesce(lex.score / (lex.score + 10), 0), 9) AS score FROM den FULL JOIN lex USING (query_id, doc_id)),
+h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 50),
+g AS (SELECT h.query_id, coalesce(list_dot_product(qe, e), 0) AS raw FROM h JOIN qs USING (query_id) JOIN d USING (doc_id) WHERE rank = 1),
+c AS (SELECT h.query_id, h.doc_id, h.rank, coalesce(e, """ + _ZEROS + r""") AS v, list_dot_product(qe, coalesce(e, """ + _ZEROS + r""")) AS near FROM h JOIN g USING (query_id) JOIN qs USING (query_id) JOIN d USING (doc_id) WHERE raw >= 0.25),
+""" + _picks("c", 3, 0.65, "rank").replace("\nSELECT", ",\npicks AS (SELECT", 1) + r"""),
+t AS (SELECT query_id, pick, text, CASE domain WHEN 'other' THEN '[REF]' WHEN 'law' THEN '[LAW]' ELSE '[ATT&CK]' END || ' | ' || source AS header, trim(array_to_string(string_split(replace(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))[1:3], ' '), chr(32) || chr(10) || chr(9)) AS summary FROM picks JOIN d USING (doc_id)),
+x AS (SELECT query_id, string_agg(header || chr(10) || replace(CASE WHEN summary = '' THEN substring(text, 1, 400) ELSE summary END, chr(10), ' '), chr(10) || chr(10) ORDER BY pick) AS x FROM t GROUP BY query_id)
+SELECT query_id, route, coalesce(raw >= 0.25, false) AS ok, CASE WHEN raw IS NULL THEN 'no-candidate' WHEN raw < 0.25 THEN 'low-dense=' || printf('%.3f', raw) END AS reason, CASE WHEN raw >= 0.25 THEN md5(""" + _sql(fixed.GUIDE_ATTACK) + r""" || chr(10) || chr(10) || x) END AS context FROM qs LEFT JOIN g USING (query_id) LEFT JOIN x USING (query_id)""")
+def retrieve_routed(spark, d):
+    """Route, hybrid search, gate, diversification and context for the benchmark's items over all documents, those without a vector lexically."""
+    rows, asked = _vectors(spark, d, None)
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    chunks = docs.join(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").withColumns({"id": F.col("doc_id").cast("string"), "extra": domain_meta("text")})
+    queries = _asked(spark, d)[0].join(asked, "query_id", "left")
+    out = retrieve.retrieve(chunks, queries)
+    return out.select("query_id", "route", "ok", "reason", F.md5(F.col("context").cast("binary")).alias("context"))
