@@ -9,8 +9,7 @@ from ..functions.predicates import domain_meta
 from ..operators import bm25, context, dense, law, records, retrieve
 from ..providers import reranked
 from .laws import _EDGES, articles
-from .records import _sql
-from .registry import query, table
+from .registry import _sql, query, table
 from .retrieval import _DENSE, _LEX, _TOP, _asked, _vectors
 
 _POSITIVE = _LEX + """scored AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score

@@ -16,8 +16,7 @@ from ..functions import structs
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import context, corpus, evaluate, law, records, terms
-from .records import _sql
-from .registry import query, table
+from .registry import _sql, query, table
 
 
 def made(spark, d, **columns: str) -> DataFrame:

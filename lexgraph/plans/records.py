@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import blocks, evaluate, records
-from .registry import literal, query, table, values
+from .registry import _sql, literal, query, table, values
 
 MCQ = [(1, "Q?\n1 a\n2 b"), (2, "Q?\n1 a"), (3, "Q?\n1 a|2 b"), (4, "Q one\nQ two\n ① x\n10 y\n 2 z"), (5, "")]
 _MCQ = values(MCQ, "t", "id, s")
@@ -38,10 +38,6 @@ def extract_answers(spark, d):
     return literal(spark, ANSWERS, "id long, s string, q string").select("id", T.extract_answer("s", "q").alias("answer"))
 
 
-def _sql(s: str) -> str:
-    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
 @query(f"SELECT conv_id, turn, {_sql(fixed.SYSTEM_OPEN)} AS system, {_sql(fixed.USER_OPEN + '질문: ')} || text || {_sql(chr(10) + chr(10) + '답변:')} AS user_text FROM conversations WHERE role = 'user'")
 def messages_build(spark, d):
     rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", records.prompt("text").alias("m"))
