@@ -21,6 +21,14 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that df has no column of, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case words of a text as UTF-8, by WORD_BYTES; lone surrogates are replaced, null has none."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_pairs, groups, mix, shingles, tidy, words, written
+from .common import WordHashes, block_pairs, fresh, groups, mix, shingles, tidy, words, written
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -260,9 +260,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = best.select("_group", F.col("_best.i").alias("_i"), F.col("_best.m").alias("_m"))
     many = rows.groupBy("_group", "_id", "_md5").agg(F.count("*").alias("_same")).withColumnRenamed("_group", "_g")
     best = best.join(many, (F.col("_group") == F.col("_g")) & F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_md5")))
-    best = written(best.select("_i", "_m", (F.col("_same") > 1).alias("_repeated")), "kept")
-    mark = docs.withColumns({"_lg_md5": F.unhex(F.md5(F.col(text_col).cast("binary")))})
-    kept = mark.join(best, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_lg_md5") == F.col("_m")))
-    once = kept.where(~F.col("_repeated")).unionByName(kept.where("_repeated").dropDuplicates([id_col, "_lg_md5"]))
+    digest, own, its, repeated = (fresh(docs, n) for n in ("_lg_md5", "_lg_id", "_lg_its", "_lg_repeated"))
+    best = written(best.select(F.col("_i").alias(own), F.col("_m").alias(its), (F.col("_same") > 1).alias(repeated)), "kept")
+    mark = docs.withColumn(digest, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    kept = mark.join(best, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(digest) == F.col(its)))
+    once = kept.where(~F.col(repeated)).unionByName(kept.where(F.col(repeated)).dropDuplicates([id_col, digest]))
     bare = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return once.select(*docs.columns).unionByName(bare)
