@@ -14,8 +14,6 @@ Nothing of tests or corpus passes through the driver.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import tidy, words, written
+from .common import fresh, tidy, words, written
 
 #: Empty positions between documents of a segment, so that no window spans two.
 GAP = 64
@@ -59,23 +57,22 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]]).astype(np.int64) if len(lengths) else lengths
 
 
-def postings(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, bytes, np.ndarray]:
+def postings(lists: list[list[bytes]]) -> tuple[pa.Array, np.ndarray, bytes, np.ndarray]:
     """The terms of a segment's documents, their counts, and their positions as packed() has them."""
-    numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
-    lengths = np.array([len(x) for x in lists], np.int64)
-    terms = np.fromiter((numbers[w] for x in lists for w in x), np.int64, int(lengths.sum()))
+    coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+    lengths, terms = np.array([len(x) for x in lists], np.int64), coded.indices.to_numpy().astype(np.int64)
     places = np.repeat(starts_of(lengths) - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(terms))
     places = np.sort(terms << 36 | places.astype(np.int64)) & ((1 << 36) - 1)
-    counts = np.bincount(terms, minlength=len(numbers)).astype(np.int64)
+    counts = np.bincount(terms, minlength=len(coded.dictionary)).astype(np.int64)
     steps, first = np.diff(places, prepend=0), np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     if len(places):
         steps[first] = places[first]
     data, ends = packed(steps, counts)
-    return list(numbers), counts, data, ends
+    return coded.dictionary, counts, data, ends
 
 
-def _binaries(data: bytes, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(data)])
+def _binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(data)])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = 500_000, segment_docs: int = 20_000) -> DataFrame:
@@ -99,8 +96,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), whole, lengths], names)
             n = len(found)
             if n:
-                term = _binaries(b"".join(found), np.cumsum([len(w) for w in found]), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, segment)), term, pa.array(counts), _binaries(data, ends, pa.binary()), pa.nulls(n, whole.type), pa.nulls(n, lengths.type)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, segment)), found.cast(pa.string()), pa.array(counts), _binaries(data, ends), pa.nulls(n, whole.type), pa.nulls(n, lengths.type)], names)
 
         held, lists, size, number = [], [], 0, 0
         for batch in batches:
@@ -309,12 +305,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     Rows are told apart by the digest of their text, on which alone contamination depends.
     """
-    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
-    texts = docs.select(digest(text_col).alias("_lg_key"), F.col(text_col).alias("_lg_text"))
-    bad = contamination(texts, benchmark, "_lg_key", "_lg_text", **{"slack": 0, **how}).where("contaminated").select(F.col("_lg_key").alias("_lg_bad")).distinct()
+    key, bad_key = fresh(docs, "_lg_key"), fresh(docs, "_lg_bad")
+    marked = docs.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    bad = contamination(marked, benchmark, key, text_col, **{"slack": 0, **how}).where("contaminated").select(F.col(key).alias(bad_key)).distinct()
     bad = written(bad, "contaminated")
-    marked = docs.withColumn("_lg_key", digest(text_col))
-    return marked.join(bad, F.col("_lg_key") == F.col("_lg_bad"), "left_anti").drop("_lg_key")
+    return marked.join(bad, F.col(key) == F.col(bad_key), "left_anti").drop(key)
 
 
 #: The contract's columns of contamination as SQL, over documents and benchmark.
