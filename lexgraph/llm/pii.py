@@ -34,6 +34,7 @@ ALL = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+DOTTED = re.compile(r"[0-9]\.[0-9]")  # in every match of IP
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -62,7 +63,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             out["email"].append((start, m.end()))
             end = m.end()
         at = text.find("@", max(at + 1, end))
-    for m in IP.finditer(text):
+    for m in IP.finditer(text) if DOTTED.search(text) else ():
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
             out["ip"].append(m.span())
     for m in CARD.finditer(text):
@@ -86,6 +87,10 @@ GAP = "[ .\\-/\u00a0\u2010-\u2013\u202f]"
 #: A whole run of digits with single separators, and the usual groupings that may stand inside a longer run.
 DIGITS = re.compile(rf"(?<![0-9])[+(]?[0-9](?:[()]?{GAP}{{0,2}}[(]?[0-9]){{8,24}}(?![0-9])")
 LONG = re.compile(rf"(?<![0-9])[+(]?[0-9](?:[()]?{GAP}{{0,2}}[(]?[0-9]){{25,}}(?![0-9])")
+#: Runs of the characters of DIGITS and LONG: their matches lie within, and no run touches another.
+REGION = re.compile(r"[+(]?[0-9][0-9() .\-/\u00a0\u2010-\u2013\u202f]{7,}")
+LOOSE = re.compile(r"[0-9] ?[.\[(]")  # in every match of IP_LOOSE
+COLONS = re.compile(":[0-9A-Fa-f]{0,4}:")  # in every match of IP6
 FORMS = {
     "card": re.compile(rf"(?<![0-9])(?=([0-9]{{13,19}}(?![0-9])|[0-9]{{4}}(?:{GAP}[0-9]{{4}}){{3}}(?![0-9])|[0-9]{{4}}{GAP}[0-9]{{6}}{GAP}[0-9]{{5}}(?![0-9])))"),
     "phone": re.compile(rf"(?<![0-9+])(?=((?:\+[0-9]{{1,3}}{GAP}?)?\(?[0-9]{{2,4}}\)?{GAP}?[0-9]{{3,4}}{GAP}[0-9]{{3,4}}(?![0-9])))"),
@@ -126,10 +131,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     if may_hold_mail(text):
         out += [("email", *m.span()) for m in MAIL.finditer(text)]
-    if ":" in text:
+    if COLONS.search(text):
         out += [("ip", *m.span()) for m in IP6.finditer(text) if len(m[0]) > 6]
-    out += [("ip", *m.span()) for m in IP_LOOSE.finditer(text)]
-    for m in DIGITS.finditer(text):
+    if LOOSE.search(text):
+        out += [("ip", *m.span()) for m in IP_LOOSE.finditer(text)]
+    regions = [m.span() for m in REGION.finditer(text)]
+    for m in (m for span in regions for m in DIGITS.finditer(text, *span)):
         n = len(only_digits(m[0]))
         if 13 <= n <= 19:
             out.append(("card", *m.span()))
@@ -138,7 +145,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         near = text[max(0, m.start() - 1) : m.end()]
         for kind, form in FORMS.items():
             out += [(kind, *span) for f in form.finditer(near) if (span := (max(0, m.start() - 1) + f.start(1), max(0, m.start() - 1) + f.end(1))) != m.span()]
-    for m in LONG.finditer(text):
+    for m in (m for span in regions for m in LONG.finditer(text, *span)):
         for kind, form in FORMS.items():
             out += [(kind, m.start() + f.start(1), m.start() + f.end(1)) for f in form.finditer(m[0])]
     low = text.lower()

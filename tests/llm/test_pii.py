@@ -61,6 +61,17 @@ def test_clean_text_stays():
         assert pii.find(text) == ({k: [] for k in pii.KINDS}, {k: [] for k in pii.ALL}), text
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0123456789+() .-/:ax\u2011", max_size=90))
+def test_regions_hold_every_match(text):
+    spans = [m.span() for m in pii.REGION.finditer(text)]
+    for pattern in (pii.DIGITS, pii.LONG):
+        assert [m.span() for m in pattern.finditer(text)] == [m.span() for span in spans for m in pattern.finditer(text, *span)]
+    assert pii.COLONS.search(text) or not pii.IP6.search(text)
+    assert pii.LOOSE.search(text) or not pii.IP_LOOSE.search(text)
+    assert pii.DOTTED.search(text) or not pii.IP.search(text)
+
+
 #: Sentences written by hand, not by the templates: the datum in double braces.
 BY_HAND = {
     "phone": ["Call {{(030) 1234 567 89}} after six", "call {{0123 456 7890}} for a quote", "Our office: {{212-555-0147}}, ask for Ann", "Fax {{0221/4710815}} or write", "You can reach me on mobile {{0171 234 5678}}.", "tel. {{01 42 68 53 00}} (Paris)"],
