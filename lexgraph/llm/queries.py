@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, sharding, url_filter, warc
+from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, runs, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,7 +94,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing)}
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of a tenth of the documents, chosen by the CRC-32 of the id, the words from some place on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    docs = docs.withColumn("a", F.expr("IF(size(w) > 0, g % size(w), NULL)"))
+    docs = docs.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    return docs.withColumn("text", F.expr("IF(a IS NULL, text, array_join(transform(w, (v, i) -> IF(i < a, v, w[int(a + (i - a) % p)])), ' '))")).select("doc_id", "text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periodic_ends(_read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("_runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op12_periodic_runs)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
