@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, runs, sharding, url_filter, warc
+from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, runs, sharding, snapshots, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -115,7 +115,25 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op12_periodic_runs)}
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """The contract's later snapshot of (doc_id, text, lang, source): the CRC-32 of the id, modulo 25, says what becomes of a row."""
+    docs = docs.select("doc_id", "text", "lang", "source", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 25).alias("r")).where("r IS NULL OR r <> 0")
+    moved = -1 - F.col("doc_id")
+    keys = F.when(F.col("r") == 5, F.array("doc_id", moved)).when(F.col("r").isin(3, 4), F.array(moved)).otherwise(F.array("doc_id"))
+    return docs.select(
+        F.explode(keys).alias("doc_id"), F.when(F.col("r") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("r") == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"), F.when(F.col("r") == 2, F.col("lang")).when((F.col("r") == 4), F.lit(None)).otherwise(F.col("source")).alias("source"),
+    )
+
+
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    row = F.sha2(F.concat_ws("\n", *(F.coalesce(c, F.lit("~")) for c in ("text", "lang", "source"))).cast("binary"), 256)
+    found = snapshots.difference(docs, later_snapshot(docs).withColumn("row_sha256", row), "doc_id", ["text", "lang", "source"], ["text", "lang"], carry=("row_sha256",))
+    return found.withColumn("changed", F.array_join("changed", ","))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op12_periodic_runs, op13_snapshot_diff)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
@@ -158,6 +176,24 @@ FROM caps c LEFT JOIN lists l USING (page_id)
 """,
     "op8_sharding": sharding.SQL.format(seed=17, shards=40),
     "op7_pivot_index": embeddings.SQL.format(limit=0.95),
+    "op13_snapshot_diff": """
+WITH crc_table AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+e AS (SELECT doc_id AS key, text, lang, source, xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 25 AS r FROM documents, crc_table),
+l AS (
+  SELECT CASE WHEN r IN (3, 4) THEN -1 - key ELSE key END AS key, CASE WHEN r = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+    CASE WHEN r = 2 THEN source ELSE lang END AS lang, CASE WHEN r = 2 THEN lang WHEN r = 4 THEN NULL ELSE source END AS source FROM e WHERE r IS DISTINCT FROM 0
+  UNION ALL SELECT -1 - key, text, lang, source FROM e WHERE r = 5),
+eu AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY key) AS i FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.key = e.key)),
+lu AS (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY key DESC) AS i FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE l.key = e.key)),
+p AS (
+  SELECT l.key, e.key AS old_key, 'k' AS how, e.text AS t0, e.lang AS l0, e.source AS s0, l.text, l.lang, l.source FROM e JOIN l ON e.key = l.key
+  UNION ALL SELECT coalesce(lu.key, eu.key), eu.key, CASE WHEN eu.i IS NULL THEN 'insert' WHEN lu.i IS NULL THEN 'delete' ELSE 'rekey' END, eu.text, eu.lang, eu.source, lu.text, lu.lang, lu.source
+    FROM eu FULL JOIN lu ON eu.text IS NOT DISTINCT FROM lu.text AND eu.lang IS NOT DISTINCT FROM lu.lang AND eu.i = lu.i),
+c AS (SELECT *, CASE WHEN how IN ('k', 'rekey') THEN concat_ws(',', CASE WHEN t0 IS DISTINCT FROM text THEN 'text' END, CASE WHEN l0 IS DISTINCT FROM lang THEN 'lang' END, CASE WHEN s0 IS DISTINCT FROM source THEN 'source' END) ELSE '' END AS changed FROM p)
+SELECT key, old_key, CASE WHEN how <> 'k' THEN how WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed,
+  CASE WHEN how <> 'delete' THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256 FROM c
+""",
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0) x),
