@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, runs, sharding, snapshots, url_filter, warc
+from . import decontaminate, embeddings, jaccard, langid, line_dedup, packing, pii, runs, sharding, snapshots, suffixes, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.drop_repeated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def with_periodic_ends(docs: DataFrame) -> DataFrame:
     """The contract's texts: of a tenth of the documents, chosen by the CRC-32 of the id, the words from some place on repeat the first few of them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -133,7 +139,7 @@ def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("changed", F.array_join("changed", ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op12_periodic_runs, op13_snapshot_diff)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op11_suffix_dedup, op12_periodic_runs, op13_snapshot_diff)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
