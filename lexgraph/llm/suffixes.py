@@ -2,8 +2,9 @@
 
 A suffix matters by its first `length` bytes. Suffixes are dealt by an anchor that those bytes decide alone: the least
 hash among the grams in them; so equal prefixes always meet, and neighbours with one anchor travel as one piece of
-text. Anchors that occur once cannot hold a repeated prefix and are left out; of pieces that are equal byte for byte
-the earliest speaks for all, the others are repeated as a whole. A deal too large for one task is dealt again by
+text. Of equal pieces the earliest speaks for all, the others are repeated as a whole; a deal of one piece holds
+nothing repeated and needs no sorting. The texts are never shuffled: what concerns a text is written to a table by
+the file that holds it, and read there. A deal too large for one task is dealt again by
 grams of another hash, in the end by whole prefixes. Each deal's pieces are then sorted as suffixes: triples at two of
 three places are sorted and named, the names' own suffixes are sorted by recursion, the remaining third is merged in;
 adjacent prefixes are compared, and of each class of equal ones all but the earliest are repeated.
@@ -15,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aligned, fresh, mix, tidy, written
+from .common import aligned, fresh, mix, new_path, tidy, written
 
 #: Bytes of a gram whose hash may be an anchor.
-GRAM = 32
+GRAM = 16
 #: Prefixes that are dealt at a time; a piece holds no more.
 BLOCK = 1 << 20
 #: Bytes of one suffix array, and of a deal beyond which it is dealt again. The names of DC3 are packed into 64 bits.
@@ -150,69 +154,153 @@ def repeated(texts: list[bytes], place: np.ndarray, length: int) -> tuple[np.nda
     return text[low], low - starts[text[low]], high - low
 
 
-def _dealt(batches, length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = [t.as_buffer() for t in batch.column(2)]
-        ends, data = np.cumsum([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
-        text, start, n, anchor = pieces(data, ends, length, 0)
-        base = np.append(0, ends)[text]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(batch.column(k).take(pa.array(text)) for k in range(2)), pa.array(start - base), pa.array(n)], names=["_anchor", "_o", "_d", "_start", "_n"])
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-def removable(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_o, _d, _start, _n): the _n neighbouring starts from byte _start on whose `length` bytes also start earlier.
+PLACE = ["_file", "_o", "_d", "_start", "_n"]
+PLACED = "_file int, _o long, _d long, _start long, _n long"
 
-    _o is the id and _d a hash of the text, which tell texts apart; see drop_repeated.
-    """
-    base = _keyed(docs, id_col, text_col)
-    schema = "_anchor long, _o long, _d long, _start long, _n long"
-    found = base.where(F.octet_length("_text") >= length).mapInArrow(tidy(lambda batches: _dealt(batches, length)), schema)
-    twice = found.groupBy("_anchor").count().where("count > 1").select("_anchor")
-    marks = found.join(twice, "_anchor").groupBy("_o", "_d").agg(F.collect_list(F.struct("_start", "_n", "_anchor")).alias("_marks"))
 
-    def cut(batches) -> Iterator[pa.RecordBatch]:
+def _dealt(length: int):
+    """Pieces of whole texts; of those that are equal within a batch only the earliest is not _later."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, marked = batch.column(2).to_pylist(), batch.column(3)
-            text = np.repeat(np.arange(batch.num_rows), marked.value_lengths().to_numpy())
-            start, n, anchor = marked.flatten().flatten()
-            yield from _with_pieces(anchor, batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), start, n.to_numpy(), raw, text, start.to_numpy(), length)
+            if not batch.num_rows:
+                continue
+            texts = [t.as_buffer() for t in batch.column(3)]
+            ends, raw = np.cumsum([len(t) for t in texts]), b"".join(texts)
+            text, start, n, anchor = pieces(np.frombuffer(raw, np.uint8), ends, length, 0)
+            view = memoryview(raw)
+            digest = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + m + length - 1]) for s, m in zip(start.tolist(), n.tolist(), strict=True)), np.uint64, len(start))
+            start = start - np.append(0, ends)[text]
+            file, o, d = (batch.column(k).to_numpy()[text] for k in range(3))
+            order = np.lexsort((start, d, o, digest, anchor))
+            later = np.empty(len(order), bool)
+            later[order] = ~_changes(anchor[order], digest[order])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (file, o, d, start, n, anchor.view(np.int64), digest.view(np.int64), later))), names=[*PLACE, "_anchor", "_digest", "_later"])
 
-    held = base.join(marks.hint("shuffle_hash"), ["_o", "_d"]).mapInArrow(tidy(cut), f"{schema}, _piece binary")
-    out, seed = [], 0
-    while held is not None:
-        held = written(held.withColumn("_digest", F.unhex(F.md5("_piece"))), "pieces")
-        first = held.groupBy("_anchor", "_digest").agg(F.min(F.struct("_o", "_d", "_start")).alias("_first"), F.max("_n").alias("_size"))
-        if seed == ROUNDS:
-            hot = None
+    return run
+
+
+def _firsts(batches) -> Iterator[pa.RecordBatch]:
+    """Of the pieces of each anchor, sorted by digest and place: those that repeat an earlier one, and the distinct ones where there are several."""
+    for table in aligned(batches, 1):
+        file, o, d, start, n, anchor, digest, later = (table.column(c).to_numpy() for c in (*PLACE, "_anchor", "_digest", "_later"))
+        at = np.flatnonzero(~later)
+        if len(at):
+            first = _changes(anchor[at], digest[at])
+            heads = np.flatnonzero(_changes(anchor[at]))
+            several = np.repeat(np.add.reduceat(first.astype(np.int64), heads) > 1, np.diff(np.append(heads, len(at))))
+            chosen, gone = at[first & several], np.concatenate([np.flatnonzero(later), at[~first]])
         else:
-            hot = written(first.groupBy("_anchor").agg(F.sum(F.col("_size") + length).alias("_bytes")).where(F.col("_bytes") > HOT).select("_anchor"), "hot")
+            chosen, gone = at, np.flatnonzero(later)
+        rows = np.concatenate([chosen, gone])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in (file, o, d, start, n, anchor)), pa.array(np.arange(len(rows)) < len(chosen))], names=[*PLACE, "_anchor", "_sort"])
+
+
+class Beside:
+    """Rows of a table written by _beside, read by the task that holds the texts of a file."""
+
+    def __init__(self, path: str):
+        self.path, self.file, self.rows, self.at = path, None, None, {}
+
+    def of(self, file: int, o: int, d: int) -> pa.Table | None:
+        if file != self.file:
+            system, path = fs.FileSystem.from_uri(f"{self.path}/_file={file}")
+            self.file, self.at, self.rows = file, {}, None
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                parts = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+                self.rows = pa.concat_tables([pq.ParquetFile(system.open_input_file(p)).read() for p in parts]).sort_by([("_o", "ascending"), ("_d", "ascending"), ("_start", "ascending")])
+                ids = [self.rows.column(c).to_numpy() for c in ("_o", "_d")]
+                heads = np.flatnonzero(_changes(*ids))
+                for low, high in zip(heads.tolist(), np.append(heads, self.rows.num_rows)[1:].tolist(), strict=True):
+                    self.at[int(ids[0][low]), int(ids[1][low])] = low, high
+        low, high = self.at.get((o, d), (0, 0))
+        return self.rows.slice(low, high - low) if high else None
+
+
+def _beside(df: DataFrame, name: str) -> str:
+    """Write df by the files of the texts it is about; the path, for Beside."""
+    path = new_path(df.sparkSession, name)
+    df.repartition("_file").write.partitionBy("_file").option("compression", "zstd").parquet(path)
+    return path
+
+
+def _cut(path: str, length: int):
+    """The pieces that the table at path asks for, with their bytes."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        asked = Beside(path)
+        for batch in batches:
+            raw, tables, text = [], [], []
+            for file, o, d, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if (rows := asked.of(file, o, d)) is not None:
+                    text += [len(raw)] * rows.num_rows
+                    raw.append(data.as_py())
+                    tables.append(rows.append_column("_file", pa.array(np.full(rows.num_rows, file, np.int32))))
+            if tables:
+                found = pa.concat_tables(tables).combine_chunks()
+                start, n = (found.column(c).to_numpy() for c in ("_start", "_n"))
+                place = [found.column(c).combine_chunks() for c in ("_anchor", "_file", "_o", "_d", "_start")]
+                yield from _with_pieces(place, n, raw, np.array(text), start, length)
+
+    return run
+
+
+def removable(texts: DataFrame, length: int = 100) -> str:
+    """The path of (_file, _o, _d, _start, _n): the _n neighbouring starts from byte _start on whose `length` bytes also start earlier.
+
+    texts: (_file, _o, _d, _text), as drop_repeated makes them. They stay where they are; what is found is brought to them by _file.
+    """
+    schema = f"{PLACED}, _anchor long"
+    # equal pieces of one batch are dealt anywhere, so a piece that very many texts hold makes no large deal
+    found = texts.where(F.octet_length("_text") >= length).mapInArrow(tidy(_dealt(length)), f"{schema}, _digest long, _later boolean")
+    by = F.when(F.col("_later"), F.xxhash64("_o", "_d", "_start")).otherwise(F.col("_anchor"))
+    found = found.select("_anchor", "_digest", *PLACE, "_later").repartition(by).sortWithinPartitions("_anchor", "_digest", "_o", "_d", "_start")
+    found = written(found.mapInArrow(tidy(_firsts), f"{schema}, _sort boolean"), "firsts")
+    out, asked = [found.where("NOT _sort").select(*PLACE)], found.where("_sort").drop("_sort")
+    hot = written(asked.groupBy("_anchor").agg(F.sum(F.col("_n") + length).alias("_bytes")).where(F.col("_bytes") > HOT).select("_anchor"), "hot")
+    some = not hot.isEmpty()
+    piece = f"_anchor long, {PLACED}, _piece binary"
+    cold = texts.mapInArrow(tidy(_cut(_beside(asked.join(hot, "_anchor", "left_anti") if some else asked, "asked"), length)), piece)
+    out.append(cold.repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(tidy(_sorted(length)), PLACED))
+    held, seed = texts.mapInArrow(tidy(_cut(_beside(asked.join(hot, "_anchor"), "asked-hot"), length)), piece) if some else None, 1
+    while held is not None:
+        held = written(held.mapInArrow(tidy(_again(length, seed)), piece).withColumn("_digest", F.xxhash64("_piece")), "pieces")
         place = F.struct("_o", "_d", "_start")
+        first = written(held.groupBy("_anchor", "_digest").agg(F.min(place).alias("_first"), F.max("_n").alias("_size")), "first")
         keyed = held.join(first.drop("_size"), ["_anchor", "_digest"])
-        out.append(keyed.where(place != F.col("_first")).select("_o", "_d", "_start", "_n"))
-        own = keyed.where(place == F.col("_first")).select("_anchor", "_o", "_d", "_start", "_n", "_piece")
-        if hot is None or hot.isEmpty():
+        out.append(keyed.where(place != F.col("_first")).select(*PLACE))
+        own = keyed.where(place == F.col("_first")).select("_anchor", *PLACE, "_piece")
+        hot = first.groupBy("_anchor").agg(F.sum(F.col("_size") + length).alias("_bytes")).where(F.col("_bytes") > HOT).select("_anchor")
+        hot = written(hot if seed < ROUNDS else hot.limit(0), "hot")
+        if hot.isEmpty():
             held = None
         else:
-            held = own.join(hot, "_anchor").mapInArrow(tidy(_again(length, seed + 1)), f"{schema}, _piece binary")
+            held = own.join(hot, "_anchor")
             own = own.join(hot, "_anchor", "left_anti")
-        out.append(own.repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(tidy(_sorted(length)), "_o long, _d long, _start long, _n long"))
+        out.append(own.repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(tidy(_sorted(length)), PLACED))
         seed += 1
     spans = out[0]
     for o in out[1:]:
         spans = spans.unionByName(o)
-    return spans
+    return _beside(spans, "repeated")
 
 
-def _with_pieces(anchor: pa.Array, o: pa.Array, d: pa.Array, place: pa.Array, n: np.ndarray, raw: list[bytes], text: np.ndarray, start: np.ndarray, length: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows with their bytes, cut from raw[text] at start, in batches of about `most` bytes."""
+def _with_pieces(place: list[pa.Array], n: np.ndarray, raw: list[bytes], text: np.ndarray, start: np.ndarray, length: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of (anchor, file, o, d, start), n and bytes, cut from raw[text] at start, in batches of about `most` bytes."""
     bounds = np.flatnonzero(np.diff(np.cumsum(n + length) // most, prepend=-1, append=-1))
-    names = ["_anchor", "_o", "_d", "_start", "_n", "_piece"]
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         cuts = zip(text[low:high].tolist(), start[low:high].tolist(), n[low:high].tolist(), strict=True)
         data = pa.array([raw[t][s : s + m + length - 1] for t, s, m in cuts], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in (anchor, o, d, place)), pa.array(n[low:high]), data], names=names)
+        yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in place), pa.array(n[low:high]), data], names=["_anchor", *PLACE, "_piece"])
 
 
 def _again(length: int, seed: int):
@@ -222,13 +310,13 @@ def _again(length: int, seed: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(5).to_pylist()
+            raw = batch.column("_piece").to_pylist()
             ends = np.cumsum([len(r) for r in raw])
             text, start, n, anchor = pieces(np.frombuffer(b"".join(raw), np.uint8), ends, length, seed)
             start = start - np.append(0, ends)[text]
-            o, d, at = (batch.column(k).take(pa.array(text)) for k in (1, 2, 3))
-            old = batch.column(0).take(pa.array(text)).to_numpy().view(np.uint64)
-            yield from _with_pieces(pa.array(mix(anchor ^ mix(old)).view(np.int64)), o, d, pa.array(at.to_numpy() + start), n, raw, text, start, length)
+            old, file, o, d, at = (batch.column(c).take(pa.array(text)) for c in ("_anchor", "_file", "_o", "_d", "_start"))
+            anchor = mix(anchor ^ mix(old.to_numpy().view(np.uint64))).view(np.int64)
+            yield from _with_pieces([pa.array(anchor), file, o, d, pa.array(at.to_numpy() + start)], n, raw, text, start, length)
 
     return run
 
@@ -237,13 +325,12 @@ def _sorted(length: int):
     """Suffix arrays over whole deals, as many as fit into one."""
 
     def order(table: pa.Table) -> pa.RecordBatch:
-        o, d, start = (table.column(c).to_numpy() for c in ("_o", "_d", "_start"))
+        file, o, d, start = (table.column(c).to_numpy() for c in PLACE[:4])
         by = np.lexsort((start, d, o))
-        new = np.append(False, (o[by][1:] != o[by][:-1]) | (d[by][1:] != d[by][:-1]) | (start[by][1:] != start[by][:-1]))
         place = np.empty(len(by), np.int64)
-        place[by] = np.cumsum(new)
+        place[by] = np.cumsum(_changes(o[by], d[by], start[by]))
         text, low, n = repeated(table.column("_piece").to_pylist(), place, length)
-        return pa.RecordBatch.from_arrays([pa.array(o[text]), pa.array(d[text]), pa.array(start[text] + low), pa.array(n)], names=["_o", "_d", "_start", "_n"])
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (file[text], o[text], d[text], start[text] + low, n))), names=PLACE)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -263,13 +350,6 @@ def _sorted(length: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
-        raise ValueError(f"{id_col} must hold whole numbers, whose order says which text is earlier")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_o"), F.xxhash64(text).alias("_d"), text.cast("binary").alias("_text"), *more)
-
-
 def drop_repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with _n_bytes, _spans (array of start, length: the bytes removed) and _kept (the bytes left, joined).
 
@@ -279,20 +359,25 @@ def drop_repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     follow each other in a fixed order; rows that repeat id and text are one text and get the same result. Ids must
     be whole numbers. Columns of docs stay; where one is named as ours, ours gets a longer name.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{id_col} must hold whole numbers, whose order says which text is earlier")
     names = [fresh(docs, c) for c in ("_n_bytes", "_spans", "_kept")]
-    spans = removable(docs, length, id_col, text_col).groupBy(F.col("_o").alias("_so"), F.col("_d").alias("_sd")).agg(F.collect_list(F.struct("_start", "_n")).alias("_cover"))
-    own = _keyed(docs, id_col, text_col, F.struct("*").alias("_row"))
-    joined = own.join(spans.hint("shuffle_hash"), (F.col("_o") == F.col("_so")) & (F.col("_d") == F.col("_sd")), "left").select("_row", "_text", "_cover")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_o"), F.xxhash64(text).alias("_d"), F.struct("*").alias("_row")).withColumn("_file", F.spark_partition_id())
+    kept = written(kept, "texts", "zstd")
+    own = F.coalesce(F.col("_row").getField(text_col), F.lit("")).cast("binary").alias("_text")
+    spans = removable(kept.select("_file", "_o", "_d", own), length)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def strike(batches) -> Iterator[pa.RecordBatch]:
+        beside = Beside(spans)
         for batch in batches:
             sizes, cuts, left = [], [], []
-            for i in range(batch.num_rows):
-                data, cover = batch.column(1)[i].as_py(), batch.column(2)[i].values
+            for file, o, d, value in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                data, cover = value.as_py(), beside.of(file, o, d)
                 removed: list[dict] = []
-                if cover is not None and len(cover):
-                    start, n = (cover.field(k).to_numpy() for k in range(2))
+                if cover is not None:
+                    start, n = (cover.column(c).to_numpy() for c in ("_start", "_n"))
                     change = np.zeros(len(data) + 1, np.int32)
                     np.add.at(change, start, 1)
                     np.add.at(change, start + n + length - 1, -1)
@@ -303,9 +388,9 @@ def drop_repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
                 cuts.append(removed)
                 bounds = [0, *(x for r in removed for x in (r["start"], r["start"] + r["length"])), len(data)]
                 left.append(b"".join(data[a:b] for a, b in zip(bounds[0::2], bounds[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, kind), pa.array(left, pa.binary())], names=["_row", "_n", "_cuts", "_left"])
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(sizes, pa.int64()), pa.array(cuts, kind), pa.array(left, pa.binary())], names=["_row", "_n", "_cuts", "_left"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
     schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("_n", T.LongType()), T.StructField("_cuts", span), T.StructField("_left", T.BinaryType())])
-    done = joined.mapInArrow(tidy(strike), schema)
+    done = kept.select("_file", "_o", "_d", own, "_row").mapInArrow(tidy(strike), schema)
     return done.select("_row.*", *(F.col(a).alias(b) for a, b in zip(("_n", "_cuts", "_left"), names, strict=True)))
