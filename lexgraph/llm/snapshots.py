@@ -104,11 +104,13 @@ def _digest(c: str) -> Column:
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """df with `name`: the number of each row within its group in the given order, from 0 on.
 
-    Rows are dealt by ranges of group and order, so that a large group is many tasks' work, numbered within their
-    partition, and led by the counts of their group in earlier partitions.
+    Rows are dealt by ranges of order within a hash of the group, so that a large group is many tasks' work, numbered
+    within their partition, and led by the counts of their group in earlier partitions. The order should be of short
+    columns, as a sample of it goes to the driver.
     """
-    by = [F.col(g) for g in group] + order + [F.col("_place")]
-    parts = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    rest = [*order, F.col("_place")]
+    parts = df.withColumn("_place", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64(*group)).repartitionByRange("_hash", *rest)
+    parts = parts.sortWithinPartitions("_hash", *group, *rest).drop("_hash")
     parts = parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     parts = written(parts, "ranks")
     per = parts.groupBy("_part", *group).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
@@ -213,8 +215,9 @@ def difference(earlier: DataFrame, later: DataFrame, key: str, columns: list[str
     # content is equal where its digests are; a null among them is told from every value by its place
     parts = [F.coalesce(F.concat(F.lit(b"+"), F.col(d)), F.lit(b"-")) for d, c in zip(digests, columns, strict=True) if c in content]
     lone = found.where("_state < 2").withColumn("_g", F.unhex(F.sha2(F.concat(*(x for p in parts for x in (F.octet_length(p).cast("string").cast("binary"), F.lit(b":"), p))), 256)) if parts else F.lit(b""))
-    old_rows = ranked(lone.where("_state = 0").select("_g", *left_over), ["_g"], [F.col("_key").asc_nulls_first(), F.col("_nth"), *map(F.col, digests)], "_i")
-    new_rows = ranked(lone.where("_state = 1").select("_g", *left_over), ["_g"], [F.col("_key").desc_nulls_last(), F.col("_nth").desc(), *map(F.col, digests)], "_i")
+    lone = lone.withColumn("_values", F.xxhash64(*digests))
+    old_rows = ranked(lone.where("_state = 0").select("_g", "_values", *left_over), ["_g"], [F.col("_key").asc_nulls_first(), F.col("_nth"), F.col("_values")], "_i")
+    new_rows = ranked(lone.where("_state = 1").select("_g", "_values", *left_over), ["_g"], [F.col("_key").desc_nulls_last(), F.col("_nth").desc(), F.col("_values")], "_i")
     old_rows = old_rows.select(*(F.col(c).alias(f"_e{c}") for c in ["_g", "_i", "_key", *digests]), F.lit(True).alias("_had"))
     joined = old_rows.join(new_rows.withColumn("_has", F.lit(True)), (F.col("_e_g") == F.col("_g")) & (F.col("_e_i") == F.col("_i")), "full_outer")
     pair = F.col("_had") & F.col("_has")
