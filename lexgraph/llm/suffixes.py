@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import aligned, fresh, mix, new_path, tidy, written
 
 #: Bytes of a gram whose hash may be an anchor.
-GRAM = 16
+GRAM = 32
 #: Prefixes that are dealt at a time; a piece holds no more.
 BLOCK = 1 << 20
 #: Bytes of one suffix array, and of a deal beyond which it is dealt again. The names of DC3 are packed into 64 bits.
