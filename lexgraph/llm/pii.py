@@ -78,7 +78,7 @@ MAIL_SIGNS = ("@", "＠", "%40", "&#64;", " dot ")
 MAIL_AT = re.compile(r"[\[({<] ?at ?[\])}>]", re.IGNORECASE)
 NAME, LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}", r"[A-Za-z0-9-]{1,63}"
 MAIL = re.compile(
-    rf"{NAME}(?: ?(?:[\[({{<] ?at ?[\])}}>]|＠|%40|&\#64;|@) ?{LABEL}(?: ?[\[({{<] ?dot ?[\])}}>] ?{LABEL}|\.{LABEL}| dot {LABEL}){{1,5}}| at {LABEL}(?: dot {LABEL}){{1,5}})",
+    rf"{NAME}(?: ?(?:[\[({{<] ?at ?[\])}}>]|＠|%40|&\#64;|@) ?{LABEL}(?: ?[\[({{<] ?dot ?[\])}}>] ?{LABEL}|\.{LABEL}| dot {LABEL}){{1,126}}| at {LABEL}(?: dot {LABEL}){{1,126}})",
     re.IGNORECASE,
 )
 IP6 = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:.])")
@@ -104,10 +104,10 @@ def may_hold_mail(text: str) -> bool:
 
 
 #: Values long enough for keys, and values of any length after the name of a secret.
-KEYLIKE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}(?![A-Za-z0-9_+/=-])")
+KEYLIKE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}(?![A-Za-z0-9_+/=-])")
 SECRET_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|auth|private|client)[_ -]?(?:key|secret|token))"
 SECRET_SIGNS = ("pass", "pwd", "secret", "token", "key")  # one is in every name
-NAMED = re.compile(rf"(?i){SECRET_NAMES}[\"']?[ \t]{{0,3}}(?:[:=]|:=|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,512}})")
+NAMED = re.compile(rf"(?i){SECRET_NAMES}[\"']?[ \t]{{0,3}}(?:[:=]|:=|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,}})")
 KEY_PREFIX = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_|sk-|sk_live_|xox[abps]-|eyJ[A-Za-z0-9_-]+$|glpat-|AIza")
 
 
@@ -201,8 +201,12 @@ def keylike(s: str, before: str) -> tuple[float, ...]:
     )
 
 
+#: Characters of a span that its features look at; the span itself has any length.
+LOOKED_AT = 512
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    s, before, after = text[start:end], text[max(0, start - 32) : start].lower(), text[end : end + 2]
+    s, before, after = text[start : min(end, start + LOOKED_AT)], text[max(0, start - 32) : start].lower(), text[end : end + 2]
     digits = only_digits(s)
     letters = sum(c.isalpha() for c in s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)]
@@ -406,8 +410,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     names = ["_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "secrets", "n_found", "redacted"]
-    schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string, n_found long, redacted string"
-    out = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema).withColumnRenamed("_id", id_col)
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string, n_found long, redacted string"
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema).withColumnRenamed("_id", id_col)
     return out if with_text else out.drop("redacted")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -138,3 +139,27 @@ def test_table(spark):
     assert by[None].spans == "email:51:57" and by[2].redacted is None and by[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[4].n_ip == 1 and by[5].spans == ""
     assert pii.redact(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_secrets_are_taken_whole():
+    rnd = random.Random(8)
+    for n in (513, 800, 5000):
+        value = "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(n))
+        text = f"config: password = {value} end"
+        assert ("secret", text.index(value), text.index(value) + n) in pii.candidates(text)
+        assert ("secret", 4, 4 + n) in pii.candidates(f"see {value} here")
+    text = "someone [at] a.b.c.d.e.f.g.h.i.j.k.example.com"
+    assert ("email", 0, len(text)) in pii.candidates(text)
+
+
+def test_nothing_of_a_long_password_is_left(spark):
+    rnd = random.Random(9)
+    value = "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(800))
+    docs = spark.createDataFrame([(1, f"config: password = {value} end")], "doc_id long, text string")
+    row = pii.redact(docs).first()
+    assert "secret:19:819" in row.secrets and value[-20:] not in row.redacted
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("k-1", "write to a@b.example"), (None, None)], "doc_id string, text string")
+    assert sorted(((r.doc_id, r.n_email) for r in pii.redact(docs).collect()), key=repr) == [("k-1", 1), (None, 0)]
