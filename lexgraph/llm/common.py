@@ -29,6 +29,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Raise unless the column holds whole numbers, so that nothing fails in the midst of a job."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{column} must hold whole numbers, not {kind}")
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case words of a text as UTF-8, by WORD_BYTES; lone surrogates are replaced, null has none."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []

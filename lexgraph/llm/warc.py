@@ -26,17 +26,20 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, whole_numbers, written
 
 GZIP, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 STEP, OUT = 1 << 18, 1 << 16
-HEADER = 1 << 20  # bytes within which a header ends
+HEADER = 64 << 20  # bytes of a block within which its HTTP header ends
+HTTP_END = re.compile(rb"\r?\n\r?\n")
+LINE = re.compile(rb"[^\r\n:]+:|[ \t]")  # how each line of a WARC header starts: with a name, or going on with the line before
 KEEP = 1 << 30  # bytes up to which a payload is returned
 TASK_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: An extension field, the last of a header: the digest of the header's bytes before it, which no standard field covers.
 HEADER_DIGEST = "X-Header-Digest"
 UNCHECKED = "header without a digest in a damaged member"
+OTHER_DIGEST = "block as stated, payload digest of something else"  # such as of the payload before it was sent in chunks
 
 
 def _sha1(data: bytes) -> str:
@@ -88,6 +91,7 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
+    whole_numbers(pages, id_col)
     rows = mark_revisits(pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.col(payload_col).alias("_html")), "_id", "_html", min_bytes)
 
     def write(batches):
@@ -295,11 +299,14 @@ def parse(src, keep: int = KEEP) -> tuple[dict, dict]:
     """Read the record that src stands at: its header, and of its block the HTTP header and the payload.
 
     The second dict has http, size, digest (hex SHA-1 of the payload) and payload, null if over `keep` bytes.
-    The block is digested as it is read, so that only a payload to be returned is held.
+    A block of type application/http has a header, up to its first empty line, and a payload after it; any other block
+    is payload as a whole. The block is digested as it is read, so that only a payload to be returned is held. A WARC
+    header may have any length, as long as its lines have names.
     """
     n = 4096
     while (end := (head := src.peek(n)).find(END)) < 0:
-        if not head.startswith(VERSION) or len(head) < n or n >= HEADER:
+        # what is no header shows by its lines, so that a damaged file is not read to its end in search of one
+        if not head.startswith(VERSION) or len(head) < n or not all(LINE.match(x[: 1 << 16]) for x in head.split(b"\r\n")[1:-1]):
             raise Damaged("no WARC header")
         n *= 4
     if not head.startswith(VERSION):
@@ -314,7 +321,8 @@ def parse(src, keep: int = KEEP) -> tuple[dict, dict]:
     left = int(head["content-length"])
     src.check_end(src.pos + end + 4, left)
     _skip(src, end + 4)
-    block, payload, http, parts, size, before = hashlib.sha1(), hashlib.sha1(), b"", [] if keep >= 0 else None, 0, True
+    block, payload, http, parts, size = hashlib.sha1(), hashlib.sha1(), bytearray(), [] if keep >= 0 else None, 0
+    before = head.get("content-type", "").lower().startswith("application/http")
     while left:
         data = src.take(min(left, STEP))
         if not data:
@@ -325,9 +333,9 @@ def parse(src, keep: int = KEEP) -> tuple[dict, dict]:
             if len(http) > HEADER:
                 continue
             http += data
-            if (cut := http.find(END)) < 0:
+            if (cut := HTTP_END.search(http, max(0, len(http) - len(data) - 3))) is None:
                 continue
-            before, http, data = False, http[:cut], http[cut + 4 :]
+            before, http, data = False, http[: cut.start()], bytes(http[cut.end() :])
         payload.update(data)
         size += len(data)
         if parts is not None:
@@ -336,11 +344,15 @@ def parse(src, keep: int = KEEP) -> tuple[dict, dict]:
     if src.peek(4) != END:
         raise Damaged("block has another length than stated")
     _skip(src, 4)
-    if (d := head.get("warc-block-digest", "")).startswith("sha1:") and d != _base32(block):
+    checked = (d := head.get("warc-block-digest", "")).startswith("sha1:")
+    if checked and d != _base32(block):
         raise Damaged("block digest differs")
-    if head["warc-type"] == "response" and (d := head.get("warc-payload-digest", "")).startswith("sha1:") and d != _base32(payload):
-        raise Damaged("payload digest differs")
-    return head, {"note": None, "http": http, "size": size, "digest": payload.hexdigest(), "payload": None if parts is None else b"".join(parts)}
+    note = None
+    if head["warc-type"] != "revisit" and (d := head.get("warc-payload-digest", "")).startswith("sha1:") and d != _base32(payload):
+        if not checked:
+            raise Damaged("payload digest differs")
+        note = OTHER_DIGEST
+    return head, {"note": note, "http": bytes(http), "size": size, "digest": payload.hexdigest(), "payload": None if parts is None else b"".join(parts)}
 
 
 def _member(src: _Plain, at: int, keep: int):
@@ -355,7 +367,8 @@ def _member(src: _Plain, at: int, keep: int):
             if (member.peek(1) or member.broken) and not member.intact():  # else it ends here and is intact
                 if "warc-block-digest" not in head:
                     raise Damaged("no digest, in a damaged member")
-                found["note"] = None if HEADER_DIGEST.lower() in head else UNCHECKED
+                if HEADER_DIGEST.lower() not in head:
+                    found["note"] = UNCHECKED
         except Damaged as e:
             if lost is None:
                 lost, why = start[1], str(e)
@@ -459,11 +472,11 @@ def read_warc(manifest: DataFrame, with_payload: bool = True, keep: int = KEEP)
     """Read the files named in manifest.file: a row per record, and per quarantined gap with its bytes and reason.
 
     payload_digest is the lower-case hex SHA-1 and payload_bytes the length of the full payload, for a revisit
-    too, which states both. payload is null without with_payload, for all but responses, and if it has more than
-    `keep` bytes. A record without a page id, or a revisit without what it should state, has nulls there. A
+    too, which states both. The payload of a record that is not of type application/http is its whole block. payload
+    is null without with_payload, for revisits, and if it has more than `keep` bytes. A record without a page id, or a revisit without what it should state, has nulls there. A
     file that is empty gives no rows; one with no valid record is one gap. Null names are ignored. A task reads
     files of some TASK_BYTES in all, if the manifest has their bytes, else one. A gap's reason is the first check that
-    failed; a record's is null, or the note of one whose header could not be checked.
+    failed; a record's is null, or a note on what could not be checked or differs.
     """
     spark, total = manifest.sparkSession, F.sum("bytes") if "bytes" in manifest.columns else F.count("*") * TASK_BYTES
     files, size = manifest.agg(F.count("*"), F.coalesce(total, F.lit(0))).first()
@@ -495,10 +508,10 @@ def read_warc(manifest: DataFrame, with_payload: bool = True, keep: int = KEEP)
 def described(head: dict, found: dict) -> tuple:
     number = lambda k: int(head[k]) if re.fullmatch(r"-?[0-9]+", head.get(k, "")) else None
     stated = re.search(rb"(?im)^content-length:\s*([0-9]+)", found["http"])
-    response, digest = head["warc-type"] == "response", head.get("warc-payload-digest", "")
+    own, digest = head["warc-type"] != "revisit", head.get("warc-payload-digest", "")
     try:
         digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
     except ValueError:
         digest = None
-    size = found["size"] if response else int(stated[1]) if stated else None
-    return head["warc-type"], number("x-page-id"), head.get("warc-target-uri"), size, found["digest"] if response else digest, number("x-refers-to-page-id"), found["payload"] if response else None
+    size = found["size"] if own else int(stated[1]) if stated else None
+    return head["warc-type"], number("x-page-id"), head.get("warc-target-uri"), size, found["digest"] if own else digest, number("x-refers-to-page-id"), found["payload"] if own else None

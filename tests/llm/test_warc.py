@@ -143,3 +143,50 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def foreign(kind, content_type, block, *more):
+    """A record as other tools write it: no digest of the header."""
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0>", *more, *([f"Content-Type: {content_type}"] if content_type else []), f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_kinds_and_long_headers_come_back(spark, tmp_path):
+    digest = lambda b: warc._sha1(b)
+    body = b"<p>body</p>" * 9
+    bare = b"HTTP/1.1 200 OK\nContent-Type: text/html\n\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n"
+    whole = [
+        (foreign("response", "text/dns", b"20240101\nh. 1 IN A 1.2.3.4", f"WARC-Payload-Digest: {digest(b'20240101' + bytes([10]) + b'h. 1 IN A 1.2.3.4')}"), b"20240101\nh. 1 IN A 1.2.3.4"),
+        (foreign("response", "application/http; msgtype=response", bare, f"WARC-Payload-Digest: {digest(body)}"), body),
+        (foreign("resource", "image/png", body), body),
+        (foreign("conversion", "text/plain", b"text\r\n\r\nwith an empty line"), b"text\r\n\r\nwith an empty line"),
+        (foreign("warcinfo", None, b"software: x\r\n"), b"software: x\r\n"),
+        (foreign("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"), b""),
+        (foreign("response", "application/http", b"HTTP/1.1 200 OK\r\nX: " + b"y" * 3_000_000 + b"\r\n\r\n" + body), body),
+        (foreign("response", "application/http", chunked, f"WARC-Block-Digest: {digest(chunked)}", f"WARC-Payload-Digest: {digest(b'body')}"), chunked[chunked.index(b"4\r\n") :]),
+        (warc.record(7, "http://h/" + "x" * 2_000_000, body, None), body),
+    ]
+    data = b"".join(r for r, _ in whole) + b"".join(gzip.compress(r) for r, _ in whole)
+    found = parts(data)
+    assert [p[0] for p in found] == ["record"] * 18
+    assert [p[6]["payload"] for p in found] == [b for _, b in whole] * 2
+    assert [p[6]["note"] for p in found if p[6]["note"]] == [warc.OTHER_DIGEST] * 2
+    (tmp_path / "x.warc").write_bytes(data)
+    rows = warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/x.warc", len(data))], "file string, bytes long")).collect()
+    assert sorted((r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in rows) == sorted((len(b), hashlib.sha1(b).hexdigest(), b) for _, b in whole * 2)
+
+
+def test_no_header_is_sought_to_the_end_of_a_damaged_file():
+    good = warc.record(1, None, b"x" * 500, None)
+    class Watched(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    data = b"WARC/1.1\r\n" + random.Random(1).randbytes(8_000_000).replace(b"\r\n\r\n", b"") + good
+    f = Watched(data)
+    found = list(warc.salvage(f, len(data)))
+    assert [p[0] for p in found] == ["gap", "record"] and f.most <= 1 << 20
