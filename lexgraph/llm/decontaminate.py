@@ -183,10 +183,10 @@ def _windows(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 found = windows(batch.column(1)[k].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([batch.column(0)[k].as_py()] * len(found), pa.int64())], ["win", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([batch.column(0)[k].as_py()] * len(found), batch.column(0).type)], ["win", "item"])
 
-    rows = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text).alias("_text")).where("_text IS NOT NULL")
-    return written(rows.mapInArrow(tidy(run), "win string, item long"), "windows")
+    rows = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text")).where("_text IS NOT NULL")
+    return written(rows.mapInArrow(tidy(run), f"win string, item {benchmark.schema[item_col].dataType.simpleString()}"), "windows")
 
 
 def _asked(index: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +291,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = written(found.select(F.col("segment").alias("_s"), F.col("ord").alias("_o"), "_hit", "_spans", "_items", "_near"), "hits-by-document")
     rows = index.where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("docs", "lengths")).alias("ord", "_d"))
     rows = rows.join(found, (F.col("segment") == F.col("_s")) & (F.col("ord") == F.col("_o")), "left")
-    none = F.array().cast("array<long>")
+    none = F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>")
     n_hit, items, near = F.coalesce("_hit", F.lit(0)), F.array_sort(F.coalesce("_items", none)), F.array_sort(F.coalesce("_near", none))
     ids = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
     return rows.select(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aligned, block_pairs, smallest_reachable, tidy, written
+from .common import aligned, block_pairs, smallest_reachable, tidy, whole_numbers, written
 from .components import components
 
 NEAREST, SHARED = 8, 3
@@ -56,6 +56,7 @@ def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
             packed = [data[(e - n) * width : e * width] if ok else None for e, n, ok in zip(ends.tolist(), sizes.tolist(), good.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "_vec", "_dim"])
 
+    whole_numbers(vectors, id_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("_v"))
     return rows.mapInArrow(tidy(run), "_id long, _vec binary, _dim int"), kind
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_pairs, fresh, groups, mix, shingles, tidy, words, written
+from .common import WordHashes, block_pairs, fresh, groups, mix, shingles, tidy, whole_numbers, words, written
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -127,6 +127,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFra
                     ["_id", "_n", "_set", "_sig", "_bands", "_md5"],
                 )
 
+    whole_numbers(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_md5"))
     return rows.mapInArrow(tidy(run), SIGNED)
 

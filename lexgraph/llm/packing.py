@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, whole_numbers
 
 #: The pattern by which byte-level BPE of this family splits a text (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,6 +83,7 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col:
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "_n", "_crcs", "_ids"][: len(columns)])
 
     schema = "_id long, _n long, _crcs array<long>" + (", _ids binary" if with_ids else "")
+    whole_numbers(docs, id_col)
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema)
 
 

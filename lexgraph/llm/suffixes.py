@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aligned, fresh, mix, new_path, tidy, written
+from .common import aligned, fresh, mix, new_path, tidy, whole_numbers, written
 
 #: Bytes of a gram whose hash may be an anchor.
 GRAM = 32
@@ -359,8 +359,7 @@ def drop_repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     follow each other in a fixed order; rows that repeat id and text are one text and get the same result. Ids must
     be whole numbers. Columns of docs stay; where one is named as ours, ours gets a longer name.
     """
-    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
-        raise ValueError(f"{id_col} must hold whole numbers, whose order says which text is earlier")
+    whole_numbers(docs, id_col)
     names = [fresh(docs, c) for c in ("_n_bytes", "_spans", "_kept")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_o"), F.xxhash64(text).alias("_d"), F.struct("*").alias("_row")).withColumn("_file", F.spark_partition_id())

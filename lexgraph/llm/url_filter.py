@@ -80,9 +80,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
 
     An entry is active from its time on and until, but not at, the time of its removal. A null or malformed
     URL, or a null fetch time, matches nothing and is not blocked; a null id is kept. Repeated captures are
-    judged alike, each its own row. Times are numbers, dates or timestamps. Other columns are ignored; without
+    judged alike, each its own row. Times are numbers, dates or timestamps; where captures and entries differ in
+    this, both count as timestamps, a date as its first moment, and at_col comes back as one. Other columns are ignored; without
     entries nothing is blocked.
     """
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((captures, at_col), (entries, "at"))]
+    if kinds[0] != kinds[1] and set(kinds) <= {"date", "timestamp", "timestamp_ntz"}:
+        captures, entries = captures.withColumn(at_col, F.col(at_col).cast("timestamp")), entries.withColumn("at", F.col("at").cast("timestamp"))
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(at_col).alias("_at"), host(F.col(url_col)).alias("_host"))
     kind = captures.schema[at_col].dataType.simpleString()
     spans = intervals(entries).withColumn("_domain", F.regexp_extract("pattern", r"^(\[[^\]]*\]|[^/?]*)", 1))

@@ -99,3 +99,10 @@ def test_documents_of_a_segment_are_kept_apart():
     assert len(seg.find(window)[1]) == 0 and seg.find(window, 1)[1].tolist() == [0]
     assert len(seg.find("four five".split(), 2)[1]) == 0
     assert seg.find("x three".split())[0].tolist() == [2]
+
+
+def test_items_with_string_ids(spark):
+    docs = spark.createDataFrame([("d1", "one two three"), ("d2", "four")], "doc_id string, text string")
+    items = spark.createDataFrame([("b", "two three"), ("a", "one two"), (None, "four")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in d.contamination(docs, items).collect()}
+    assert got == {"d1": (3, ["a", "b"]), "d2": (1, [])}

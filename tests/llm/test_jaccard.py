@@ -87,3 +87,13 @@ def test_pruning_is_lossless_at_the_threshold_and_cuts_below():
         far = j.signature(base[500:])
         passed += len(j.survivors(np.stack([one, far]).astype(np.uint16), one.astype(np.uint16), np.array([1]), limit, 1e-7))
     assert lost == 0 and passed < 8
+
+
+def test_ids_that_are_no_numbers_are_refused_early(spark):
+    import pytest
+    from lexgraph.llm import packing, warc
+
+    docs = spark.createDataFrame([("k", "t", "t")], "doc_id string, text string, html string")
+    for run in (j.near_duplicates, lambda d: packing.pack(d, packing.default_tokenizer()), lambda d: warc.write_warc(d, id_col="doc_id", url_col="text")):
+        with pytest.raises(ValueError, match="whole numbers"):
+            run(docs)

@@ -48,3 +48,11 @@ def test_empty_tables(spark):
     assert u.filter_urls(none, entries(spark)).collect() == []
     some = spark.createDataFrame([(1, "http://x.com", 1, "", "")], CAPTURES)
     assert [r.blocked for r in u.filter_urls(some, entries(spark)).collect()] == [False]
+
+
+def test_dates_against_timestamps(spark):
+    captures = spark.sql("SELECT 1 AS page_id, 'http://x.com/a' AS url, TIMESTAMP'2024-03-01 10:00:00' AS fetched_at UNION ALL SELECT 2, 'http://x.com/a', TIMESTAMP'2024-02-29 23:59:59'")
+    entries = spark.sql("SELECT 'l' AS list, 'x.com' AS pattern, 'add' AS action, DATE'2024-03-01' AS at")
+    assert {r.page_id: r.blocked for r in u.filter_urls(captures, entries).collect()} == {1: True, 2: False}
+    by_day = captures.withColumn("fetched_at", captures["fetched_at"].cast("date"))
+    assert {r.page_id: r.blocked for r in u.filter_urls(by_day, entries.withColumn("at", entries["at"].cast("timestamp"))).collect()} == {1: True, 2: False}
