@@ -113,14 +113,28 @@ def ref_key(number: Column, sub_number: Column) -> Column:
     return F.concat(number, F.when(F.coalesce(sub_number, F.lit("")) == "", "").otherwise(F.concat(F.lit("의"), sub_number)))
 
 
+#: Articles between the ends of a cited range that are spelled out; of a longer one, which no law has, the ends count alone.
+LONGEST_RANGE = 10_000
+
+
 def reference_keys(c: Column | str) -> Column:
-    """Sorted distinct keys ('5', '5의2') of the articles a text cites, of whatever law; ranges, also reversed ones, are spelled out."""
+    """Sorted distinct keys ('5', '5의2') of the articles a text cites, of whatever law; ranges, also reversed ones, are spelled out.
+
+    A range over more than LONGEST_RANGE articles, or with a number that is no long, stands for its two ends.
+    """
     t = normalize(c)  # has single spaces only
     single = r"(?:제 ?)?([0-9]+) ?조(?: ?의 ?([0-9]+))?(?: ?제 ?[0-9]+ ?항)?"
     ranged = r"(?:제 ?)?([0-9]+) ?조 ?(?:부터|이상) ?(?:제 ?)?([0-9]+) ?조 ?(?:까지|이하)"
     all_of = lambda p, k: F.regexp_extract_all(t, F.lit(p), F.lit(k))
     keys = lambda p: F.zip_with(all_of(p, 1), all_of(p, 2), ref_key)
-    spans = F.zip_with(all_of(ranged, 1), all_of(ranged, 2), lambda a, b: F.transform(F.sequence(F.least(a.cast("int"), b.cast("int")), F.greatest(a.cast("int"), b.cast("int"))), lambda k: k.cast("string")))
+
+    def spelled(a: Column, b: Column) -> Column:
+        low, high = F.least(a.try_cast("long"), b.try_cast("long")), F.greatest(a.try_cast("long"), b.try_cast("long"))
+        short = a.try_cast("long").isNotNull() & b.try_cast("long").isNotNull() & (high - low <= LONGEST_RANGE)
+        plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+        return F.when(short, F.transform(F.sequence(low, F.when(short, high).otherwise(low)), lambda k: k.cast("string"))).otherwise(F.array(plain(a), plain(b)))
+
+    spans = F.zip_with(all_of(ranged, 1), all_of(ranged, 2), spelled)
     return F.array_sort(F.array_distinct(F.concat(keys(single), F.flatten(spans))))
 
 
@@ -189,18 +203,20 @@ def citation_edges(articles: DataFrame, compat: bool = False) -> DataFrame:
     named = cites.where("NOT same")
     if compat:
         named = named.join(laws, named["cited"] == laws["name"]).select("src", "relation", "akey", "dst_law")
-    else:  # the longest known law that the cited words end in
+    else:  # the longest known law that the cited words end in; only ends as long as some law's name are looked up
+        lengths = laws.agg(F.collect_set(F.length("name")).alias("_lengths"))  # as many as there are lengths of names
         n = F.length("cited")
-        ends = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(F.col("cited"), k, n))
-        named = named.withColumn("name", F.explode(ends)).join(laws, "name")
+        ends = F.transform(F.filter("_lengths", lambda k: (k <= n) & (k > 0)), lambda k: F.substring(F.col("cited"), n - k + 1, k))
+        named = named.crossJoin(F.broadcast(lengths)).withColumn("name", F.explode(ends)).drop("_lengths").join(laws, "name")
         named = named.groupBy("src", "relation", "akey", "cited").agg(F.max_by("dst_law", F.struct(F.length("name"), "dst_law")).alias("dst_law")).select("src", "relation", "akey", "dst_law")
     explicit = own.union(named).join(nodes, ["akey", "dst_law"]).select("src", "dst", "relation")
 
-    counted = nodes.withColumn("n", F.count("*").over(Window.partitionBy("akey")))
-    simple = read.select(F.col("aid").alias("src"), F.col("law").alias("src_law"), "relation", F.explode("numbers").alias("r"))
-    simple = simple.select("src", "src_law", "relation", node_key(F.col("r"), compat).alias("akey")).join(counted, "akey")
-    simple = simple.where((F.col("n") == 1) | (F.col("dst_law") == F.col("src_law"))).select("src", "dst", "relation")
-    return explicit.union(simple).where("src <> dst").distinct()
+    # every law has an article 1: a number is looked up with the citing law, or among those that one article has
+    only = nodes.groupBy("akey").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select("akey", "dst")
+    simple = read.select(F.col("aid").alias("src"), F.col("law").alias("dst_law"), "relation", F.explode("numbers").alias("r"))
+    simple = simple.select("src", "dst_law", "relation", node_key(F.col("r"), compat).alias("akey"))
+    here, alone = simple.join(nodes, ["akey", "dst_law"]), simple.join(only, "akey")
+    return explicit.union(here.select("src", "dst", "relation")).union(alone.select("src", "dst", "relation")).where("src <> dst").distinct()
 
 
 def citation_edges_by_id(articles: DataFrame, compat: bool = False) -> DataFrame:

@@ -97,3 +97,19 @@ def test_terms(spark):
 def test_viz(spark):
     n, e = law.viz_tables(spark.createDataFrame([("i", "L", "T", "x" * 500)], "id string, law string, title string, text string"), spark.createDataFrame([("i", "j", "벌칙"), ("i", "j", "else")], "src string, dst string, relation string"))
     assert len(n.first().tooltip) == 400 and [r.colour for r in e.orderBy(F.desc("relation")).collect()] == ["red", "gray"]
+
+
+def test_numbers_beyond_all_articles(spark):
+    df = spark.createDataFrame([(1, "제1조부터 제99999999999조까지"), (2, "제1조부터 제9000000000조까지, 제3조부터 제99999999999999999999999조까지"), (3, "제12조부터 제0009조까지"), (4, "제1조부터 제10001조까지")], "id long, text string")
+    got = {r.id: r.k for r in df.select("id", law.reference_keys("text").alias("k")).collect()}
+    assert got[1] == ["1", "99999999999"] and "9000000000" in got[2] and "99999999999999999999999" in got[2] and len(got[2]) == 4
+    assert {"9", "10", "11", "12"} <= set(got[3]) and len(got[4]) == 10_001
+
+
+def test_long_texts_and_hot_numbers(spark):
+    """A megabyte without punctuation before a citation, and an article number that every law has."""
+    laws = [(f"법{k}", "제1조") for k in range(300)] + [("전자금융거래법", "제2조"), ("전자금융거래법", "제1조")]
+    rows = [(f"{n}_{t}", t, "제1조를 따른다", n, 0) for n, t in laws] + [("long_제9조", "제9조", "가나다라 " * 200_000 + "전자금융거래법 제2조", "긴법", 0)]
+    articles = spark.createDataFrame(rows, "aid string, title string, text string, law string, ord int")
+    edges = {(r.src, r.dst) for r in law.citation_edges(articles).collect()}
+    assert edges == {("long_제9조", "전자금융거래법_제2조"), ("전자금융거래법_제2조", "전자금융거래법_제1조")}

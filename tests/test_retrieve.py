@@ -71,7 +71,7 @@ def test_choice_records(spark):
     assert len(out) == 30 and all(f"definition number {r.term[1:]} is" in r.messages[1].content.split("\n")[int(r.messages[2].content)] for r in out)
     ranked = bm25.neighbours(bm25.tfidf(terms.select("doc_id", F.concat_ws(" ", "term", "definition").alias("text"))), terms, 12)
     aug = records.augmented_choices(terms, ranked).collect()
-    assert len(aug) == 60 and all(len(r.messages[1].content.split("\n")) == 6 for r in aug)
+    assert len(aug) == 120 and all(len(r.messages[1].content.split("\n")) == 6 for r in aug)
     assert len({r.messages[2].content for r in aug}) == 4
 
 
@@ -82,7 +82,7 @@ def test_stopword_file(spark, tmp_path):
 
 def test_routed_retrieval_searches_documents_without_vectors(spark, tmp_path, monkeypatch):
     from lexgraph.operators import retrieve as r
-    from lexgraph.plans import retrieval
+    from lexgraph.plans import answers
 
     docs = [(1, "alpha beta", "s"), (2, "gamma delta", "s"), (3, "alpha epsilon", "s")]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -90,7 +90,7 @@ def test_routed_retrieval_searches_documents_without_vectors(spark, tmp_path, mo
     spark.createDataFrame([(1, "alpha epsilon"), (9, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     seen, whole = [], r.retrieve
     monkeypatch.setattr(r, "retrieve", lambda chunks, queries, *a: seen.append((chunks, queries)) or whole(chunks, queries, *a))
-    got = {x.query_id: x.ok for x in retrieval.retrieve_routed(spark, str(tmp_path)).collect()}
+    got = {x.query_id: x.ok for x in answers.retrieve_routed(spark, str(tmp_path)).collect()}
     assert got == {1: True, 9: False} and seen[0][0].count() == 3
     hits, _ = r.hybrid(seen[0][0], seen[0][1].withColumn("domain", seen[0][1]["query"]))
     assert (1, 3) in {(x.query_id, x.doc_id) for x in hits.collect()}
