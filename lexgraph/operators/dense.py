@@ -8,57 +8,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import saturate
-from ..storage import written
+from ..storage import stored, written
 from .bm25 import top
 
-#: Query vectors that are sent to the tasks together.
-BLOCK = 4096
+#: Query vectors of a block, and bytes of document vectors that are held to meet the blocks one after the other.
+BLOCK, HELD = 4096, 64 << 20
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """The k best (query_id, doc_id, score, rank) of each query by inner product in double precision, exact.
 
-    The query set is taken in blocks of BLOCK rows; a task keeps k rows of its own partition per query, so what
-    is shuffled is k rows per query and task. Null vectors and those of another length than the query's are
-    passed over. Ties go to the lower id.
+    A join of two tables in blocks: the queries are written in blocks of up to BLOCK rows; each task holds HELD bytes of
+    documents at a time, reads the blocks one after the other and keeps k rows per query, so neither side goes through
+    the driver, no document is shuffled, and the plan has one size for any number of queries. What is shuffled is k
+    rows per query and held part. Null vectors and those of another length than the query's are passed over. Ties
+    go to the lower id; a query id that repeats is asked with each of its vectors.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).alias("v")).where("v IS NOT NULL")
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v")).where("v IS NOT NULL")
-    n = max(1, -(-asked.count() // BLOCK))
-    parts = None
-    for b in range(n):
-        block = [(r.q, r.v) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b).toLocalIterator()]
-        part = rows.mapInArrow(_best(block, k), "query_id long, doc_id long, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    return top(parts, k)
-
-
-def _best(block: list, k: int):
-    by_size: dict[int, tuple[list, list]] = {}
-    for q, v in block:
-        ids, vectors = by_size.setdefault(len(v), ([], []))
-        ids.append(q)
-        vectors.append(v)
-    asked = {n: (np.array(ids), np.array(vectors, np.float64)) for n, (ids, vectors) in by_size.items()}
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    blocks = written(asked.withColumn("n", F.size("v")).sortWithinPartitions("n").mapInArrow(_packed(BLOCK), "n int, ids binary, vectors binary"), "query-blocks")
+    return top(rows.mapInArrow(_best(blocks._lexgraph_path, k), "query_id long, doc_id long, score double"), k)
+
+
+def _packed(most: int):
+    """Rows of up to `most` query vectors of one length: their ids and numbers as bytes."""
 
     def run(batches):
-        kept = {n: (np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))) for n, (ids, _) in asked.items()}
         for batch in batches:
-            sizes = np.array(pa.compute.list_value_length(batch.column(1)))
-            doc_ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            for n, (_, vectors) in asked.items():
+            sizes = batch.column(2).to_numpy()
+            ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for n in np.unique(sizes).tolist():
+                here = np.flatnonzero(sizes == n)
+                for at in range(0, len(here), most):
+                    part = here[at : at + most]
+                    vectors = flat[(starts[part][:, None] + np.arange(n)).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids[part].tobytes()]), pa.array([vectors.tobytes()])], ["n", "ids", "vectors"])
+
+    return run
+
+
+def _best(path: str, k: int):
+    def scores(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks()
+        vectors = table.column(1).combine_chunks()
+        sizes = vectors.value_lengths().to_numpy()
+        doc_ids, flat = table.column(0).to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for block in stored(path):
+            for n, ids, data in zip(*(block.column(c).to_pylist() for c in ("n", "ids", "vectors")), strict=True):
                 here = np.flatnonzero(sizes == n)
+                if not len(here):
+                    continue
+                asked, queries = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, n)
+                found, near = np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0))
                 for at in range(0, len(here), 2048):
-                    rows = here[at : at + 2048]
-                    x = flat[(starts[rows][:, None] + np.arange(n)).ravel()].reshape(len(rows), n)
-                    score = np.concatenate([kept[n][1], vectors @ x.T], axis=1)
-                    ids = np.concatenate([kept[n][0], np.broadcast_to(doc_ids[rows], (len(vectors), len(rows)))], axis=1)
-                    order = np.lexsort((ids, -np.round(score, 6)), axis=1)[:, :k]
-                    kept[n] = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
-        for n, (ids, scores) in kept.items():
-            if ids.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[n][0], ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["query_id", "doc_id", "score"])
+                    part = here[at : at + 2048]
+                    x = flat[(starts[part][:, None] + np.arange(n)).ravel()].reshape(len(part), n)
+                    near = np.concatenate([near, queries @ x.T], axis=1)
+                    found = np.concatenate([found, np.broadcast_to(doc_ids[part], (len(asked), len(part)))], axis=1)
+                    order = np.lexsort((found, -np.round(near, 6)), axis=1)[:, :k]
+                    found, near = np.take_along_axis(found, order, 1), np.take_along_axis(near, order, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, found.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], ["query_id", "doc_id", "score"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > HELD:
+                yield from scores(held)
+                held, size = [], 0
+        if held:
+            yield from scores(held)
 
     return run
 

@@ -120,3 +120,26 @@ def test_tfidf(spark):
     docs = spark.createDataFrame([(0, "aa bb"), (1, "aa bb"), (2, "cc dd"), (3, None)], "doc_id long, text string")
     got = bm25.neighbours(bm25.tfidf(docs), docs, 5).collect()
     assert sorted((r.query_id, r.doc_id, r.score) for r in got) == [(0, 1, 1.0), (1, 0, 1.0)]
+
+
+def test_blocked_search_of_two_tables(spark, monkeypatch):
+    """Blocks and held parts smaller than the tables, vectors of two lengths, nulls; a plan of one size, no query on the driver."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    docs = [(i, None if i % 17 == 0 else rnd.integers(-3, 4, 3 if i % 5 else 2).astype(float).tolist()) for i in range(300)]
+    asked = [(i, None if i % 11 == 0 else rnd.integers(-3, 4, 3 if i % 4 else 2).astype(float).tolist()) for i in range(200)]
+    frames = spark.createDataFrame(docs, "doc_id long, embedding array<double>").repartition(3), spark.createDataFrame(asked, "query_id long, query_vector array<double>")
+    want = []
+    for q, v in asked:
+        near = sorted((-float(np.dot(v, x)), i) for i, x in docs if v and x and len(x) == len(v))[:4]
+        want += [(q, i, -s, r) for r, (s, i) in enumerate(near, 1)]
+    for block, held in ((4096, 64 << 20), (7, 500)):
+        monkeypatch.setattr(dense, "BLOCK", block)
+        monkeypatch.setattr(dense, "HELD", held)
+        got = dense.search(*frames, 4)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    few, many = (spark.range(n).selectExpr("id AS query_id", "array(1D, double(id)) AS query_vector") for n in (1, 1_000_000))
+    plans = [dense.search(spark.range(10).selectExpr("id AS doc_id", "array(1D, 2D) AS embedding"), q, 1)._jdf.queryExecution().optimizedPlan().toString() for q in (few, many)]
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines())
+    assert dense.search(frames[0], frames[1].limit(0), 3).collect() == [] and dense.search(frames[0].limit(0), frames[1], 3).collect() == []
