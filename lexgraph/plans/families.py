@@ -15,7 +15,7 @@ from ..functions import predicates as P
 from ..functions import structs
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import context, corpus, evaluate, law, records, terms
+from ..operators import context, corpus, evaluate, law, names, records, terms
 from .registry import _sql, query, table
 
 
@@ -128,6 +128,15 @@ def question_domains(spark, d):
     return rows.select("doc_id", P.detect_domain("s").alias("domain"), P.triggers_law("s").alias("law_asked"), P.triggers_title(F.col("normal"), titles).alias("title_asked"), P.mostly_korean("s").alias("korean"))
 
 
+@query(f"""
+WITH m AS ({made_sql(s=_PHRASE, k="doc_id % 6")}) SELECT doc_id, k = 4 AS title_asked FROM m""")
+def title_triggers(spark, d):
+    """Questions that name a title, sought among the sources of all documents and two laws at once."""
+    rows = made(spark, d, s=_PHRASE).withColumn("normal", T.normalize_query("s"))
+    titles = table(spark, d, "documents").select(F.concat(F.lit("법령 "), "source").alias("title")).union(spark.sql("SELECT explode(array('개인정보보호법', '공부'))"))
+    return names.asked_titles(rows, titles)
+
+
 LAWS = {
     "ragged": joined("'a　b  '", "chr(13)", NL, "'c'", "doc_id"), "corpus": joined("'제'", N, "'조 「법'", "doc_id", "'」 (이하 \"갑\"라 한다) 12'"), "asked": joined("'「법'", "doc_id", "'」, (가)·나'"),
     "english": joined("'Initial Access by RAT '", "doc_id", "' and c2'"), "korean": joined("'가 '", NL, "' 나   '", "doc_id"), "title": joined("'제 '", N, "' 조의 '", B, "' 제목'"), "body": BODY, "n": N, "b": B,

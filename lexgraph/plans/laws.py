@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import law
+from ..operators import law, names
 from .registry import literal, query, table, values
 
 REFS = [
@@ -99,3 +99,23 @@ SPLIT = [("제1조 목적 가 제2조의3 정의 나", "제1조|제2조의3", "
 def article_split(spark, d):
     parts = law.split_articles("s")
     return literal(spark, [(r[0],) for r in SPLIT], "s string").select("s", F.array_join(F.transform(parts, lambda x: x["title"]), "|").alias("titles"), F.array_join(F.transform(parts, lambda x: x["body"]), "|").alias("bodies"))
+
+
+_NAMES = "names AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM benchmark UNION SELECT source FROM documents WHERE source <> '' UNION SELECT name FROM vendors WHERE name <> '' UNION SELECT brand FROM items WHERE brand <> '')"
+
+
+def _names(spark, d):
+    """Names of several tables: sources, vendors, brands and the first three words of the benchmark's items."""
+    found = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
+    for t, c in (("documents", "source"), ("vendors", "name"), ("items", "brand")):
+        found = found.union(table(spark, d, t).select(c))
+    return found.where("name <> ''").distinct()
+
+
+@query("WITH " + _NAMES + """,
+hits AS (SELECT DISTINCT doc_id, name, length(name) AS n, unnest(list_filter(range(1, length(text) - length(name) + 2), lambda i: text[i:i + length(name) - 1] = name)) AS s FROM (SELECT DISTINCT doc_id, text FROM documents) x JOIN names ON contains(text, name))
+SELECT doc_id, name, count(*) AS n, min(s) - 1 AS first FROM hits GROUP BY doc_id, name""")
+def name_mentions(spark, d):
+    """Every occurrence of every name, also within others."""
+    docs = table(spark, d, "documents").select("doc_id", "text").distinct()
+    return names.mentions(docs, _names(spark, d), longest=False).groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("start").alias("first"))

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = os.environ.get("LEXGRAPH_TEST_DATA", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
