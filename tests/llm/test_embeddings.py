@@ -94,7 +94,7 @@ def test_a_pair_is_taken_up_in_one_of_its_lists():
                 lists.setdefault(tuple(sorted(order[[0, i, j]].tolist())), []).append(node)
     taken, slow = [], []
     for triple, nodes in lists.items():
-        key, nodes = int(e.key_of(4, np.array([triple]))[0]), np.array(nodes)
+        key, nodes = int(e.key_of(4, 0, np.array([triple]))[0]), np.array(nodes)
         a, b = e.first_close(x[nodes], orders[nodes], key, None, 0.9)
         taken += [tuple(sorted(t)) for t in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True)]
         a, b = np.triu_indices(len(nodes), 1)
@@ -112,3 +112,35 @@ def test_a_pair_is_taken_up_in_one_of_its_lists():
 def test_single_precision_is_kept(spark):
     df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.2, 0.4]), (3, [1.0, -1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id, r.n_links) for r in e.near_vectors(df).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_several_sets_count_each_pair_once(spark, monkeypatch):
+    x = made(1200, 16, 8)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x", "x") for i, v in enumerate(x)], SCHEMA)
+    links, _ = brute(x, range(len(x)))
+    sums = []
+    for sets in (1, 3):
+        monkeypatch.setattr(e, "n_sets", lambda pivots, sets=sets: sets)
+        for long in (48, 5):
+            monkeypatch.setattr(e, "LONG_LIST", long)
+            found = {r.vec_id: r.n_links for r in e.near_vectors(df).collect()}
+            found = np.array([found[i] for i in range(len(x))])
+            assert (found <= links).all()
+            sums.append(found.sum())
+    assert sums[0] == sums[1] and sums[2] == sums[3] and sums[0] <= sums[2] <= links.sum() and sums[2] >= 0.99 * links.sum()
+
+
+@pytest.mark.parametrize("vectors", [10**5, 10**7, 10**9])
+def test_recall_at_the_limit_by_size(vectors):
+    """Pairs at the limit itself, among as many pivots as that many vectors get; random directions, the hardest case."""
+    pivots, dim, rng = e.n_pivots(vectors), 64, np.random.default_rng(11)
+    a = e.unit(rng.normal(size=(1000, dim)))
+    side = rng.normal(size=a.shape)
+    side = e.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * side
+    sets = e.n_sets(pivots)
+    points = [e.spread(e.unit(rng.normal(size=(e.SAMPLED * pivots, dim))), pivots, 0.85) if pivots < 2000 else e.unit(rng.normal(size=(pivots, dim))) for _ in range(sets)]
+    orders = [np.concatenate([np.argsort(-(x @ p.T), axis=1)[:, : e.NEAREST] for p in points], axis=1) for x in (a, b)]
+    found = e.taken_before(*orders, sets)
+    assert found.mean() >= 0.95, (vectors, pivots, found.mean())
+    print(vectors, pivots, sets, found.mean())
