@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25
 from ..sources import readers, writers
 from ..storage import new_path, written
+from ..streaming import ingest
 from .registry import query, table
 
 _MD5 = lambda c: F.md5(F.col(c).cast("binary"))
@@ -326,3 +327,49 @@ def registered_functions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.expr("size(lex_words(text))").alias("words"), F.md5(F.expr("lex_collapse(text)").cast("binary")).alias("collapsed"))
 
 
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, CAST(doc_id AS VARCHAR) AS id, coalesce(lang, '') AS lang, CASE WHEN doc_id * 2 <= (SELECT max(doc_id) FROM documents) THEN coalesce(source, '') END AS source FROM documents""")
+def zipped_files(spark, d):
+    """Three files written from one table, the third about half as long, joined by the number of the line."""
+    path = new_path(spark, "zipped")
+    rows = written(table(spark, d, "documents").select("doc_id", "lang", "source"), "rows-to-zip").orderBy("doc_id")
+    most = rows.agg(F.max("doc_id")).first()[0] or 0
+    parts = {"id": F.col("doc_id").cast("string"), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
+    for name, c in parts.items():
+        (rows.where(F.col("doc_id") * 2 <= most) if name == "source" else rows).select(c.alias("value")).write.text(f"{path}/{name}")
+    return readers.zipped_lines(spark, {name: f"{path}/{name}" for name in parts}, "pad")
+
+
+@query("SELECT DISTINCT click_id FROM clicks")
+def clicks_once(spark, d):
+    """Clicks that arrive in overlapping parts, through a stream that is started anew for each: each id once."""
+    path = new_path(spark, "clicks-once")
+    rows = table(spark, d, "clicks").select("click_id")
+    for n, part in enumerate(("click_id IS NULL OR click_id % 3 < 2", "click_id % 3 > 0", "true")):
+        rows.where(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        ingest.once_by_key(stream, f"{path}/out", f"{path}/state", "click_id").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+_STREAMED = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[가-힣A-Za-z0-9]+') AS w FROM documents),
+p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) x GROUP BY term, doc_id), s AS (SELECT doc_id, len(w) AS dl FROM d),
+c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM s), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+')) AS term FROM benchmark),
+scored AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM q JOIN df USING (term) JOIN p USING (term) JOIN s USING (doc_id), c GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5 AND score > 0"""
+
+
+@query(_STREAMED)
+def streamed_answers(spark, d):
+    """The benchmark's items as questions that arrive in two files, each after a new start, joined with a written index."""
+    path = new_path(spark, "questions")
+    bm25.Index.build(table(spark, d, "documents")).write(f"{path}/index")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    for odd in (0, 1):
+        asked.where(F.col("query_id") % 2 == odd).write.mode("append").json(f"{path}/in")
+        ingest.answered(spark, f"{path}/in", f"{path}/index", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("query_id", "doc_id", "score", "rank")

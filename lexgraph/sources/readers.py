@@ -5,11 +5,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from functools import reduce
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql import types as T
@@ -78,6 +79,34 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count() if exists(spark, path) else 0
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a text file, or of a folder's files by name: line counts from 0, over all splits of all files.
+
+    A split's lines stay in order and are numbered in it; the counts of the splits before it, a row for each split, lead them.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
+    splits = rows.groupBy("_f", "_b").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("_f").alias("_sf"), F.col("_b").alias("_sb"), (before - F.col("_first")).alias("_shift"))
+    return rows.join(splits, (F.col("_f") == F.col("_sf")) & (F.col("_b") == F.col("_sb"))).select((F.col("_m") + F.col("_shift")).alias("line"), "value")
+
+
+def zipped_lines(spark: SparkSession, paths: dict[str, str], lengths: str = "fail") -> DataFrame:
+    """line and a column per name in paths: the lines of equal number of several files, joined by that number.
+
+    lengths says what happens where files differ in their number of lines: 'fail' raises an error that names the numbers,
+    'pad' has nulls after the end of the shorter ones.
+    """
+    if lengths not in ("fail", "pad"):
+        raise ValueError("lengths must be 'fail' or 'pad'")
+    files = {name: numbered_lines(spark, path).withColumnRenamed("value", name) for name, path in paths.items()}
+    if lengths == "fail":
+        counts = {name: spark.read.text(path).count() for name, path in paths.items()}
+        if len(set(counts.values())) > 1:
+            raise ValueError(f"files differ in their number of lines: {counts}")
+    return reduce(lambda a, b: a.join(b, "line", "full_outer" if lengths == "pad" else "inner"), files.values())
+
+
 def mixed_sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, path) of .txt and .jsonl files, each once, in order of path."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,jsonl}").load(paths)
