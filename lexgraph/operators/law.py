@@ -228,20 +228,49 @@ def citation_edges_by_id(articles: DataFrame, compat: bool = False) -> DataFrame
     return hits.groupBy("src", "akey", "relation").agg(F.min_by("dst", "at").alias("dst")).where("src <> dst").select("src", "dst", "relation").distinct()
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
-    """(query_id, id, hop): nodes within `hops` of the seeds (query_id, id), edges taken both ways; a node has its least hop.
+#: Neighbours in a list of the adjacency, about; a node with more has several lists.
+LIST = 1024
+#: Tasks that a node's neighbours are dealt to while its lists are made.
+DEALS = 64
 
-    Edges and each hop's front are written, so that a hop reads its predecessor instead of computing it again.
-    """
+
+def adjacency(edges: DataFrame, size: int = LIST) -> tuple[DataFrame, DataFrame]:
+    """Written tables (a, chunk, near) of each node's neighbours in lists of about `size`, edges taken both ways, and (a, chunks) of nodes with several."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
     both = written(both, "edges")
-    seen = written(seeds.select("query_id", "id", F.lit(0).alias("hop")).distinct(), "front")
-    front = seen
+    hubs = both.groupBy("a").agg(F.ceil(F.count("*") / size).alias("chunks")).where("chunks > 1")
+    hubs = written(hubs, "hubs")  # at most a row for each `size` edges
+    deals = hubs.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = both.withColumn("_deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)).cast("int")).join(deals, ["a", "_deal"], "left")
+    chunk = F.coalesce(F.pmod(F.xxhash64("b", F.lit(1)), F.col("chunks")), F.lit(0)).cast("long")
+    lists = dealt.select("a", chunk.alias("chunk"), "b").groupBy("a", "chunk").agg(F.collect_list("b").alias("near"))
+    return written(lists, "lists"), hubs
+
+
+def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, size: int = LIST) -> DataFrame:
+    """(query_id, id, hop): nodes within `hops` of the seeds (query_id, id), edges taken both ways; a node has its least hop.
+
+    64 queries are the bits of one number, so a hop reads a node once for all of them; a hub's neighbours are lists of
+    bounded length in different tasks. Each hop's front is written, so that a hop reads its predecessor instead of
+    computing it again. Seeds without query or id are passed over.
+    """
+    seeds = seeds.select("query_id", "id").dropna()
+    asked = written(seeds.select("query_id").distinct().withColumn("_n", F.monotonically_increasing_id()), "queries")
+    lists, hubs = adjacency(edges, size)
+    bit = F.expr("shiftleft(1L, cast(_n & 63 AS INT))")
+    front = seeds.join(asked, "query_id").groupBy(F.shiftright("_n", 6).alias("block"), "id").agg(F.bit_or(bit).alias("bits"))
+    front = written(front.withColumn("hop", F.lit(0)), "front")
+    seen = front
     for hop in range(1, hops + 1):
-        front = front.join(both, front["id"] == both["a"]).select("query_id", F.col("b").alias("id")).distinct()
-        front = written(front.join(seen, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(hop)), "front")
-        seen = seen.unionByName(front)
-    return seen
+        read = front.join(hubs, front["id"] == hubs["a"], "left").select("block", "id", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
+        near = read.join(lists, (read["id"] == lists["a"]) & (read["chunk"] == lists["chunk"])).select("block", F.explode("near").alias("id"), "bits", F.lit(0).cast("long").alias("old"))
+        both = near.union(seen.select("block", "id", F.lit(0).cast("long"), "bits")).groupBy("block", "id").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        new = both.select("block", "id", F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits"), F.lit(hop).alias("hop")).where("bits <> 0")
+        front = written(new, "front")
+        seen = seen.union(front)
+    numbers = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1))
+    rows = seen.select(F.col("block"), "id", "hop", numbers.alias("_k")).select((F.col("block") * 64 + F.col("_k")).alias("_n"), "id", "hop")
+    return rows.join(asked, "_n").select("query_id", "id", "hop")
 
 
 def cross_law_ratio(edges: DataFrame, nodes: DataFrame) -> DataFrame:

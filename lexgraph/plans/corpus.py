@@ -128,16 +128,19 @@ _TEXTS = values(TEXTS, "t", "id, s")
 
 
 @query(f"""
-WITH {_TEXTS} SELECT id,
+WITH {_TEXTS}, u AS (SELECT 'fixture' AS kind, id, s FROM t UNION ALL SELECT 'document', doc_id, s || ' ' || coalesce(text, '') FROM documents JOIN t ON t.id = doc_id % 15 + 1)
+SELECT kind, id,
   CASE WHEN regexp_matches(s, '벌칙|형|과태료|처벌|징역|벌금') THEN '벌칙' WHEN regexp_matches(s, '예외로|다만|예외|제외한다') THEN '예외' WHEN regexp_matches(s, '면제') THEN '면제' WHEN regexp_matches(s, '적용한다|적용받|따른다|준용') THEN '적용' ELSE '참조' END AS relation,
   CASE WHEN regexp_matches(s, '(?i)(TA[0-9]{{4}}|T[0-9]{{4}}|ATT&CK)') THEN 'mitre' WHEN regexp_matches(s, '법|시행령|시행규칙|제[ ]?[0-9]+[ ]?조|대통령령|총리령|부령') THEN 'law' ELSE 'auto' END AS route,
   CASE WHEN regexp_matches(lower(s), 'attack.mitre.org|att&ck|technique') OR regexp_matches(s, 'TA?[0-9]{{4}}') THEN 'mitre' WHEN regexp_matches(s, '법|시행령|시행규칙|대통령령|총리령|부령') THEN 'law' ELSE 'other' END AS domain,
   regexp_matches(s, '옳지 않은|해당하지 않는|일치하지 않는|부적절한|부합하지 않는') AS negative, contains(s, '<|endoftext|>') AS broken, regexp_matches(s, '법|조문|시행령|시행규칙|전자문서|전자거래|금융실명') AS about_law
-FROM t""")
+FROM u""")
 def text_labels(spark, d):
-    """Labels of texts that hold Hangul, of which the tables have none."""
-    df = literal(spark, TEXTS, "id long, s string")
-    return df.select("id", P.relation("s").alias("relation"), P.route("s").alias("route"), P.domain_meta("s")["domain"].alias("domain"), P.is_negative("s").alias("negative"), P.is_broken("s").alias("broken"), P.asks_about_law("s").alias("about_law"))
+    """Labels of literal texts that hold Hangul, of which the tables have none, and of every document with one of them before it."""
+    texts = literal(spark, TEXTS, "id long, s string")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(texts, F.col("doc_id") % 15 + 1 == F.col("id"))
+    df = texts.select(F.lit("fixture").alias("kind"), "id", "s").union(docs.select(F.lit("document"), "doc_id", F.concat("s", F.lit(" "), F.coalesce("text", F.lit("")))))
+    return df.select("kind", "id", P.relation("s").alias("relation"), P.route("s").alias("route"), P.domain_meta("s")["domain"].alias("domain"), P.is_negative("s").alias("negative"), P.is_broken("s").alias("broken"), P.asks_about_law("s").alias("about_law"))
 
 
 @query(f"""

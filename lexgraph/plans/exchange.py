@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bm25
+from ..operators import bm25, law
 from ..sources import readers, writers
 from ..storage import new_path, written
 from ..streaming import ingest
+from .families import LAW_FILE
 from .registry import query, table
 
 _MD5 = lambda c: F.md5(F.col(c).cast("binary"))
@@ -107,6 +108,21 @@ def joined_lines(spark, d):
     return spark.read.text(paths[3]).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH t(node_id, parent_id, depth, label, title, deleted) AS (VALUES (0, NULL, 0, '법률', '', false), (1, 0, 1, '조', '제1조 목적', false), (2, 0, 1, '조', '제2조 정의', false), (3, 2, 2, '항', '①', false), (4, 3, 3, '호', '1', false), (5, 4, 4, '목', '가', false), (6, 0, 1, '조', '제3조', true))
+SELECT 'L' || doc_id AS law, CAST(node_id AS BIGINT) AS node_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(depth AS BIGINT) AS depth, label, title, deleted,
+  md5(CASE node_id WHEN 0 THEN '' WHEN 1 THEN coalesce(text, '') WHEN 2 THEN '뜻을 정한다.' WHEN 3 THEN '첫째 항.' WHEN 4 THEN '첫 호 ' || doc_id WHEN 5 THEN '첫 목.' ELSE '' END) AS text_md5 FROM (SELECT DISTINCT doc_id, text FROM documents) d, t""")
+def law_tree_exchange(spark, d):
+    """Laws made of every document, its whole text as that of the first article: written as nested JSON and read again."""
+    docs = table(spark, d, "documents").select("doc_id", "text").distinct()
+    source = docs.select(F.concat(F.lit("L"), "doc_id").alias("law"), F.expr(LAW_FILE).alias("text"))
+    whole = docs.select(F.concat(F.lit("L"), "doc_id").alias("law"), F.lit(1).alias("node_id"), F.coalesce("text", F.lit("")).alias("whole"))
+    nodes = law.parse_laws(source).join(whole, ["law", "node_id"], "left")
+    path = new_path(spark, "trees")
+    writers.trees(nodes.withColumn("text", F.coalesce("whole", "text")).drop("whole"), path, levels=list(law.LEVELS.values()))
+    return readers.trees(spark, path).select("law", "node_id", "parent_id", "depth", "label", "title", "deleted", _MD5("text").alias("text_md5"))
+
+
 @query("SELECT 'node' AS kind, source || '_' || doc_id AS a, md5(text) AS b, lang AS relation FROM documents UNION ALL SELECT 'edge', source || '_' || doc_id, 'x' || doc_id, CASE WHEN doc_id % 2 = 0 THEN '벌칙' ELSE '참조' END FROM documents")
 def graph_exchange(spark, d):
     """A graph as JSON, read as nodes and edges (a missing relation is the default one), written and read as tables."""

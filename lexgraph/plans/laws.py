@@ -13,11 +13,6 @@ REFS = [
 ]
 
 
-@query("WITH " + values([(a, c) for a, _, c in REFS], "t", "id, keys") + " SELECT id, keys FROM t")
-def ref_keys(spark, d):
-    return literal(spark, [r[:2] for r in REFS], "id long, s string").select("id", F.array_join(law.reference_keys("s"), ",").alias("keys"))
-
-
 TREE = [("A", "머리글\n제1장 총칙\n제1조(목적) 목적을 정한다.\n제2조 정의\n① 첫째 항은 제1조를 따른다.\n1. 첫 호\n가. 첫 목\n이어진 글\n제3조 삭제\n제1절 세칙\n제4조의2 벌칙\n1. 호만 있다"), ("B", "제1조 하나")]
 _NODES = [
     ("A", 0, None, "법률", "", "머리글", "false"), ("A", 2, 0, "장", "제1장 총칙", "", "false"), ("A", 3, 2, "조", "제1조 목적", "목적을 정한다.", "false"), ("A", 4, 2, "조", "제2조", "정의", "false"), ("A", 5, 4, "항", "①", "첫째 항은 제1조를 따른다.", "false"),
@@ -26,9 +21,13 @@ _NODES = [
 ]
 
 
-@query("WITH " + values(_NODES, "t", "law, node_id, parent_id, label, title, text, deleted") + " SELECT law, CAST(node_id AS BIGINT) AS node_id, CAST(parent_id AS BIGINT) AS parent_id, label, title, text, CAST(deleted AS BOOLEAN) AS deleted FROM t")
+@query("WITH " + values(_NODES, "n", "law, node_id, parent_id, label, title, text, deleted") + """, t AS (SELECT * FROM n UNION ALL
+  SELECT 'L' || doc_id, node_id, parent_id, label, title, CASE node_id WHEN 0 THEN 'w' || doc_id || chr(10) || text ELSE text END, deleted FROM documents, n WHERE law = 'A')
+SELECT law, CAST(node_id AS BIGINT) + CASE WHEN law LIKE 'L%' AND node_id > 0 THEN 1 ELSE 0 END AS node_id, CAST(parent_id AS BIGINT) + CASE WHEN law LIKE 'L%' AND parent_id > 0 THEN 1 ELSE 0 END AS parent_id, label, title, text, CAST(deleted AS BOOLEAN) AS deleted FROM t""".replace("|| text ELSE text", "|| n.text ELSE n.text"))
 def law_tree_nodes(spark, d):
-    return law.parse_laws(literal(spark, TREE, "law string, text string")).select("law", "node_id", "parent_id", "label", "title", "text", "deleted")
+    """Literal laws, and one made of every document with a line of its own before all others."""
+    more = table(spark, d, "documents").select(F.concat(F.lit("L"), "doc_id"), F.concat(F.lit("w"), "doc_id", F.lit("\n" + TREE[0][1])))
+    return law.parse_laws(literal(spark, TREE, "law string, text string").union(more)).select("law", "node_id", "parent_id", "label", "title", "text", "deleted")
 
 
 _MADE = """
@@ -44,6 +43,15 @@ def articles(spark, d):
     return docs.select(F.concat("source", F.lit("_"), article(F.col("doc_id"))).alias("aid"), article(F.col("doc_id")).alias("title"), text.alias("text"), F.col("source").alias("law"), F.col("doc_id").alias("ord"))
 
 
+@query("WITH " + values([(a, c) for a, _, c in REFS], "t", "id, keys") + """ SELECT 'fixture' AS kind, id, keys FROM t
+UNION ALL SELECT 'document', doc_id, CASE WHEN text IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct([CAST(doc_id * 7 % 1000 AS VARCHAR), CAST(doc_id * 13 % 1000 AS VARCHAR)])), ',') END FROM documents""")
+def ref_keys(spark, d):
+    """Literal citations, and those in the whole text of every article."""
+    rows = literal(spark, [r[:2] for r in REFS], "id long, s string").select(F.lit("fixture").alias("kind"), "id", "s")
+    rows = rows.union(articles(spark, d).select(F.lit("document"), "ord", "text"))
+    return rows.select("kind", "id", F.array_join(law.reference_keys("s"), ",").alias("keys"))
+
+
 _EDGES = f"""
 WITH RECURSIVE m AS ({_MADE}),
 e AS (SELECT DISTINCT x.aid AS src, y.aid AS dst, CASE x.kind WHEN 0 THEN '벌칙' WHEN 1 THEN '예외' WHEN 2 THEN '적용' ELSE '참조' END AS relation
@@ -95,10 +103,13 @@ def merge_articles(spark, d):
 SPLIT = [("제1조 목적 가 제2조의3 정의 나", "제1조|제2조의3", "목적 가|정의 나"), ("앞 글 제 7 조 끝", "제 7 조", "끝"), ("없음", "", "")]
 
 
-@query("WITH " + values(SPLIT, "t", "s, titles, bodies") + " SELECT s, titles, bodies FROM t")
+@query("WITH " + values(SPLIT, "t", "s, titles, bodies") + """ SELECT s, titles, bodies FROM t
+UNION ALL SELECT '제1조 목적 w' || doc_id || ' 제2조의3 정의 v' || doc_id % 97, '제1조|제2조의3', '목적 w' || doc_id || '|정의 v' || doc_id % 97 FROM documents""")
 def article_split(spark, d):
+    """Literal texts, and one made of every document."""
     parts = law.split_articles("s")
-    return literal(spark, [(r[0],) for r in SPLIT], "s string").select("s", F.array_join(F.transform(parts, lambda x: x["title"]), "|").alias("titles"), F.array_join(F.transform(parts, lambda x: x["body"]), "|").alias("bodies"))
+    rows = literal(spark, [(r[0],) for r in SPLIT], "s string").union(table(spark, d, "documents").selectExpr("'제1조 목적 w' || doc_id || ' 제2조의3 정의 v' || doc_id % 97"))
+    return rows.select("s", F.array_join(F.transform(parts, lambda x: x["title"]), "|").alias("titles"), F.array_join(F.transform(parts, lambda x: x["body"]), "|").alias("bodies"))
 
 
 _NAMES = "names AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM benchmark UNION SELECT source FROM documents WHERE source <> '' UNION SELECT name FROM vendors WHERE name <> '' UNION SELECT brand FROM items WHERE brand <> '')"

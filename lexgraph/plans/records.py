@@ -25,17 +25,25 @@ def is_mcq(spark, d):
     return rows.select("kind", "id", T.is_multiple_choice("s").alias("multiple"), F.size(T.options_of("s")).alias("n_options"), F.md5(T.question_of("s").cast("binary")).alias("question"))
 
 
-@query("WITH " + values([(1, "1,2", "Q?"), (2, "1", "Q?"), (3, "1", "Q?"), (4, "10,2", "Q one Q two ① x"), (5, "1,2,3,4,5,6,7,8,9,10", "")], "t", "id, numbers, question") + " SELECT id, numbers, question FROM t")
+@query("WITH " + values([(1, "1,2", "Q?"), (2, "1", "Q?"), (3, "1", "Q?"), (4, "10,2", "Q one Q two ① x"), (5, "1,2,3,4,5,6,7,8,9,10", "")], "t", "id, numbers, question") + """ SELECT 'fixture' AS kind, id, numbers, question FROM t
+UNION ALL SELECT 'document', doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter([doc_id % 30 + 3, 2], lambda x: x <= 10), lambda x: CAST(x AS VARCHAR)))), ','), 'Q' || doc_id || ' one Q two' FROM documents""")
 def question_choices(spark, d):
-    return literal(spark, MCQ, "id long, s string").select("id", F.array_join(T.option_numbers(T.options_of("s"), 10), ",").alias("numbers"), T.question_of("s").alias("question"))
+    """Literal questions, and one made of every document, with one option whose number may be too large."""
+    asked = table(spark, d, "documents").selectExpr("'document' AS kind", "doc_id AS id", "'Q' || doc_id || ' one' || chr(10) || 'Q two' || chr(10) || (doc_id % 30 + 3) || ' y' || chr(10) || ' 2 z' AS s")
+    rows = literal(spark, MCQ, "id long, s string").select(F.lit("fixture").alias("kind"), "id", "s").union(asked)
+    return rows.select("kind", "id", F.array_join(T.option_numbers(T.options_of("s"), 10), ",").alias("numbers"), T.question_of("s").alias("question"))
 
 
 ANSWERS = [(1, "x 답변: 12번", "Q\n1 a\n2 b"), (2, "답변: 없음", "Q\n1 a\n2 b"), (3, "답변: ", "Q"), (4, "a <b> c...", "Q"), (5, "말 답변: 하나 답변: 둘", "Q")]
 
 
-@query("WITH " + values([(1, "12"), (2, "0"), (3, "미응답"), (4, "a b c…"), (5, "둘")], "t", "id, answer") + " SELECT id, answer FROM t")
+@query("WITH " + values([(1, "12"), (2, "0"), (3, "미응답"), (4, "a b c…"), (5, "둘")], "t", "id, answer") + """ SELECT 'fixture' AS kind, id, answer FROM t
+UNION ALL SELECT 'document', doc_id, (doc_id % 30 + 1) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '번' END FROM documents""")
 def extract_answers(spark, d):
-    return literal(spark, ANSWERS, "id long, s string, q string").select("id", T.extract_answer("s", "q").alias("answer"))
+    """Literal answers, and the whole text of every document with an answer at its end, to a question with options or without."""
+    said = table(spark, d, "documents").selectExpr("'document' AS kind", "doc_id AS id", "coalesce(text, '') || ' 답변: ' || (doc_id % 30 + 1) || '번' AS s", "CASE WHEN doc_id % 2 = 0 THEN 'Q' || chr(10) || '1 a' || chr(10) || '2 b' ELSE 'Q' END AS q")
+    rows = literal(spark, ANSWERS, "id long, s string, q string").select(F.lit("fixture").alias("kind"), "id", "s", "q").union(said)
+    return rows.select("kind", "id", T.extract_answer("s", "q").alias("answer"))
 
 
 @query(f"SELECT conv_id, turn, {_sql(fixed.SYSTEM_OPEN)} AS system, {_sql(fixed.USER_OPEN + '질문: ')} || text || {_sql(chr(10) + chr(10) + '답변:')} AS user_text FROM conversations WHERE role = 'user'")
@@ -133,18 +141,27 @@ OBJECTS = [
 ]
 
 
-@query("WITH " + values([("Phishing", "Phishing — Sends mail x now\nend", "execution,initial-access"), ("Plain", "Plain — text", "")], "t", "name, text, tactic") + " SELECT name, text, tactic FROM t")
+@query("WITH " + values([("Phishing", "Phishing — Sends mail x now\nend", "execution,initial-access"), ("Plain", "Plain — text", "")], "t", "name, text, tactic") + """ SELECT name, text, tactic FROM t
+UNION ALL SELECT 'D' || doc_id, 'D' || doc_id || ' — Sends w' || doc_id || ' now', coalesce(source, '') FROM documents WHERE doc_id % 2 = 0""")
 def mitre_rows(spark, d):
+    """Literal objects, and one made of every document, every other one of another type."""
     df = literal(spark, OBJECTS, "type string, name string, description string, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>")
-    return records.attack_rows(df).select("name", F.regexp_replace("text", "(?U)[ ]+", " ").alias("text"), "tactic")
+    more = table(spark, d, "documents").selectExpr("CASE WHEN doc_id % 2 = 0 THEN 'attack-pattern' ELSE 'malware' END", "' D' || doc_id", "'<b>Sends</b> `w' || doc_id || '` **now**'", "array(named_struct('kill_chain_name', 'mitre-attack', 'phase_name', source), named_struct('kill_chain_name', 'other', 'phase_name', lang))")
+    return records.attack_rows(df.union(more)).select("name", F.regexp_replace("text", "(?U)[ ]+", " ").alias("text"), "tactic")
 
 
 RATIONALE = [("옳지 않은 것은?\n선택지:\n1 가\n2 나", "2"), ("맞는 것은?\n선택지:\n1 가\n2 나", " 1 "), ("맞는 것은?\n선택지:\n1 가\n나", "1"), ("Q", "1"), ("맞는 것은?\n선택지:\n1 가\n2 나", "둘")]
 
 
-@query("WITH " + values([(RATIONALE[0][0], fixed.EXPLAIN_NEGATIVE.replace("{number}", "2").replace("{text}", "나") + "\n정답: 2"), (RATIONALE[1][0], fixed.EXPLAIN_NORMAL.replace("{number}", "1").replace("{text}", "가") + "\n정답: 1")], "t", "instruction, output") + " SELECT instruction, output FROM t")
+_CHOICES = "CASE WHEN doc_id % 3 = 0 THEN '옳지 않은' ELSE '맞는' END || ' 것은?' || chr(10) || '선택지:' || chr(10) || '1 w' || doc_id || chr(10) || '2 v ' || doc_id % 97"
+
+
+@query("WITH " + values([(RATIONALE[0][0], fixed.EXPLAIN_NEGATIVE.replace("{number}", "2").replace("{text}", "나") + "\n정답: 2"), (RATIONALE[1][0], fixed.EXPLAIN_NORMAL.replace("{number}", "1").replace("{text}", "가") + "\n정답: 1")], "t", "instruction, output") + f""" SELECT instruction, output FROM t
+UNION ALL SELECT {_CHOICES}, replace(replace(CASE WHEN doc_id % 3 = 0 THEN {_sql(fixed.EXPLAIN_NEGATIVE)} ELSE {_sql(fixed.EXPLAIN_NORMAL)} END, '{{number}}', CAST(doc_id % 2 + 1 AS VARCHAR)), '{{text}}', CASE doc_id % 2 WHEN 0 THEN 'w' || doc_id ELSE 'v ' || doc_id % 97 END) || chr(10) || '정답: ' || (doc_id % 2 + 1) FROM documents""")
 def mcq_rationale(spark, d):
-    return records.rationale(literal(spark, RATIONALE, "instruction string, output string"))
+    """Literal records, and one made of every document."""
+    rows = literal(spark, RATIONALE, "instruction string, output string")
+    return records.rationale(rows.union(table(spark, d, "documents").selectExpr(_CHOICES, "CAST(doc_id % 2 + 1 AS STRING)")))
 
 
 @query(r"""

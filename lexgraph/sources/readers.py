@@ -121,6 +121,15 @@ def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.select(F.explode("nodes").alias("n")).select("n.*"), edges
 
 
+def trees(spark: SparkSession, path: str, key: str = "law", fields: str | None = None) -> DataFrame:
+    """Nodes (key, node_id, parent_id, the fields, depth) of JSON lines {key, tree} with children inside their parents, to whatever depth."""
+    from ..operators import trees as made
+
+    fields = fields or made.FIELDS
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", f"`{key}` string, tree string", {"mode": "FAILFAST"}).alias("x"))
+    return made.flat(lines.select("x.*"), key, fields)
+
+
 def attack_objects(spark: SparkSession, path: str) -> DataFrame:
     """Objects of a STIX bundle."""
     return spark.read.schema(STIX).json(path, multiLine=True).select(F.explode("objects").alias("o")).select("o.*")

@@ -26,6 +26,16 @@ def graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def trees(nodes: DataFrame, path: str, key: str = "law", **options) -> None:
+    """Trees of nodes as JSON lines, {key, tree}, each node with its children inside it."""
+    from ..operators.trees import nested
+
+    found = nested(nodes, key, **options)
+    head = F.to_json(F.struct(key))
+    line = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"tree":'), F.col("tree"), F.lit("}"))
+    found.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def vector_index(chunks: DataFrame, path: str, model: str, size: int, overlap: int, bm25=None) -> DataFrame:
     """Chunks with embeddings, and the lexical index if given; returns the manifest, one row, which is written too."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")

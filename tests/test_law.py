@@ -1,3 +1,4 @@
+import pytest
 from lexgraph.operators import law, terms
 from pyspark.sql import functions as F
 
@@ -113,3 +114,54 @@ def test_long_texts_and_hot_numbers(spark):
     articles = spark.createDataFrame(rows, "aid string, title string, text string, law string, ord int")
     edges = {(r.src, r.dst) for r in law.citation_edges(articles).collect()}
     assert edges == {("long_제9조", "전자금융거래법_제2조"), ("전자금융거래법_제2조", "전자금융거래법_제1조")}
+
+
+def test_trees_to_json_and_back(spark, tmp_path):
+    """Any depth, texts with quotes and line breaks, several kinds of children under one node; faults are errors."""
+    import json
+
+    from lexgraph.operators import trees
+    from lexgraph.sources import readers, writers
+
+    nodes = law.parse_laws(spark.createDataFrame([("A", TEXT), ("B", None), ("C", '제1조 "따옴표" \\\\ 끝')], "law string, text string"))
+    writers.trees(nodes, str(tmp_path / "t"))
+    columns = ["law", "node_id", "parent_id", "label", "title", "text", "deleted"]
+    key = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    assert key(readers.trees(spark, str(tmp_path / "t"))) == key(nodes)
+    whole = {r.law: json.loads(r.tree) for r in trees.nested(nodes).collect()}
+    ids = lambda n: [n["node_id"], *(i for c in n["children"] for i in ids(c))]
+    assert ids(whole["A"]) == sorted(ids(whole["A"])) and whole["B"]["children"] == []  # the order of the lines
+
+    chain = [("t", k, k - 1 if k else None, k, f"n{k}") for k in range(12)]
+    deep = spark.createDataFrame(chain, "law string, node_id int, parent_id int, level int, name string")
+    back = trees.flat(trees.nested(deep, fields="name string"), fields="name string")
+    assert sorted((r.node_id, r.parent_id, r.depth, r.name) for r in back.collect())[5] == (5, 4, 5, "n5") and back.count() == 12
+    for bad in (("t", 20, 77, 3, "no parent"), ("t", 3, 2, 3, "twice"), ("t", 11, 10, 11, "a leaf twice"), ("t", 20, 5, 4, "above its parent")):
+        with pytest.raises(Exception, match="node"):
+            trees.nested(deep.union(spark.createDataFrame([bad], deep.schema)), fields="name string").collect()
+    assert trees.nested(nodes.limit(0), levels=[0, 1]).count() == 0
+
+
+def test_hubs_in_lists_and_many_queries(spark):
+    """A hub with more neighbours than a list holds, more than 64 queries, against breadth-first search."""
+    import random
+
+    r = random.Random(3)
+    links = [("hub", f"n{k}") for k in range(500)] + [(f"n{r.randrange(500)}", f"m{r.randrange(80)}") for _ in range(120)]
+    seeds = [(q, r.choice(["hub", "none", f"n{r.randrange(500)}", f"m{r.randrange(80)}"])) for q in range(150) for _ in range(2)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for q in range(150):
+        front = seen = {i for s, i in seeds if s == q}
+        want |= {(q, i, 0) for i in front}
+        for hop in (1, 2, 3):
+            front = {b for a in front for b in near.get(a, ())} - seen
+            seen = seen | front
+            want |= {(q, i, hop) for i in front}
+    got = law.expand(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([*seeds, (None, "hub"), (7, None)], "query_id int, id string"), 3, size=16).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    lists, hubs = law.adjacency(spark.createDataFrame(links, "src string, dst string"), 16)
+    assert max(len(x.near) for x in lists.collect()) < 48 and {x.a for x in hubs.collect()} >= {"hub"}
