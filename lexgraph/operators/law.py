@@ -251,16 +251,15 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, size: int = LIST)
     """(query_id, id, hop): nodes within `hops` of the seeds (query_id, id), edges taken both ways; a node has its least hop.
 
     64 queries are the bits of one number, so a hop reads a node once for all of them; a hub's neighbours are lists of
-    bounded length in different tasks. Each hop's front is written, so that a hop reads its predecessor instead of
+    bounded length in different tasks. Seeds and each hop's front are written, so that a hop reads its predecessor instead of
     computing it again. Seeds without query or id are passed over.
     """
-    seeds = seeds.select("query_id", "id").dropna()
+    seeds = written(seeds.select("query_id", "id").dropna().distinct(), "seeds")
     asked = written(seeds.select("query_id").distinct().withColumn("_n", F.monotonically_increasing_id()), "queries")
     lists, hubs = adjacency(edges, size)
     bit = F.expr("shiftleft(1L, cast(_n & 63 AS INT))")
     front = seeds.join(asked, "query_id").groupBy(F.shiftright("_n", 6).alias("block"), "id").agg(F.bit_or(bit).alias("bits"))
-    front = written(front.withColumn("hop", F.lit(0)), "front")
-    seen = front
+    seen = front = front.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         read = front.join(hubs, front["id"] == hubs["a"], "left").select("block", "id", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
         near = read.join(lists, (read["id"] == lists["a"]) & (read["chunk"] == lists["chunk"])).select("block", F.explode("near").alias("id"), "bits", F.lit(0).cast("long").alias("old"))
