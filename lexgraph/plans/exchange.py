@@ -389,3 +389,25 @@ def streamed_answers(spark, d):
         asked.where(F.col("query_id") % 2 == odd).write.mode("append").json(f"{path}/in")
         ingest.answered(spark, f"{path}/in", f"{path}/index", f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("query_id", "doc_id", "score", "rank")
+
+
+@query("""
+WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 200, 1), 700)) AS b FROM documents WHERE length(text) > 0)
+SELECT doc_id, b // 700 AS n, b AS start, least(b + 900, length(text)) AS "end", md5(substring(text, b + 1, 900)) AS chunk FROM s""")
+def sql_chunks(spark, d):
+    """Chunks of whole documents by the table function, in SQL."""
+    from ..register import register
+
+    register(spark)
+    return spark.sql("SELECT doc_id, c.n, c.`start`, c.`end`, md5(CAST(c.text AS BINARY)) AS chunk FROM {docs}, LATERAL lex_chunks(text) c", docs=table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("""
+SELECT doc_id, unnest(list_distinct(list_concat([CAST(doc_id * 7 % 1000 AS VARCHAR), (doc_id % 9 + 1) || '의2'], list_transform(range(doc_id % 20 + 1, doc_id % 20 + 5), lambda x: CAST(x AS VARCHAR))))) AS article FROM documents WHERE text IS NOT NULL""")
+def sql_citations(spark, d):
+    """Articles cited at the end of whole documents, one number, one with a part and a range, by the table function, in SQL."""
+    from ..register import register
+
+    register(spark)
+    docs = table(spark, d, "documents").selectExpr("doc_id", "text || ' 제' || (doc_id * 7 % 1000) || '조, 제' || (doc_id % 9 + 1) || '조의2와 제' || (doc_id % 20 + 4) || '조부터 제' || (doc_id % 20 + 1) || '조까지' AS t")
+    return spark.sql("SELECT doc_id, c.article FROM {docs}, LATERAL lex_citations(t) c", docs=docs)

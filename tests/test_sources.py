@@ -114,3 +114,17 @@ def test_small_tables_are_dealt_to_all_cores(spark):
     one, many = spark.range(100).coalesce(1), spark.range(100).repartition(50)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many).rdd.getNumPartitions() == 50
     assert spread(one).count() == 100
+
+
+def test_table_functions(spark):
+    """The same rows as the column functions; nothing of an empty text; a range without bound stands for its ends."""
+    from lexgraph.functions import text as T
+    from lexgraph.operators import law
+
+    register(spark)
+    texts = ["", None, "x" * 40, "제5조의2 및 제 7 조 제2항, 제12조부터 제9조까지", "제1조부터 제99999999999999999999999조까지", "제3조, 제3조", "없음"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = spark.sql("SELECT id, c.start, c.end, c.text FROM {df}, LATERAL lex_chunks(t, 12, 4) c", df=df).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, df.selectExpr("id", "t").select("id", F.inline(T.chunks("t", 12, 4))).collect()))
+    cited = spark.sql("SELECT id, c.article FROM {df}, LATERAL lex_citations(t) c", df=df).collect()
+    assert sorted(map(tuple, cited)) == sorted(map(tuple, df.select("id", F.explode(law.reference_keys("t"))).collect())) and len(cited) > 6
