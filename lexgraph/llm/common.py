@@ -8,7 +8,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, new_path, shared_dir, written
@@ -116,14 +116,15 @@ def groups(batches, keys: int):
         yield last, pa.Table.from_batches(held)
 
 
-def block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
+def block_pairs(df: DataFrame, node: str, blocks: str | Column) -> DataFrame:
     """Deal the rows of a group to pairs of blocks (_i <= _j, with _side), so that any two rows meet in exactly one pair.
 
     `blocks` is a column with the group's number of blocks; a row goes to as many pairs.
     """
-    df = df.withColumn("_block", F.pmod(F.xxhash64(F.lit(41), F.col(node)), F.col(blocks)))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
-    return df.select("*", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), (F.col("_block") > F.col("_other")).alias("_side")).drop("_block", "_other")
+    blocks = F.col(blocks) if isinstance(blocks, str) else blocks
+    df = df.withColumn("_mine", F.pmod(F.xxhash64(F.lit(41), F.col(node)), blocks))
+    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return df.select("*", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), (F.col("_mine") > F.col("_other")).alias("_side")).drop("_mine", "_other")
 
 
 def aligned(batches, keys: int):

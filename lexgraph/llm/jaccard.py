@@ -8,8 +8,10 @@
    sum (uniform prior), and a pair goes as soon as it is below the tolerance. What a bucket returns is a
    spanning forest of the pairs that remain, not the pairs.
 3. Within the components of those forests, which are near-copies of each other, every pair that passes the
-   same pruning is verified on its shingle sets, again over pairs of blocks. A block returns link counts and
-   a spanning forest of verified links; their components are the result.
+   same pruning is verified on its shingle sets. Each text goes to one block of its component and is compared
+   there; between blocks only the signatures and the sets' differences with the set of one member, the
+   centre, move, which say exactly how much two sets share. A block returns link counts and a spanning forest
+   of verified links; their components are the result.
 
 With 32 bands of 4 values a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8,
 and the pruning loses it with probability of the order of the tolerance. Shingles are compared as 64-bit
@@ -33,8 +35,8 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 STEP = 16
-#: Rows of a bucket's block, and rows and bytes of text of a verified block.
-BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_BYTES = 1024, 256, 8 << 20
+#: Rows of a bucket's block, rows and bytes of text of a verified block, and rows of a block of differences.
+BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_BYTES, ACROSS_BLOCK = 1024, 256, 8 << 20, 1024
 
 
 @lru_cache
@@ -156,53 +158,112 @@ def candidate_forests(classes: DataFrame, threshold: Fraction, tolerance: float)
     return rows.mapInArrow(tidy(run), "a long, b long")
 
 
-def verified(members: DataFrame, n_words: int, threshold: Fraction, tolerance: float) -> DataFrame:
-    """(node, root, links) per node and pair of blocks: links counted with copies, root of the forest of verified links."""
+def links_within(nodes: np.ndarray, copies: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, parts: list[np.ndarray], apart: np.ndarray | None, threshold: Fraction, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(root, links) of each node: root of the forest of verified links, and links counted with copies; with apart, only of pairs that differ in it.
+
+    `parts` are the sets themselves, or each set's symmetric difference with one and the same set: two sets differ
+    in as many shingles as their parts do, so what they share follows from the sizes.
+    """
+    lengths = np.array([len(x) for x in parts])
+    distinct, ids = np.unique(np.concatenate(parts), return_inverse=True)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    mark, links, parent = np.zeros(len(distinct), np.int64), np.zeros(len(nodes), np.int64), list(range(len(nodes)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for one in range(len(nodes) - 1):
+        there = np.arange(one + 1, len(nodes))
+        if apart is not None:
+            there = there[apart[there] != apart[one]]
+        small, large = np.minimum(sizes[there], sizes[one]), np.maximum(sizes[there], sizes[one])
+        there = there[small * threshold.denominator >= large * threshold.numerator]
+        there = survivors(signatures, signatures[one], there, threshold, tolerance)
+        if not len(there):
+            continue
+        own = ids[starts[one] : ends[one]]
+        mark[own] = 1
+        if len(there) < 16:
+            same = np.array([mark[ids[starts[k] : ends[k]]].sum() for k in there])
+        else:
+            upto = np.concatenate([[0], np.cumsum(mark[ids])])
+            same = upto[ends[there]] - upto[starts[there]]
+        mark[own] = 0
+        both = sizes[there] + sizes[one]
+        shared = (both - (lengths[there] + lengths[one] - 2 * same)) // 2
+        linked = there[shared * threshold.denominator >= (both - shared) * threshold.numerator]
+        links[one] += copies[linked].sum()
+        links[linked] += copies[one]
+        for k in linked.tolist():
+            x, y = sorted((root(one), root(k)))
+            parent[y] = x
+    return nodes[[root(k) for k in range(len(nodes))]], links
+
+
+FOUND = "node long, root long, links long"
+PARTS = "_component long, _block long, _blocks long, _copies long, _size long, _sig binary, _part binary"
+
+
+def verified_blocks(members: DataFrame, n_words: int, threshold: Fraction, tolerance: float) -> DataFrame:
+    """links_within() each block, a row per node; where a component has several blocks, with the node's difference to its centre.
+
+    A block holds its members' texts, each once, and first of all the text of the component's centre.
+    """
 
     def run(batches):
         hashes = WordHashes()
-        for (_, i, j), rows in groups(batches, 3):
-            nodes, copies = rows.column("_node").to_numpy(), rows.column("_copies").to_numpy()
+        for (component, block), rows in groups(batches, 2):
             sets = [shingles(hashes.of(words(t.as_py())), n_words) for t in rows.column("_text")]
-            sizes = np.array([len(s) for s in sets])
-            signatures = np.stack([signature(s) for s in sets]).astype(np.uint16)
-            sides = rows.column("_side").to_numpy() if i != j else None
-            distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            mark, links, parent = np.zeros(len(distinct), np.int64), np.zeros(len(nodes), np.int64), list(range(len(nodes)))
-
-            def root(k, parent=parent):
-                while parent[k] != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
-
-            for one in range(len(nodes) - 1):
-                there = np.arange(one + 1, len(nodes))
-                if sides is not None:
-                    there = there[sides[there] != sides[one]]
-                small, large = np.minimum(sizes[there], sizes[one]), np.maximum(sizes[there], sizes[one])
-                there = there[small * threshold.denominator >= large * threshold.numerator]
-                there = survivors(signatures, signatures[one], there, threshold, tolerance)
-                if not len(there):
-                    continue
-                own = ids[starts[one] : starts[one] + sizes[one]]
-                mark[own] = 1
-                if len(there) < 16:
-                    shared = np.array([mark[ids[starts[k] : starts[k] + sizes[k]]].sum() for k in there])
-                else:
-                    shared = np.add.reduceat(mark[ids], starts)[there]
-                mark[own] = 0
-                linked = there[shared * threshold.denominator >= (sizes[there] + sizes[one] - shared) * threshold.numerator]
-                links[one] += copies[linked].sum()
-                links[linked] += copies[one]
-                for k in linked.tolist():
-                    x, y = sorted((root(one), root(k)))
-                    parent[y] = x
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[root(k) for k in range(len(nodes))]]), pa.array(links)], ["node", "root", "links"])
-
-    rows = members.select("_component", "_i", "_j", "_node", "_side", "_copies", "_text").repartition("_component", "_i", "_j").sortWithinPartitions("_component", "_i", "_j", "_node")
-    return rows.mapInArrow(tidy(run), "node long, root long, links long")
+            centre = sets.pop(0) if rows.column("_centre")[0].as_py() else None
+            rows = rows if centre is None else rows.slice(1)
+            nodes, copies, blocks = (rows.column(c).to_numpy() for c in ("_node", "_copies", "_blocks"))
+            if not len(nodes):
+                continue
+            sizes, signatures = np.array([len(s) for s in sets]), np.stack([signature(s) for s in sets]).astype(np.uint16)
+            roots, links = links_within(nodes, copies, sizes, signatures, sets, None, threshold, tolerance)
+            parts = [None if centre is None else np.setxor1d(s, centre, assume_unique=True).tobytes() for s in sets]
+            marks = [None if centre is None else x.tobytes() for x in signatures]
+            same = lambda v, n=len(nodes): pa.array(np.full(n, v))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(roots), pa.array(links), same(component), same(block), pa.array(blocks), pa.array(copies), pa.array(sizes), pa.array(marks, pa.binary()), pa.array(parts, pa.binary())],
+                [c.split()[0] for c in f"{FOUND}, {PARTS}".split(", ")],
+            )
+
+    members = members.withColumn("_block", F.pmod(F.xxhash64(F.lit(41), "_node"), "_blocks"))
+    several = members.where("_blocks > 1")
+    # the centre is a shortest text, so that no difference is more than twice its node's set
+    centres = several.groupBy("_component").agg(F.min(F.struct(F.octet_length("_text").alias("n"), F.col("_node").alias("x"))).alias("_c")).select(F.col("_c.x").alias("_x"))
+    centres = several.join(centres, F.col("_node") == F.col("_x")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    columns = ["_component", "_block", "_node", "_copies", "_blocks", "_text"]
+    rows = members.select(*columns, F.lit(False).alias("_centre")).unionByName(centres.select(*columns, F.lit(True).alias("_centre")))
+    rows = rows.repartition("_component", "_block").sortWithinPartitions("_component", "_block", F.desc("_centre"), "_node")
+    return rows.mapInArrow(tidy(run), f"{FOUND}, {PARTS}")
+
+
+def verified_across(found: DataFrame, threshold: Fraction, tolerance: float) -> DataFrame:
+    """links_within() components of several blocks, of nodes in different ones: only signatures and differences move."""
+
+    def run(batches):
+        for (_, i, j), rows in groups(batches, 3):
+            nodes, copies, sizes = (rows.column(c).to_numpy() for c in ("node", "_copies", "_size"))
+            signatures = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("_sig")])
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("_part")]
+            apart = rows.column("_side" if i != j else "_block").to_numpy()
+            roots, links = links_within(nodes, copies, sizes, signatures, parts, apart, threshold, tolerance)
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some]), pa.array(links[some])], ["node", "root", "links"])
+
+    rows = found.where("_blocks > 1")
+    sizes = rows.groupBy("_component").agg(F.count("*").alias("_n"), F.sum(F.octet_length("_part")).alias("_b"))
+    wide = F.ceil(F.greatest(F.col("_n") / ACROSS_BLOCK, F.col("_b") / VERIFY_BYTES)).cast("long")
+    rows = rows.join(sizes.select(F.col("_component").alias("_c"), wide.alias("_wide")), F.col("_component") == F.col("_c"))
+    rows = block_pairs(rows, "node", F.least("_wide", "_blocks"))
+    rows = rows.select("_component", "_i", "_j", "node", "_side", "_block", "_copies", "_size", "_sig", "_part").repartition("_component", "_i", "_j").sortWithinPartitions("_component", "_i", "_j", "node")
+    return rows.mapInArrow(tidy(run), FOUND)
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +282,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = members.groupBy("_component").agg(F.count("*").alias("_n"), F.sum(F.octet_length("_text")).alias("_b"))
     blocks = F.ceil(F.greatest(F.col("_n") / VERIFY_BLOCK, F.col("_b") / VERIFY_BYTES)).cast("long")
     members = members.join(sizes.select(F.col("_component").alias("_c"), F.least(blocks, F.col("_n")).alias("_blocks")), F.col("_component") == F.col("_c"))
-    found = written(verified(block_pairs(members, "_node", "_blocks"), n_words, limit, tolerance), "links")
+    within = written(verified_blocks(members, n_words, limit, tolerance), "links-within")
+    found = within.select("node", "root", "links").unionByName(written(verified_across(within, limit, tolerance), "links-across"))
 
     groups_ = components(found, "node", "root").select(F.col("node").alias("_node"), F.col("component").alias("_group"))
     links = found.groupBy(F.col("node").alias("_node")).agg(F.sum("links").alias("_far"))

@@ -57,10 +57,48 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     rows = made()
     monkeypatch.setattr(j, "BUCKET_BLOCK", 2)
     monkeypatch.setattr(j, "VERIFY_BLOCK", 3)
+    monkeypatch.setattr(j, "ACROSS_BLOCK", 4)
     got = j.near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_differences_to_a_centre_tell_what_two_sets_share():
+    rng, limit = np.random.default_rng(8), Fraction(4, 5)
+    base = np.unique(rng.integers(0, 1 << 63, 300, np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < keep], rng.integers(0, 1 << 63, more, np.uint64)])) for keep in (1, 0.97, 0.93, 0.9, 0.8) for more in (0, 3, 20, 60) for _ in range(3)]
+    sets += [base, base, base[:1], rng.integers(0, 1 << 63, 900, np.uint64)]
+    nodes, sizes, copies = np.arange(len(sets)), np.array([len(s) for s in sets]), rng.integers(1, 4, len(sets))
+    marks, blocks = np.stack([j.signature(s) for s in sets]).astype(np.uint16), nodes % 3
+    for centre in (base, base[:1], sets[-1]):
+        parts = [np.setxor1d(s, centre, assume_unique=True) for s in sets]
+        for apart in (None, blocks):
+            got = j.links_within(nodes, copies, sizes, marks, parts, apart, limit, 1e-7)
+            want = j.links_within(nodes, copies, sizes, marks, sets, apart, limit, 1e-7)
+            assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    near = [sum(int(copies[k]) for k in nodes if k != i and 5 * len(np.intersect1d(sets[i], sets[k])) >= 4 * len(np.union1d(sets[i], sets[k]))) for i in nodes]
+    assert j.links_within(nodes, copies, sizes, marks, sets, None, limit, 1e-7)[1].tolist() == near
+    assert len(set(near)) > 4
+
+
+def test_what_moves_between_blocks_is_small(spark, monkeypatch):
+    monkeypatch.setattr(j, "VERIFY_BLOCK", 10)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = []
+    for k in range(60):
+        texts.append(list(base))
+        texts[-1][rng.randrange(2000)] = f"other{k}"
+    members = spark.createDataFrame([(k, 0, 1, 6, " ".join(t)) for k, t in enumerate(texts)], "_node long, _component long, _copies long, _blocks long, _text string")
+    found = j.verified_blocks(members, 5, Fraction(4, 5), 1e-7).cache()
+    rows = found.collect()
+    assert len(rows) == 60 and all(len(r["_part"]) <= 8 * 20 < len(" ".join(base)) / 50 for r in rows)
+    across = j.verified_across(found, Fraction(4, 5), 1e-7)
+    links = {r["node"]: r["links"] for r in rows}
+    for r in across.collect():
+        links[r["node"]] += r["links"]
+    assert set(links.values()) == {59}
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = made()
     kept = [tuple(r) for r in j.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()]
