@@ -54,9 +54,9 @@ def dedup_lines(docs: DataFrame, host: str | Column = "source", id_col: str = "d
 
 #: The rows of dedup_lines as SQL, over the table documents.
 SQL = r"""
-WITH pages AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text FROM documents),
-lines AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM pages WHERE text IS NOT NULL),
-totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+WITH hosted AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text FROM documents),
+lines AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM hosted WHERE text IS NOT NULL),
+totals AS (SELECT host, count(*) AS pages FROM hosted GROUP BY host),
 hot AS (
   SELECT host, key FROM (SELECT DISTINCT rid, host, trim(line, ' ') AS key FROM lines WHERE trim(line, ' ') <> '') d
   JOIN totals USING (host) GROUP BY host, key, pages HAVING count(*) >= {min_pages} AND count(*) > {max_ratio} * pages),
@@ -65,5 +65,5 @@ kept AS (
     coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE h.key IS NULL), '') AS text
   FROM lines l LEFT JOIN hot h ON l.host = h.host AND trim(l.line, ' ') = h.key GROUP BY l.rid)
 SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE k.text END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
-FROM pages p LEFT JOIN kept k USING (rid)
+FROM hosted p LEFT JOIN kept k USING (rid)
 """

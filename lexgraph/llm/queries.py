@@ -18,6 +18,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 
 
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with each tag on a line of its own, cleaned of the lines that a host repeats."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<"), F.lit("\n<")).alias("html"))
+    out = line_dedup.dedup_lines(pages, url_filter.host(F.col("url")), "page_id", "html")
+    return out.select("page_id", F.md5(F.col("html").cast("binary")).alias("html_md5"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(_read(spark, sf_dir, "documents"), with_text=False)
 
@@ -139,10 +146,12 @@ def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("changed", F.array_join("changed", ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op11_suffix_dedup, op12_periodic_runs, op13_snapshot_diff)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, page_lines, op2_pii, pii_base, op3_warc, warc_salvage, op4_decontaminate, op5_url_filter, op6_jaccard_join, op7_pivot_index, op8_sharding, op9_language_id, op10_packing, op11_suffix_dedup, op12_periodic_runs, op13_snapshot_diff)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_pages=2, max_ratio=0.1),
+    "page_lines": "WITH documents AS (SELECT page_id AS doc_id, nullif(rtrim(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@]+)', 1), '.'), '') AS source, replace(html, '<', chr(10) || '<') AS text FROM pages),\n"
+    + line_dedup.SQL.format(min_pages=2, max_ratio=0.1).replace("WITH hosted", "hosted").replace("SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE k.text END AS text", "SELECT p.doc_id AS page_id, CASE WHEN p.text IS NULL THEN NULL ELSE md5(k.text) END AS html_md5"),
     "op3_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS m FROM p)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 
 def _before(counts: DataFrame, by: list[str], at: str, n: str, step: int = 4096) -> DataFrame:
@@ -93,11 +93,19 @@ def shard_sql(n_shards: int, n: int) -> str:
     return f"_place * {n_shards} div {max(n, 1)}"
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 40, **how) -> None:
-    """Write docs with their shard and slot as one folder per shard, each sorted by slot."""
-    carry = tuple(c for c in docs.columns if c != how.get("id_col", "doc_id"))
-    placed = assign_shards(docs, n_shards, carry=carry, **how)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, file_rows: int = 100_000, **how) -> None:
+    """Write docs with their shard and slot as one folder per shard, in files sorted by slot.
+
+    A shard is dealt to tasks in runs of file_rows slots, so that the writers are as many as the rows ask for, not
+    as the shards; a file holds one run, or several where the session has fewer shuffle partitions than runs. Where
+    docs has a column of a name that assign_shards adds, the added one, the folder's too, gets underscores at its end.
+    """
+    id_col = how.get("id_col", "doc_id")
+    carry = tuple(c for c in docs.columns if c != id_col)
+    added = [fresh(docs, c) for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    placed, shard, slot = assign_shards(docs, n_shards, carry=carry, **how).toDF(id_col, *added, *carry), added[3], added[4]
+    run = F.floor(F.col(slot) / file_rows)
+    placed.repartition(F.col(shard), run).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 #: The rows of assign_shards over the table documents as SQL. CRC-32 is taken over blocks of 512 bytes by its public

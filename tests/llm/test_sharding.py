@@ -59,3 +59,22 @@ def test_empty_and_small_tables(spark):
     assert assign_shards(spark.createDataFrame([], SCHEMA)).collect() == []
     got = assign_shards(spark.createDataFrame([(1, None, None, "x", "x", "x")], SCHEMA)).collect()
     assert [(r.shard, r.slot, r.size, r.text_crc32) for r in got] == [(0, 0, 16, 0)]
+
+
+def test_a_shard_is_written_by_several_tasks(spark, tmp_path):
+    from lexgraph.llm.sharding import write_shards
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i}", f"s{i % 3}", "x", "x", "x") for i in range(4000)]
+    docs, path = spark.createDataFrame(rows, SCHEMA), str(tmp_path / "shards")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_shards(docs, path, 4, file_rows=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    back = spark.read.parquet(path)
+    want = assign_shards(docs, 4, carry=tuple(docs.columns[1:]))
+    assert sorted((r.doc_id, r.shard_, r.slot, r.shard) for r in back.collect()) == sorted((r[0], r[4], r[5], "x") for r in want.collect())
+    files = back.groupBy("shard_").agg(F.count_distinct(F.input_file_name()).alias("n")).collect()
+    assert len(files) == 4 and min(r.n for r in files) > 2
