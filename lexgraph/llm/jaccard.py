@@ -211,7 +211,7 @@ PARTS = "_component long, _block long, _blocks long, _copies long, _size long, _
 def verified_blocks(members: DataFrame, n_words: int, threshold: Fraction, tolerance: float) -> DataFrame:
     """links_within() each block, a row per node; where a component has several blocks, with the node's difference to its centre.
 
-    A block holds its members' texts, each once, and first of all the text of the component's centre.
+    A block holds its members' texts, each once, and first of all the text of the component's centre, node _x.
     """
 
     def run(batches):
@@ -233,13 +233,10 @@ def verified_blocks(members: DataFrame, n_words: int, threshold: Fraction, toler
                 [c.split()[0] for c in f"{FOUND}, {PARTS}".split(", ")],
             )
 
-    members = members.withColumn("_block", F.pmod(F.xxhash64(F.lit(41), "_node"), "_blocks"))
-    several = members.where("_blocks > 1")
-    # the centre is a shortest text, so that no difference is more than twice its node's set
-    centres = several.groupBy("_component").agg(F.min(F.struct(F.octet_length("_text").alias("n"), F.col("_node").alias("x"))).alias("_c")).select(F.col("_c.x").alias("_x"))
-    centres = several.join(centres, F.col("_node") == F.col("_x")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    columns = ["_component", "_block", "_node", "_copies", "_blocks", "_text"]
-    rows = members.select(*columns, F.lit(False).alias("_centre")).unionByName(centres.select(*columns, F.lit(True).alias("_centre")))
+    own = F.struct(F.pmod(F.xxhash64(F.lit(41), "_node"), "_blocks").alias("b"), F.lit(False).alias("c"))
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda k: F.struct(k.alias("b"), F.lit(True).alias("c")))
+    places = F.concat(F.array(own), F.when((F.col("_blocks") > 1) & (F.col("_node") == F.col("_x")), everywhere).otherwise(F.array().cast("array<struct<b:bigint,c:boolean>>")))
+    rows = members.withColumn("_p", F.explode(places)).select("_component", F.col("_p.b").alias("_block"), "_node", "_copies", "_blocks", "_text", F.col("_p.c").alias("_centre"))
     rows = rows.repartition("_component", "_block").sortWithinPartitions("_component", "_block", F.desc("_centre"), "_node")
     return rows.mapInArrow(tidy(run), f"{FOUND}, {PARTS}")
 
@@ -278,10 +275,11 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = near.join(classes.select("_node", "_copies", F.col("_md5").alias("_m")), F.col("node") == F.col("_node")).select("_node", F.col("component").alias("_component"), "_copies", "_m")
     texts = docs.select(F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull()).withColumn("_md5", F.unhex(F.md5(F.col("_text").cast("binary"))))
     members = texts.join(members, F.col("_md5") == F.col("_m"))
-    members = written(members.select("_node", "_component", "_copies", "_text").dropDuplicates(["_node"]), "members")
-    sizes = members.groupBy("_component").agg(F.count("*").alias("_n"), F.sum(F.octet_length("_text")).alias("_b"))
+    members = written(members.select("_node", "_component", "_copies", "_text", F.octet_length("_text").alias("_bytes")).dropDuplicates(["_node"]), "members")
+    # the centre is a shortest text, so that no difference is more than twice its node's set
+    sizes = members.groupBy("_component").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_b"), F.min(F.struct("_bytes", "_node")).alias("_least"))
     blocks = F.ceil(F.greatest(F.col("_n") / VERIFY_BLOCK, F.col("_b") / VERIFY_BYTES)).cast("long")
-    members = members.join(sizes.select(F.col("_component").alias("_c"), F.least(blocks, F.col("_n")).alias("_blocks")), F.col("_component") == F.col("_c"))
+    members = members.join(sizes.select(F.col("_component").alias("_c"), F.least(blocks, F.col("_n")).alias("_blocks"), F.col("_least._node").alias("_x")), F.col("_component") == F.col("_c"))
     within = written(verified_blocks(members, n_words, limit, tolerance), "links-within")
     found = within.select("node", "root", "links").unionByName(written(verified_across(within, limit, tolerance), "links-across"))
 

@@ -88,7 +88,7 @@ def test_what_moves_between_blocks_is_small(spark, monkeypatch):
     for k in range(60):
         texts.append(list(base))
         texts[-1][rng.randrange(2000)] = f"other{k}"
-    members = spark.createDataFrame([(k, 0, 1, 6, " ".join(t)) for k, t in enumerate(texts)], "_node long, _component long, _copies long, _blocks long, _text string")
+    members = spark.createDataFrame([(k, 0, 1, 6, 7, " ".join(t)) for k, t in enumerate(texts)], "_node long, _component long, _copies long, _blocks long, _x long, _text string")
     found = j.verified_blocks(members, 5, Fraction(4, 5), 1e-7).cache()
     rows = found.collect()
     assert len(rows) == 60 and all(len(r["_part"]) <= 8 * 20 < len(" ".join(base)) / 50 for r in rows)
