@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.predicates import domain_meta
 from ..operators import bm25, context, dense, law, records, retrieve
-from ..providers import reranked
+from ..providers import hashed_encoder, reranked
 from .laws import _EDGES, articles
 from .registry import _sql, query, table
 from .retrieval import _DENSE, _LEX, _TOP, _asked, _vectors
@@ -132,6 +134,9 @@ def mmr_corpus(spark, d):
 
 
 _ARTICLE_TEXT = "CASE doc_id % 5 WHEN 0 THEN '벌금에 처한다. ' WHEN 1 THEN '다만, ' WHEN 2 THEN '준용 ' ELSE '' END || '제' || (doc_id * 7 % 1000) || '조를 본다. src' || (doc_id % 7) || ' 제' || (doc_id * 13 % 1000) || '조를 본다.' || chr(10) || text"
+_PLACES = """b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), ar AS (SELECT query_id, id, 0 AS hop, rank FROM seeds UNION ALL SELECT DISTINCT s.query_id, b.b, 1, 1073741824 FROM seeds s JOIN b ON b.a = s.id WHERE NOT EXISTS (SELECT 1 FROM seeds t WHERE t.query_id = s.query_id AND t.id = b.b)),
+pl AS (SELECT query_id, id, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank, id) AS place FROM ar)"""
+_SUMMARY = r"CASE WHEN length(trim(text, chr(32) || chr(10))) <= 120 THEN trim(text, chr(32) || chr(10)) ELSE regexp_replace(substring(trim(text, chr(32) || chr(10)), 1, 120), '\s+$', '') || '…' END"
 _WORDS_A = "regexp_extract_all({}, '[0-9A-Za-z가-힣]+')"
 
 
@@ -142,9 +147,8 @@ raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, c), idf AS (S
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_WORDS_A.format("text")}) AS term FROM benchmark) x GROUP BY ALL),
 sc AS (SELECT query_id, id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM q JOIN idf USING (term) JOIN p USING (term) JOIN dl USING (id), c GROUP BY query_id, id),
 seeds AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST('0x' || substr(md5(id), 1, 15) AS BIGINT)) AS rank FROM sc QUALIFY rank <= 3),
-b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), ar AS (SELECT query_id, id, 0 AS hop, rank FROM seeds UNION ALL SELECT DISTINCT s.query_id, b.b, 1, 1073741824 FROM seeds s JOIN b ON b.a = s.id WHERE NOT EXISTS (SELECT 1 FROM seeds t WHERE t.query_id = s.query_id AND t.id = b.b)),
-pl AS (SELECT query_id, id, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank, id) AS place FROM ar)
-SELECT query_id, place, id, hop, title, CASE WHEN length(trim(text, chr(32) || chr(10))) <= 120 THEN trim(text, chr(32) || chr(10)) ELSE regexp_replace(substring(trim(text, chr(32) || chr(10)), 1, 120), '\s+$', '') || '…' END AS summary FROM pl JOIN n USING (id) WHERE place <= 5""")
+""" + _PLACES + f"""
+SELECT query_id, place, id, hop, title, {_SUMMARY} AS summary FROM pl JOIN n USING (id) WHERE place <= 5""")
 def graph_query(spark, d):
     """Lexical seeds among articles made of the documents, and what they cite, for the benchmark's items."""
     made = articles(spark, d)
@@ -152,6 +156,33 @@ def graph_query(spark, d):
     return retrieve.graph_query(nodes, law.citation_edges(made), _asked(spark, d)[0], 3, 1, 5)
 
 
+_BAG = """SELECT id, i, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS FLOAT) AS v FROM (
+  SELECT id, CAST('0x' || substr(md5(w), 15, 2) AS BIGINT) % 64 AS i, CAST(sum(CASE WHEN substr(md5(w), 1, 1) >= '8' THEN 1 ELSE -1 END) AS DOUBLE) AS v
+  FROM (SELECT id, unnest(regexp_extract_all(lower({}), '[가-힣A-Za-z0-9]+')) AS w FROM {}) x GROUP BY ALL) y"""
+
+
+@query(_EDGES + rf""",
+n AS (SELECT source || '_제' || doc_id || '조' AS id, '제' || doc_id || '조' AS title, {_ARTICLE_TEXT} AS text FROM documents),
+nv AS ({_BAG.format("concat_ws(chr(10), title, text)", "n")}), qv AS ({_BAG.format("text", "(SELECT item_id AS id, text FROM benchmark) b")}),
+sc AS (SELECT q.id AS query_id, n.id, round(sum(CAST(q.v AS DOUBLE) * n.v), 6) AS score FROM qv q JOIN nv n USING (i) GROUP BY ALL),
+seeds AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST('0x' || substr(md5(id), 1, 15) AS BIGINT)) AS rank FROM sc QUALIFY rank <= 3),
+""" + _PLACES + f""",
+l AS (SELECT query_id, place, '[' || title || '] ' || {_SUMMARY} AS line FROM pl JOIN n USING (id) WHERE place <= 5)
+SELECT query_id, md5({_sql(fixed.GUIDE_REFERENCE)} || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY place)) AS context FROM l WHERE line <> '' GROUP BY query_id""")
+def graph_contexts_dense(spark, d):
+    """Contexts from seeds found by vectors, of all articles and the benchmark's items, and from what the seeds cite."""
+    made = articles(spark, d)
+    nodes = made.select(F.col("aid").alias("id"), "title", "text")
+    encoder = hashed_encoder(64, _md5_number)
+    found = retrieve.graph_query(nodes, law.citation_edges(made), _asked(spark, d)[0], 3, 1, 5, encoder=encoder)
+    return retrieve.graph_context(found).select("query_id", F.md5(F.col("context").cast("binary")).alias("context"))
+
+
+def _md5_number(token: str) -> int:
+    """64 bits of an MD5, which SQL can state too."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:16], 16)
+
+
 # --- choice questions --------------------------------------------------------------------------------------
 
 

@@ -21,15 +21,15 @@ class Encoder(Protocol):
     def __call__(self, texts: Column) -> Column: ...
 
 
-def hashed_encoder(dimension: int = 64) -> Encoder:
-    """A bag of hashed tokens at unit length; a text without tokens is a zero vector."""
+def hashed_encoder(dimension: int = 64, hashed: Callable[[str], int] = xxhash.xxh64_intdigest) -> Encoder:
+    """A bag of hashed tokens at unit length; a text without tokens is a zero vector. Of a token's 64-bit hash the top bit is its sign."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def encode(tokens: pd.Series) -> pd.Series:
         out = np.zeros((len(tokens), dimension), np.float64)
         for row, words in zip(out, tokens, strict=True):
             for w in words:
-                h = xxhash.xxh64_intdigest(w)
+                h = hashed(w)
                 row[h % dimension] += 1.0 if h >> 63 else -1.0
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return pd.Series(list((out / np.where(norm > 0, norm, 1)).astype(np.float32)))
