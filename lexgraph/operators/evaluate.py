@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.text import normalize_compared, sub
 
 
 def common_characters(a: Column, b: Column) -> Column:
-    """Characters that two texts share, each as often as in both: sums the lesser count of every distinct one."""
-    many = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
-    distinct = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
-    return F.aggregate(F.transform(distinct, lambda c: F.least(many(a, c), many(b, c))), F.lit(0), lambda s, n: s + n)
+    """Characters that two texts share, each as often as in both: sums the lesser count of every distinct one, in one look at each text."""
+
+    @F.pandas_udf(LongType())
+    def run(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(first, second, strict=True)], dtype="Int64")
+
+    return run(a, b)
 
 
 def f1(a: Column, b: Column) -> Column:

@@ -123,3 +123,15 @@ def test_chunks_of_files_and_records(spark):
     got = corpus.record_chunks(recs, "s", "k", "mitre").orderBy("id").collect()
     assert [(r.id, r.text, r.start, r.extra["x"], r.extra["domain"]) for r in got] == [("s:::1", "p", -1, "5", "mitre"), ("s:::2", "t", -1, "6", "mitre")]
     assert corpus.line_corpus(spark.createDataFrame([("a.txt", "x\n\n y"), ("TTA_a.txt", "z")], "file string, text string")).count() == 2
+
+
+def test_shared_characters_of_many_kinds(spark):
+    """Texts of many distinct characters take one look each; characters beyond 16 bits count once."""
+    import time
+
+    many = "".join(chr(0x4E00 + k % 20000) for k in range(60000))
+    rows = spark.createDataFrame([(1, many, many[::-1] + "x"), (2, "aab😀😀", "a😀b😁a"), (3, "", "a"), (4, None, "a")], "id long, a string, b string")
+    began = time.monotonic()
+    got = {r.id: r.n for r in rows.select("id", evaluate.common_characters(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {1: 60000, 2: 4, 3: 0, 4: None}
+    assert time.monotonic() - began < 15
