@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions.predicates import detect_domain, route
 from ..functions.vectors import answer_score, token_overlap
 from ..providers import reranked
+from ..storage import written
 from . import bm25, context, dense, law
 
 
@@ -105,7 +106,7 @@ def graph_seeds(nodes: DataFrame, queries: DataFrame, k: int = 3, tokenizer: str
 
 def graph_query(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 3, hops: int = 1, most: int = 5, chars: int = 120, tokenizer: str = "a", encoder=None) -> DataFrame:
     """(query_id, place, id, hop, title, summary): seeds and what they cite or are cited by, in order of hop, seed's rank and id."""
-    seeds = graph_seeds(nodes, queries, k, tokenizer, encoder)
+    seeds = written(graph_seeds(nodes, queries, k, tokenizer, encoder), "ranked-seeds")  # read twice, searched once
     around = law.expand(edges, seeds, hops).join(seeds, ["query_id", "id"], "left")
     from pyspark.sql import Window
 

@@ -94,3 +94,13 @@ def test_routed_retrieval_searches_documents_without_vectors(spark, tmp_path, mo
     assert got == {1: True, 9: False} and seen[0][0].count() == 3
     hits, _ = r.hybrid(seen[0][0], seen[0][1].withColumn("domain", seen[0][1]["query"]))
     assert (1, 3) in {(x.query_id, x.doc_id) for x in hits.collect()}
+
+
+def test_seeds_of_a_graph_query_are_searched_once(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"title {i}", f"word{i % 3} text") for i in range(9)], "id string, title string, text string")
+    edges = spark.createDataFrame([("n0", "n1"), ("n2", "n3")], "src string, dst string")
+    queries = spark.createDataFrame([(1, "word1"), (2, "word2")], "query_id long, query string")
+    found = retrieve.graph_query(nodes, edges, queries, 2, 1, 5)
+    files = found.inputFiles()
+    assert any("ranked-seeds" in f for f in files) and not any("-postings" in f for f in files)
+    assert found.where("hop = 0").count() == 4
