@@ -289,6 +289,17 @@ def appended_rows(spark, d):
     return spark.read.parquet(path)
 
 
+def _compressed_rows(part, first: int) -> bytes:
+    """A file of rows r and their entries (col, tf), its first row being `first`, so that its length is that of the part alone."""
+    part = part.sort_values("r")
+    at = part["r"].to_numpy() - first
+    counts = np.zeros(int(at.max()) + 1, np.int64)
+    counts[at] = [len(e) for e in part["e"]]
+    out = io.BytesIO()
+    np.savez_compressed(out, data=np.array([x["tf"] for e in part["e"] for x in e], np.float64), indices=np.array([x["col"] for e in part["e"] for x in e], np.int64), indptr=np.concatenate([[0], np.cumsum(counts)]))
+    return out.getvalue()
+
+
 @query(r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+') AS w FROM documents), p AS (SELECT doc_id, x, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS x FROM t) u GROUP BY ALL), v AS (SELECT x, dense_rank() OVER (ORDER BY x) - 1 AS col FROM (SELECT DISTINCT x FROM p) y)
 SELECT doc_id AS row, CAST(sum(col) AS BIGINT) AS cols, CAST(sum(tf) AS DOUBLE) AS total FROM p JOIN v USING (x) GROUP BY doc_id""")
@@ -304,14 +315,9 @@ def sparse_matrix_files(spark, d):
     rows = rows.withColumn("_part", F.floor(F.col("r") / 200))
 
     def packed(key, part):
-        part, n = part.sort_values("r"), int(part["r"].max()) + 1
-        counts = np.zeros(n, np.int64)
-        counts[part["r"].to_numpy()] = [len(e) for e in part["e"]]
-        out = io.BytesIO()
-        np.savez_compressed(out, data=np.array([x["tf"] for e in part["e"] for x in e], np.float64), indices=np.array([x["col"] for e in part["e"] for x in e], np.int64), indptr=np.concatenate([[0], np.cumsum(counts)]))
         import pandas as pd
 
-        return pd.DataFrame({"f": [f"part-{key[0]}.npz"], "b": [out.getvalue()]})
+        return pd.DataFrame({"f": [f"part-{key[0]}.npz"], "b": [_compressed_rows(part, 200 * int(key[0]))]})
 
     files = rows.groupBy("_part").applyInPandas(packed, "f string, b binary")
     dense, nothing = io.BytesIO(), io.BytesIO()
@@ -319,7 +325,8 @@ def sparse_matrix_files(spark, d):
     np.savez(nothing, other=np.zeros(1))
     _files(files.unionByName(spark.createDataFrame([("dense.npz", bytearray(dense.getvalue())), ("none.npz", bytearray(nothing.getvalue()))], "f string, b binary")), path, "f", "b")
     found = readers.csr_matrix(spark, path)
-    return found.groupBy("row").agg(F.sum("col").alias("cols"), F.sum("value").alias("total"))
+    first = 200 * F.regexp_extract("file", "part-(-?[0-9]+)", 1).try_cast("long")  # a file's rows count from its own first one
+    return found.withColumn("row", F.col("row") + first).groupBy("row").agg(F.sum("col").alias("cols"), F.sum("value").alias("total"))
 
 
 @query("SELECT DISTINCT lang AS word FROM documents UNION SELECT DISTINCT source FROM documents")

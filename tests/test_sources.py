@@ -128,3 +128,16 @@ def test_table_functions(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, df.selectExpr("id", "t").select("id", F.inline(T.chunks("t", 12, 4))).collect()))
     cited = spark.sql("SELECT id, c.article FROM {df}, LATERAL lex_citations(t) c", df=df).collect()
     assert sorted(map(tuple, cited)) == sorted(map(tuple, df.select("id", F.explode(law.reference_keys("t"))).collect())) and len(cited) > 6
+
+
+def test_a_late_matrix_file_is_as_short_as_its_part():
+    import io
+
+    import numpy as np
+    import pandas as pd
+    from lexgraph.plans.exchange import _compressed_rows
+
+    part = pd.DataFrame({"r": [4_000_150, 4_000_003], "e": [[{"col": 5, "tf": 2}], [{"col": 1, "tf": 1}, {"col": 7, "tf": 3}]]})
+    with np.load(io.BytesIO(_compressed_rows(part, 4_000_000))) as found:
+        assert len(found["indptr"]) == 152 and found["indices"].tolist() == [1, 7, 5] and found["data"].tolist() == [1, 3, 2]
+        assert np.flatnonzero(np.diff(found["indptr"])).tolist() == [3, 150]
