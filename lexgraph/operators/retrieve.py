@@ -24,7 +24,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 50, tokenizer: str =
     """Fused hits of each query with a bonus for its domain, and the raw dense scores of all of them."""
     vectors = dense.search(chunks, queries, k)
     terms = bm25.query_terms(queries, tokenizer)
-    lexical = bm25.top(bm25.okapi(bm25.Index.build(chunks, tokenizer=tokenizer), terms), k)
+    lexical = bm25.top(bm25.okapi(bm25.Index.build(chunks, tokenizer=tokenizer), terms, most=k), k)
     kinds = chunks.select("doc_id", F.col("extra.domain").alias("_kind"))
     bonus = vectors.join(kinds, "doc_id").join(queries.select("query_id", F.col(domain).alias("_asked")), "query_id")
     bonus = bonus.select("query_id", "doc_id", F.when(F.col("_asked").isin("law", "mitre") & (F.col("_asked") == F.col("_kind")), 0.05).otherwise(0.0).alias("bonus"))
@@ -98,7 +98,7 @@ def graph_seeds(nodes: DataFrame, queries: DataFrame, k: int = 3, tokenizer: str
     """(query_id, id, rank): the best nodes (id, title, text) of each query, lexically, or by vectors if an encoder is given."""
     rows = nodes.select("id", F.concat_ws("\n", "title", "text").alias("text"), F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 15), 16, 10).cast("long").alias("doc_id"))
     if encoder is None:
-        hits = bm25.top(bm25.okapi(bm25.Index.build(rows, tokenizer=tokenizer), bm25.query_terms(queries, tokenizer)), k)
+        hits = bm25.top(bm25.okapi(bm25.Index.build(rows, tokenizer=tokenizer), bm25.query_terms(queries, tokenizer), most=k), k)
     else:
         hits = dense.search(rows.select("doc_id", encoder(F.col("text")).alias("embedding")), queries.select("query_id", encoder(F.col("query")).alias("query_vector")), k)
     return hits.join(rows.select("doc_id", "id"), "doc_id").select("query_id", "id", "rank")

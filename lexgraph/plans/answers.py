@@ -32,7 +32,7 @@ def context_forms(spark, d):
     """The six further kinds of contexts, of the best three documents of every benchmark item."""
     _, terms = _asked(spark, d)
     docs = table(spark, d, "documents")
-    hits = bm25.top(bm25.positive(bm25.Index.build(docs, only=terms), terms), 3)
+    hits = bm25.top(bm25.positive(bm25.Index.build(docs, only=terms), terms, most=3), 3)
     rows = hits.join(docs.select("doc_id", "text", "source", F.lit(0).alias("start"), F.length("text").alias("end"), F.col("source").alias("title"), F.col("source").alias("file"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("snippet"), F.lit("").alias("summary"), F.lit(None).cast("string").alias("header")), "doc_id")
     out = None
     for kind in ("snippets", "titled", "headed", "bulleted", "chunked", "numbered"):

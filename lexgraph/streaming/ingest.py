@@ -46,7 +46,7 @@ def answered(spark: SparkSession, folder: str, index: str, out: str, checkpoint:
 
     def save(batch: DataFrame, number: int) -> None:
         found = bm25.Index.read(spark, index)
-        bm25.top(bm25.positive(found, bm25.query_terms(batch)), k).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bm25.top(bm25.positive(found, bm25.query_terms(batch), most=k), k).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     trigger = trigger or {"availableNow": True}
     asked = spark.readStream.schema("query_id long, query string").json(folder)
