@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.predicates import holds_any, relation
-from ..functions.text import _text, normalize, normalize_lines, strip, sub
+from ..functions.text import _text, let, normalize, normalize_lines, strip, sub
 from ..storage import written
 
 HEAD = r"제\s*[0-9]+\s*조(?:\s*의\s*[0-9]+)?"
@@ -117,16 +117,19 @@ def ref_key(number: Column, sub_number: Column) -> Column:
 LONGEST_RANGE = 10_000
 
 
+def _upto_last(t: Column, after: str) -> Column:
+    """t up to its last 조 and what may follow it: every citation ends there, so the rest, often most of a text, need not be searched."""
+    rest = F.substring_index(t, "조", -1)
+    return F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(rest)), F.regexp_extract(rest, after, 0))
+
+
 def reference_keys(c: Column | str) -> Column:
     """Sorted distinct keys ('5', '5의2') of the articles a text cites, of whatever law; ranges, also reversed ones, are spelled out.
 
     A range over more than LONGEST_RANGE articles, or with a number that is no long, stands for its two ends.
     """
-    t = normalize(c)  # has single spaces only
     single = r"(?:제 ?)?([0-9]+) ?조(?: ?의 ?([0-9]+))?(?: ?제 ?[0-9]+ ?항)?"
     ranged = r"(?:제 ?)?([0-9]+) ?조 ?(?:부터|이상) ?(?:제 ?)?([0-9]+) ?조 ?(?:까지|이하)"
-    all_of = lambda p, k: F.regexp_extract_all(t, F.lit(p), F.lit(k))
-    keys = lambda p: F.zip_with(all_of(p, 1), all_of(p, 2), ref_key)
 
     def spelled(a: Column, b: Column) -> Column:
         low, high = F.least(a.try_cast("long"), b.try_cast("long")), F.greatest(a.try_cast("long"), b.try_cast("long"))
@@ -134,8 +137,12 @@ def reference_keys(c: Column | str) -> Column:
         plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
         return F.when(short, F.transform(F.sequence(low, F.when(short, high).otherwise(low)), lambda k: k.cast("string"))).otherwise(F.array(plain(a), plain(b)))
 
-    spans = F.zip_with(all_of(ranged, 1), all_of(ranged, 2), spelled)
-    return F.array_sort(F.array_distinct(F.concat(keys(single), F.flatten(spans))))
+    def found(t: Column) -> Column:
+        pairs = lambda p, f: F.zip_with(F.regexp_extract_all(t, F.lit(p), F.lit(1)), F.regexp_extract_all(t, F.lit(p), F.lit(2)), f)
+        return F.array_sort(F.array_distinct(F.concat(pairs(single, ref_key), F.flatten(pairs(ranged, spelled)))))
+
+    # normalised once; has single spaces only
+    return let(let(normalize(c), lambda t: _upto_last(t, "^ ?(?:의 ?[0-9]+|까지|이하)?")), found)
 
 
 def article_id(title: Column, prefix: Column) -> Column:
@@ -160,7 +167,7 @@ def cross_law_refs(c: Column | str, compat: bool = False) -> Column:
     The name is what stands before an article number, back to the last character that no name has, so the time is
     linear in the text. compat drops 의m.
     """
-    t, number = _text(c), r"(?U)제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
+    t, number = _upto_last(_text(c), r"(?U)^(?:\s*의\s*[0-9]+)?"), r"(?U)제\s*([0-9]+)\s*조(?:\s*의\s*([0-9]+))?"
     # split at what no name has; the part after the last such place is the name
     other = r"(?U)[^가-힣A-Za-z0-9()·\-\s]"
 
@@ -170,7 +177,8 @@ def cross_law_refs(c: Column | str, compat: bool = False) -> Column:
         last = strip(F.element_at(F.split(x, other), -1))
         return F.when(F.length(last) >= 2, last).otherwise("") if compat else last
 
-    before = F.transform(F.split(t, number), name)
+    parts = F.split(t, number)
+    before = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), name)  # nothing is cited after the last one, often most of the text
     found = F.arrays_zip(before.alias("law"), F.regexp_extract_all(t, F.lit(number), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(number), F.lit(2)).alias("m"))
     found = F.filter(found, lambda x: x["n"].isNotNull() & (x["law"] != ""))
     rows = F.transform(found, lambda x: F.struct(x["law"].alias("law"), F.when(F.lit(compat), x["n"]).otherwise(ref_key(x["n"], x["m"])).alias("article")))
@@ -250,13 +258,16 @@ def adjacency(edges: DataFrame, size: int = LIST) -> tuple[DataFrame, DataFrame]
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, size: int = LIST) -> DataFrame:
     """(query_id, id, hop): nodes within `hops` of the seeds (query_id, id), edges taken both ways; a node has its least hop.
 
-    64 queries are the bits of one number, so a hop reads a node once for all of them; a hub's neighbours are lists of
+    64 queries, with like seeds where there are such, are the bits of one number, so a hop reads a node once for all of them; a hub's neighbours are lists of
     bounded length in different tasks. Seeds and each hop's front are written, so that a hop reads its predecessor instead of
     computing it again. Seeds without query or id are passed over.
     """
     seeds = written(seeds.select("query_id", "id").dropna().distinct(), "seeds")
-    asked = written(seeds.select("query_id").distinct().withColumn("_n", F.monotonically_increasing_id()), "queries")
     lists, hubs = adjacency(edges, size)
+    # queries whose seeds have the same neighbours get numbers in turn: a front then has a node once for all of them, not once for each
+    marks = lists.groupBy("a").agg(F.min(F.array_min(F.transform("near", lambda b: F.xxhash64(b)))).alias("low"), F.max(F.array_max(F.transform("near", lambda b: F.xxhash64(b)))).alias("high"))
+    marked = seeds.join(marks, seeds["id"] == marks["a"], "left").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = written(marked.sort("low", "high", "query_id").select("query_id").withColumn("_n", F.monotonically_increasing_id()), "queries")
     bit = F.expr("shiftleft(1L, cast(_n & 63 AS INT))")
     front = seeds.join(asked, "query_id").groupBy(F.shiftright("_n", 6).alias("block"), "id").agg(F.bit_or(bit).alias("bits"))
     seen = front = front.withColumn("hop", F.lit(0))
@@ -267,9 +278,11 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, size: int = LIST)
         new = both.select("block", "id", F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits"), F.lit(hop).alias("hop")).where("bits <> 0")
         front = written(new, "front")
         seen = seen.union(front)
-    numbers = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1))
-    rows = seen.select(F.col("block"), "id", "hop", numbers.alias("_k")).select((F.col("block") * 64 + F.col("_k")).alias("_n"), "id", "hop")
-    return rows.join(asked, "_n").select("query_id", "id", "hop")
+    # a block's queries, in order of their bits, are joined before the bits are spelled out
+    owners = asked.groupBy(F.shiftright("_n", 6).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_n", "query_id"))).alias("_ids"))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)
+    rows = seen.join(owners, "block").select("id", "hop", F.explode(F.transform(numbers, lambda k: F.get("_ids", k)["query_id"])).alias("query_id"))
+    return rows.select("query_id", "id", "hop")
 
 
 def cross_law_ratio(edges: DataFrame, nodes: DataFrame) -> DataFrame:
