@@ -71,6 +71,12 @@ def _best(path: str, k: int):
                     found, near = np.take_along_axis(found, order, 1), np.take_along_axis(near, order, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, found.shape[1])), pa.array(found.ravel()), pa.array(near.ravel())], ["query_id", "doc_id", "score"])
 
+    return _in_parts(scores)
+
+
+def _in_parts(scores):
+    """scores of the batches that HELD bytes take at a time."""
+
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -90,46 +96,65 @@ def mmr_whole(docs: DataFrame, queries: DataFrame, k: int, trade: float = 0.5, i
     """Maximal marginal relevance over all documents: (query_id, doc_id, pick), k picks a query.
 
     The first pick is the document closest to the query; each further one has the best trade * relevance -
-    (1 - trade) * likeness to what is taken. A pick is one scan of the documents: a task keeps its best document of
-    each query, so no table of queries by documents is made. queries (query_id, query_vector) is a stated set, whose
-    picks go to the tasks with it. Ties go to the lower id; null vectors and those of another length are passed over.
+    (1 - trade) * likeness to what is taken. A pick is one scan of the documents, which meet the written queries and their picks
+    in blocks, as in search(): a held part keeps its best document of each query, so no table of queries by documents is made, and
+    neither queries nor picks go through the driver. Ties go to the lower id; null vectors and those of another length are passed over.
     """
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL"), "vectors")
-    taken = {r[0]: [(None, r[1])] for r in queries.select(F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>")).dropna().toLocalIterator()}
-    for _ in range(k):
-        best = rows.mapInArrow(_next_pick(taken, trade), "query_id long, doc_id long, score double, v array<double>")
+    asked = queries.select(F.col("query_id").cast("long"), F.array().cast("array<long>").alias("done"), F.col("query_vector").cast("array<double>").alias("vs")).dropna().where("size(vs) > 0")
+    taken, out = written(asked.dropDuplicates(["query_id"]), "taken"), None
+    for n in range(1, k + 1):
+        best = rows.mapInArrow(_next_pick(taken._lexgraph_path, trade), "query_id long, doc_id long, score double, v array<double>")
         best = best.groupBy("query_id").agg(F.min_by(F.struct("doc_id", "v"), F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b"))
-        for r in best.collect():  # a row for each query
-            taken[r.query_id].append((r.b.doc_id, r.b.v))
-    out = [(q, doc, n) for q, picks in taken.items() for n, (doc, _) in enumerate(picks) if n]
-    return docs.sparkSession.createDataFrame(out, "query_id long, doc_id long, pick int")
+        # a query that found nothing has met all documents and asks no more
+        taken = written(taken.join(best, "query_id").select("query_id", F.concat("done", F.array("b.doc_id")).alias("done"), F.concat("vs", "b.v").alias("vs")), "taken")
+        picks = taken.select("query_id", F.element_at("done", n).alias("doc_id"), F.lit(n).alias("pick"))
+        out = picks if out is None else out.union(picks)
+    return out
 
 
-def _next_pick(taken: dict[int, list], trade: float):
-    asked = {q: ([d for d, _ in picks[1:]], np.array([v for _, v in picks], np.float64)) for q, picks in taken.items()}
+def _next_pick(path: str, trade: float):
+    """The best next document of each query in the table at path (query_id, ids taken, its vector and theirs in one array), for each held part."""
 
-    def run(batches):
-        best: dict[int, tuple] = {}
-        for batch in batches:
-            sizes = np.array(pa.compute.list_value_length(batch.column(1)))
-            ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            matrices = {n: (here := np.flatnonzero(sizes == n), flat[(starts[here][:, None] + np.arange(n)).ravel()].reshape(len(here), n)) for n in np.unique(sizes)}
-            for q, (done, vectors) in asked.items():
-                if vectors.shape[1] not in matrices:
+    def scores(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()  # of equal scores the first is that of the lower id
+        ids, vectors = table.column(0).to_numpy(), table.column(1).combine_chunks()
+        sizes = vectors.value_lengths().to_numpy()
+        flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for block in stored(path, BLOCK // 4):
+            asked, picks = block.column(0).to_numpy(), len(block.column(1)[0])  # all have as many
+            done = block.column(1).flatten().to_numpy().reshape(len(asked), picks)
+            lengths = block.column(2).value_lengths().to_numpy() // (picks + 1)
+            all_of, firsts = block.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths[:-1] * (picks + 1))])
+            for n in np.unique(lengths).tolist():
+                here, who = np.flatnonzero(sizes == n), np.flatnonzero(lengths == n)
+                if not len(here):
                     continue
-                here, x = matrices[vectors.shape[1]]
-                near = x @ vectors.T
-                score = near[:, 0] if not done else trade * near[:, 0] - (1 - trade) * near[:, 1:].max(axis=1)
-                score = np.where(np.isin(ids[here], done), -np.inf, np.round(score, 9))
-                at = np.lexsort((ids[here], -score))[0]
-                found = (float(score[at]), -int(ids[here[at]]), x[at])
-                if np.isfinite(found[0]) and (q not in best or found[:2] > best[q][:2]):
-                    best[q] = found
-        if best:
-            yield pa.RecordBatch.from_arrays([pa.array(list(best)), pa.array([-b[1] for b in best.values()]), pa.array([b[0] for b in best.values()]), pa.array([b[2] for b in best.values()], pa.list_(pa.float64()))], ["query_id", "doc_id", "score", "v"])
-
-    return run
+                vs = all_of[(firsts[who][:, None] + np.arange(n * (picks + 1))).ravel()].reshape(len(who), picks + 1, n)
+                best, at = np.full(len(who), -np.inf), np.zeros(len(who), np.int64)
+                for start in range(0, len(here), 2048):
+                    part = here[start : start + 2048]
+                    x = flat[(starts[part][:, None] + np.arange(n)).ravel()].reshape(len(part), n)
+                    score = vs[:, 0] @ x.T
+                    if picks:
+                        worst = vs[:, 1] @ x.T
+                        for p in range(2, picks + 1):
+                            np.maximum(worst, vs[:, p] @ x.T, out=worst)
+                        score = trade * score - (1 - trade) * worst
+                    score = np.round(score, 9)
+                    score[np.isnan(score)] = -np.inf
+                    low, high = (np.searchsorted(ids[part], done[who], side) for side in ("left", "right"))
+                    for q, p in zip(*np.nonzero(high > low), strict=True):
+                        score[q, low[q, p] : high[q, p]] = -np.inf
+                    top_of = score.argmax(axis=1)
+                    found = score[np.arange(len(who)), top_of]
+                    better = found > best
+                    best[better], at[better] = found[better], part[top_of[better]]
+                ok = np.flatnonzero(np.isfinite(best))
+                chosen = pa.array(at[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[who[ok]]), pa.array(ids[at[ok]]), pa.array(best[ok]), vectors.take(chosen)], ["query_id", "doc_id", "score", "v"])
+
+    return _in_parts(scores)
 
 
 def min_max(hits: DataFrame, score: str = "score") -> DataFrame:
