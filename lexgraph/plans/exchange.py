@@ -114,9 +114,9 @@ SELECT 'L' || doc_id AS law, CAST(node_id AS BIGINT) AS node_id, CAST(parent_id
   md5(CASE node_id WHEN 0 THEN '' WHEN 1 THEN coalesce(text, '') WHEN 2 THEN '뜻을 정한다.' WHEN 3 THEN '첫째 항.' WHEN 4 THEN '첫 호 ' || doc_id WHEN 5 THEN '첫 목.' ELSE '' END) AS text_md5 FROM (SELECT DISTINCT doc_id, text FROM documents) d, t""")
 def law_tree_exchange(spark, d):
     """Laws made of every document, its whole text as that of the first article: written as nested JSON and read again."""
-    docs = table(spark, d, "documents").select("doc_id", "text").distinct()
-    source = docs.select(F.concat(F.lit("L"), "doc_id").alias("law"), F.expr(LAW_FILE).alias("text"))
-    whole = docs.select(F.concat(F.lit("L"), "doc_id").alias("law"), F.lit(1).alias("node_id"), F.coalesce("text", F.lit("")).alias("whole"))
+    docs, name = table(spark, d, "documents").select("doc_id", "text"), F.concat(F.lit("L"), "doc_id").alias("law")
+    source = docs.select("doc_id").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id").distinct().select(name, F.expr(LAW_FILE).alias("text"))
+    whole = docs.select(name, F.coalesce("text", F.lit("")).alias("whole")).repartition("law").distinct().withColumn("node_id", F.lit(1))  # texts move once, to where the tree is made
     nodes = law.parse_laws(source).join(whole, ["law", "node_id"], "left")
     path = new_path(spark, "trees")
     writers.trees(nodes.withColumn("text", F.coalesce("whole", "text")).drop("whole"), path, levels=list(law.LEVELS.values()))

@@ -126,7 +126,7 @@ def trees(spark: SparkSession, path: str, key: str = "law", fields: str | None =
     from ..operators import trees as made
 
     fields = fields or made.FIELDS
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", f"`{key}` string, tree string", {"mode": "FAILFAST"}).alias("x"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", f"`{key}` string, tree {made.parsed_type(fields)}", {"mode": "FAILFAST"}).alias("x"))
     return made.flat(lines.select("x.*"), key, fields)
 
 
