@@ -445,12 +445,15 @@ def contrast(c: Column | str) -> Column:
 
 def crop(c: Column | str, key: Column, n: int = 180) -> Column:
     """One or two sentences from the head, the middle or the tail, chosen by a hash of the key."""
-    parts = sentences(collapse(_text(c)), law=True)
-    size, mode, k = F.size(parts), bucket(3, key, "mode"), bucket(2, key, "many") + 1
-    start = bucket(F.greatest(size - 2, F.lit(1)), key, "start") + 2
-    head, tail = F.slice(parts, F.lit(1), k), F.slice(parts, F.greatest(size - k + 1, F.lit(1)), k)
-    middle = F.when(size <= 2, parts).otherwise(F.slice(parts, start, k))
-    return F.when(size == 0, F.lit("")).otherwise(shorten(F.array_join(F.when(mode == 0, head).when(mode == 1, middle).otherwise(tail), " "), n))
+
+    def cut(parts: Column) -> Column:
+        size, mode, k = F.size(parts), bucket(3, key, "mode"), bucket(2, key, "many") + 1
+        start = bucket(F.greatest(size - 2, F.lit(1)), key, "start") + 2
+        head, tail = F.slice(parts, F.lit(1), k), F.slice(parts, F.greatest(size - k + 1, F.lit(1)), k)
+        middle = F.when(size <= 2, parts).otherwise(F.slice(parts, start, k))
+        return F.when(size == 0, F.lit("")).otherwise(shorten(F.array_join(F.when(mode == 0, head).when(mode == 1, middle).otherwise(tail), " "), n))
+
+    return let(sentences(collapse(_text(c)), law=True), cut)
 
 
 def expand(c: Column | str, term: Column, key: Column) -> Column:
@@ -462,6 +465,8 @@ def expand(c: Column | str, term: Column, key: Column) -> Column:
 
 def surface_noise(c: Column | str, key: Column, share: float = 0.15) -> Column:
     """Particles and conjunctions swapped for others in about `share` of their places, chosen by a hash of key and place."""
+    if int(share * 10_000) <= 0:
+        return _text(c)  # no place is hit
     words = F.split(_text(c), " ")
 
     def one(w: Column, i: Column) -> Column:

@@ -53,10 +53,14 @@ def position_of(options: Column, value: Column) -> Column:
 
 def place_at(options: Column, value: Column, at: Column) -> Column:
     """The options with the value swapped to a 1-based place, the last one at most; as they are if it is not among them."""
-    at = F.least(at, F.size(options))
-    here = F.array_position(options, value).cast("int")
-    swapped = F.transform(options, lambda x, i: F.when(i + 1 == at, value).when(i + 1 == here, F.element_at(options, at)).otherwise(x))
-    return F.when(here > 0, swapped).otherwise(options)
+
+    def placed(x: Column) -> Column:
+        a, v = x["options"], x["value"]
+        at, here = F.least(x["at"], F.size(a)), F.array_position(a, v).cast("int")
+        swapped = let(F.struct(at.alias("at"), here.alias("here")), lambda p: F.transform(a, lambda o, i: F.when(i + 1 == p["at"], v).when(i + 1 == p["here"], F.element_at(a, p["at"])).otherwise(o)))
+        return F.when(here > 0, swapped).otherwise(a)
+
+    return let(F.struct(options.alias("options"), value.alias("value"), at.alias("at")), placed)
 
 
 def masked_labels(prompt: Column, answer: Column, most: int = 2048) -> Column:

@@ -184,6 +184,7 @@ def balanced_position(df: DataFrame, n_options: str, order: str) -> DataFrame:
     `order` is cut into ranges at sampled values, and running sums of their counts give the places, so that no task
     sorts all rows of a number of options.
     """
+    df = written(df, "rows-to-place")  # read for the cuts, for the counts and for the places
     rows = df.withColumn("_n", F.col(n_options))
     kind = df.schema[order].dataType.simpleString()
     if kind in ("int", "bigint", "smallint", "tinyint"):
@@ -202,9 +203,13 @@ def balanced_position(df: DataFrame, n_options: str, order: str) -> DataFrame:
 
 def choice_record(question: Column, right: Column, wrong: Column, position: Column, system: str = fixed.SYSTEM_MARK) -> Column:
     """Messages of a multiple-choice question; equal options are one, and the right one stands at the position."""
+
+    def made(x: Column) -> Column:
+        lines = F.array_join(F.transform(x["options"], lambda o, i: F.concat((i + 1).cast("string"), F.lit(") "), o)), "\n")
+        return messages(("system", F.lit(system)), ("user", F.concat(x["question"], F.lit("\n"), lines, F.lit("\n정답:"))), ("assistant", F.array_position(x["options"], x["right"]).cast("string")))
+
     options = place_at(F.array_distinct(F.concat(F.array(right), wrong)), right, position)
-    lines = F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(") "), o)), "\n")
-    return messages(("system", F.lit(system)), ("user", F.concat(question, F.lit("\n"), lines, F.lit("\n정답:"))), ("assistant", F.array_position(options, right).cast("string")))
+    return T.let(F.struct(question.alias("question"), right.alias("right"), options.alias("options")), made)
 
 
 def mix_negatives(ranked: DataFrame, n: int, hard: float = 0.7, seed: int = 6) -> DataFrame:
@@ -324,8 +329,8 @@ def augmented_choices(terms: DataFrame, ranked: DataFrame, n_options: int = 4, h
     Columns doc_id, kind, messages.
     """
     n, width = n_options - 1, max(10, 6 * n_options)
-    texts = terms.select("doc_id", "term", T.surface_noise(T.crop("definition", F.col("doc_id")), F.col("doc_id"), noise).alias("definition"), F.col("definition").alias("_whole")).where("term <> '' AND definition <> ''")
-    texts = written(texts, "augmented-texts")
+    texts = terms.select("doc_id", "term", T.surface_noise(T.crop("definition", F.col("doc_id")), F.col("doc_id"), noise).alias("definition"), F.col("definition").alias("_whole"))
+    texts = written(texts, "augmented-texts").where("term <> '' AND definition <> ''")  # not a filter that crops once more
     pool = mix_negatives(ranked.where(F.col("rank") <= width), width, hard, seed).join(texts.select("doc_id", "term", "definition"), "doc_id")
     pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "definition"))).alias("_near"))
     rows = texts.join(pool, F.col("doc_id") == F.col("query_id"), "left").drop("query_id")

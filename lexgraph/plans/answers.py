@@ -228,6 +228,8 @@ def augmented_questions(spark, d):
     near = near.select("query_id", F.pmod(F.col("query_id") + F.col("rank"), F.lit(total)).alias("doc_id"), "rank")
     out = records.augmented_choices(rows, near, noise=0.0)
     options, answer = _read(F.col("messages"))
+    out = out.select("doc_id", "kind", options.alias("_options"), answer.alias("_answer"))
+    options, answer = F.col("_options"), F.col("_answer")
     own = F.when(F.col("kind").startswith("term"), F.concat(F.lit("w"), "doc_id")).otherwise(F.concat(F.lit("뜻은 "), "doc_id"))
     chosen = F.element_at(options, answer)
     return out.select("doc_id", "kind", F.size(options).alias("n"), answer.alias("answer"), F.size(F.filter(options, lambda x: x == own)).alias("own"), (chosen == own).alias("answer_is_own"), F.when((F.col("doc_id") % 10 != 0) & F.col("kind").endswith("negative"), chosen).alias("nearest"))
